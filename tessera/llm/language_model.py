@@ -9,7 +9,8 @@ Distributions are smoothed towards the parent's (Witten and Bell), the root's
 towards the uniform one.  A text's score is the sum of the log probabilities of
 its bytes and its end, each in the longest retained suffix state.
 
-The base score is an add-one unigram model over whole words.  Words that make
+The base score is an add-one unigram model over whole words, which are told
+apart by 64-bit hashes.  Words that make
 up ``HEAD_SHARE`` of all tokens or more (at most 1 / HEAD_SHARE words) are
 looked up in a broadcast table; the others are joined.
 """
@@ -21,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,20 +86,23 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return all_codes[first], np.add.reduceat(all_counts, first)
 
 
-def corpus_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables ``(word, n)`` and ``(code, n)`` over all texts; the null word stands for the end of a text."""
+def word_key(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 8) - (1 << 63)
+
+
+#: Kinds of count: ends of texts, words by their key, and positions by their code.
+ENDS, WORDS, CODES = range(3)
+
+
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """``(kind, key, n)`` over all texts; ends have key 0."""
 
     def run(batches):
         words: Counter = Counter()
         ends, codes, counts, pending = 0, [], [], 0
 
-        def out_words(extra):
-            keys = [None] * bool(extra) + list(words)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array([extra] * bool(extra) + list(words.values()), pa.int64())], ["word", "code", "n"])
-
-        def out_codes():
-            code, n = merged(codes, counts)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(n)], ["word", "code", "n"])
+        def out(kind, keys, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n"])
 
         for b in batches:
             texts = [x.lower() for x in common.as_bytes(b.column(0))]  # of bytes: lowers A-Z only
@@ -105,7 +110,7 @@ def corpus_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for x in texts:
                 words.update(x.split())
                 if len(words) > FLUSH_WORDS:
-                    yield out_words(0)
+                    yield out(WORDS, [word_key(w) for w in words], list(words.values()))
                     words.clear()
             for group in batches_of(texts, FLUSH_POSITIONS // 4):
                 code, n = np.unique(gram_codes(group), return_counts=True)
@@ -116,17 +121,16 @@ def corpus_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     code, n = merged(codes, counts)
                     codes, counts, pending = [code], [n], len(code)
                     if pending > FLUSH_POSITIONS // 2:
-                        yield out_codes()
+                        yield out(CODES, code, n)
                         codes, counts, pending = [], [], 0
         if ends:
-            yield out_words(ends)
+            yield out(ENDS, [0], [ends])
+            yield out(WORDS, [word_key(w) for w in words], list(words.values()))
         if codes:
-            yield out_codes()
+            yield out(CODES, *merged(codes, counts))
 
-    raw = common.map_batches(docs.select("text"), run, "word binary, code long, n long")
-    # one shuffle for both kinds: they are told apart by which key is null, and the end has neither
-    counted = materialize(raw.groupBy("word", "code").agg(F.sum("n").alias("n")), "corpus-counts")
-    return counted.where(F.col("code").isNull()).select("word", "n"), counted.where(F.col("code").isNotNull()).select("code", "n")
+    raw = common.map_batches(docs.select("text"), run, "kind byte, key long, n long")
+    return materialize(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "corpus-counts")
 
 
 class SuffixTree:
@@ -220,39 +224,43 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     are scored alike, each on its own row.  With no training row every count is
     0 and the tree is the uniform distribution.
     """
-    words, grams = corpus_counts(train)
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends")).first()
-    n, v, ends = totals["n"], totals["v"], totals["ends"]
+    counted = corpus_counts(train)
+    words, grams = counted.where(F.col("kind") == WORDS).select("key", "n"), counted.where(F.col("kind") == CODES).select(F.col("key").alias("code"), "n")
+    totals = {r["kind"]: r for r in counted.where(F.col("kind") != CODES).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    n, v = (sum(r[c] for r in totals.values()) for c in ("n", "v"))
+    ends = totals[ENDS]["n"] if ENDS in totals else 0
     context = docs.sparkSession.sparkContext
-    common_words = words.where(F.col("word").isNotNull() & (F.col("n") >= max(1.0, HEAD_SHARE * n))).toPandas()  # 1 / HEAD_SHARE rows at most
-    head = context.broadcast(dict(zip(map(bytes, common_words["word"]), common_words["n"].tolist(), strict=True)))
+    least = max(1.0, HEAD_SHARE * n)
+    frequent = words.where(F.col("n") >= least).toPandas()  # 1 / HEAD_SHARE rows at most
+    head = context.broadcast(dict(zip(frequent["key"].tolist(), frequent["n"].tolist(), strict=True)))
     tree = context.broadcast(fit_tree(grams))
 
     def run(batches):
         known, model, log10 = head.value, tree.value, math.log10
         for b in batches:
             texts = [x.lower() for x in common.as_bytes(b.column(1))]
-            tokens, hits, sums, rest = [], [], [], []
+            tokens, hits, sums, cuts, keys, repeats = [], [], [], [0], [], []
             for x in texts:
                 counted = Counter(x.split())
-                size, found, total, others = 1, ends and 1, log10(ends + 1), []
-                for word, times in counted.items():
-                    size += times
-                    if (c := known.get(word)) is None:
-                        others.append({"word": word, "times": times})
+                found, total = ends and 1, log10(ends + 1)
+                for key, times in zip(map(word_key, counted), counted.values(), strict=True):
+                    if (c := known.get(key)) is None:
+                        keys.append(key)
+                        repeats.append(times)
                     else:
                         found += times
                         total += times * log10(c + 1)
-                for into, y in zip((tokens, hits, sums, rest), (size, found, total, others), strict=True):
+                cuts.append(len(keys))
+                for into, y in zip((tokens, hits, sums), (1 + counted.total(), int(found), total), strict=True):
                     into.append(y)
-            rest_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array([int(x) for x in hits], pa.int64()), pa.array(sums, pa.float64()), pa.array(model.score(texts), pa.float64()), pa.array(rest, rest_type)], ["doc_id", "n_tokens", "head_known", "head_sum", "score", "rest"])
+            rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(repeats, pa.int64())], ["key", "times"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array(model.score(texts), pa.float64()), rest], ["doc_id", "n_tokens", "head_known", "head_sum", "score", "rest"])
 
-    schema = "doc_id long, n_tokens long, head_known long, head_sum double, score double, rest array<struct<word: binary, times: long>>"
-    # the rows are written before they are numbered, so that a lost task cannot number them anew
+    schema = "doc_id long, n_tokens long, head_known long, head_sum double, score double, rest array<struct<key: long, times: long>>"
+    # written with their numbers, so that a lost task cannot number them anew
     rows = materialize(common.map_batches(docs.select("doc_id", "text"), run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
-    rare = rare.join(words.where(F.col("word").isNotNull() & (F.col("n") < max(1.0, HEAD_SHARE * n))), "word")
+    rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.key", "r.times")
+    rare = rare.join(words.where(F.col("n") < least), "key")
     rare = rare.groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_sum"))
     out = rows.drop("rest").join(rare, "row", "left")
     return out.select(

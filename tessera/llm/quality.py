@@ -29,7 +29,7 @@ WORD_SHARE = 0.005
 CLASS_DISTANCE = (0.13, 1.1)
 WORD_DISTANCE = (0.255, 0.85)
 #: Words below which a word histogram is not judged.
-LEAST_TOKENS = 40
+LEAST_WORDS_JUDGED = 40
 
 
 def word_list(text: Column) -> Column:
@@ -74,10 +74,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
 
-def letter_words(text: str = "_text") -> Column:
-    return F.split(F.lower(text), r"[^\p{L}]+")
-
-
 class References:
     """Class shares, common words, and the shares of these words and of all others, for all rows together and for each language."""
 
@@ -94,7 +90,7 @@ def references(docs: DataFrame) -> References:
         counted = counted.withColumn(f"_without_{name}", F.regexp_replace(left, pattern, ""))
         counted = counted.withColumn(name, F.length(left) - F.length(f"_without_{name}"))
         left = f"_without_{name}"
-    sums = counted.withColumn("rest", F.length(left)).groupBy("lang").agg(*[F.sum(c).alias(c) for c in CLASSES])
+    sums = materialize(counted.withColumn("rest", F.length(left)).groupBy("lang").agg(*[F.sum(c).alias(c) for c in CLASSES]), "classes")
     whole = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES]).first()
     total = sum(whole[c] for c in CLASSES)
     if not total:
@@ -104,7 +100,7 @@ def references(docs: DataFrame) -> References:
 
     langs = [r["lang"] for r in own]
     known = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise("") if langs else F.lit("")
-    tokens = rows.select(known.alias("lang"), F.explode(letter_words()).alias("word")).where("word != ''")
+    tokens = rows.select(known.alias("lang"), F.explode(word_list(F.col("_text"))).alias("word"))
     counts = materialize(tokens.groupBy("lang", "word").count(), "words")
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
     often = F.lit(False)
@@ -149,12 +145,11 @@ def verdicts(rows: DataFrame, refs: References) -> DataFrame:
     rows = rows.withColumn("class_distance", F.array_min(F.transform(known, lambda q: distance(summed(F.zip_with("_p", q, lambda x, y: half(x, y) + half(y, x)))))))
     if refs.words:
         vocabulary = F.array(*map(F.lit, refs.vocabulary))
-        rows = rows.withColumn("_tokens", F.filter(letter_words(), lambda w: w != ""))
-        rows = rows.withColumn("_n_tokens", F.size("_tokens")).withColumn("_hits", F.array_sort(F.filter("_tokens", lambda w: w.isin(refs.vocabulary))))
+        rows = rows.withColumn("_hits", F.array_sort(F.filter("_words", lambda w: w.isin(refs.vocabulary))))
         rows = rows.withColumn("_first", F.filter(F.transform("_hits", lambda w, i: F.when(F.get("_hits", i - 1).eqNullSafe(w), None).otherwise(i)), lambda i: i.isNotNull()))
-        runs = F.transform("_first", lambda p, j: F.struct(F.array_position(vocabulary, F.get("_hits", p)).cast("int").alias("k"), ((F.coalesce(F.get("_first", j + 1), F.size("_hits")) - p) / F.col("_n_tokens")).alias("p")))
-        others = F.struct(F.lit(len(refs.vocabulary) + 1).alias("k"), ((F.col("_n_tokens") - F.size("_hits")) / F.col("_n_tokens")).alias("p"))
-        rows = rows.withColumn("_runs", F.when(F.col("_n_tokens") >= LEAST_TOKENS, F.array_append(runs, others)))
+        runs = F.transform("_first", lambda p, j: F.struct(F.array_position(vocabulary, F.get("_hits", p)).cast("int").alias("k"), ((F.coalesce(F.get("_first", j + 1), F.size("_hits")) - p) / F.col("n_words")).alias("p")))
+        others = F.struct(F.lit(len(refs.vocabulary) + 1).alias("k"), ((F.col("n_words") - F.size("_hits")) / F.col("n_words")).alias("p"))
+        rows = rows.withColumn("_runs", F.when(F.col("n_words") >= LEAST_WORDS_JUDGED, F.array_append(runs, others)))
         shares = F.array(*[F.array(*map(F.lit, q)) for q in refs.words])
 
         def apart(q):
@@ -162,11 +157,11 @@ def verdicts(rows: DataFrame, refs: References) -> DataFrame:
             return distance(F.lit(1.0) + summed(F.transform("_runs", lambda r: half(r["p"], F.element_at(q, r["k"])) + half(F.element_at(q, r["k"]), r["p"]) - F.element_at(q, r["k"]))))
 
         rows = rows.withColumn("word_distance", F.when(F.col("_runs").isNotNull(), F.array_min(F.transform(shares, apart))))
-        rows = rows.drop("_tokens", "_hits", "_first", "_runs")
+        rows = rows.drop("_hits", "_first", "_runs")
     else:
-        rows = rows.withColumn("word_distance", F.lit(None).cast("double")).withColumn("_n_tokens", F.lit(0))
+        rows = rows.withColumn("word_distance", F.lit(None).cast("double"))
     far = F.col("class_distance") > CLASS_DISTANCE[0] + CLASS_DISTANCE[1] / F.sqrt(F.greatest("n_words", F.lit(1)))
-    odd = F.coalesce(F.col("word_distance") > WORD_DISTANCE[0] + WORD_DISTANCE[1] / F.sqrt(F.greatest("_n_tokens", F.lit(1))), F.lit(False))
+    odd = F.coalesce(F.col("word_distance") > WORD_DISTANCE[0] + WORD_DISTANCE[1] / F.sqrt(F.greatest("n_words", F.lit(1))), F.lit(False))
     return rows.withColumn("kept", ~base_failed() & ~far & ~odd)
 
 

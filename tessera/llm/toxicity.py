@@ -23,7 +23,7 @@ TRAIN_DOCS = 3000
 #: An n-gram counts only if so many sampled documents have it.
 LEAST_DOCS = 4
 #: Features that keep a weight: those whose counts differ most between the classes.
-FEATURES = 1 << 15
+FEATURES = 1 << 13
 THRESHOLD = 0.3
 BLOCK = 1 << 20
 ROUNDS, RIDGE = 200, 1e-5
@@ -100,7 +100,9 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, float]:
     sample = common.map_batches(rows, sparse, "grams array<int>, toxic int, share double").toPandas()
     y = sample["toxic"].to_numpy(float)
     length = sample["grams"].map(len).to_numpy()
-    flat, row = np.concatenate(sample["grams"].to_list()).astype(np.int64), np.repeat(np.arange(len(y)), length)
+    flat, row = np.concatenate(sample["grams"].to_list()).astype(np.int32), np.repeat(np.arange(len(y), dtype=np.int32), length)
+    ratio = ratio.astype(np.float32)
+    del sample
     scale = np.sqrt(max(1.0, (ratio[flat] ** 2).sum() / len(y)))  # mean square length 1: the step size is then safe
     w, bias = logistic(row, flat, ratio[flat] / scale, y, len(chosen))
     weights[chosen] = w * ratio / scale
