@@ -37,7 +37,7 @@ STATES, SYMBOLS = 7, 9
 #: Code points that are scanned at a time.
 BLOCK = 1 << 20
 #: Pieces that a worker keeps merged; the cache is emptied when it is full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 120_000
 #: From this length on, pieces are merged with a heap.
 LONG_PIECE = 64
 
