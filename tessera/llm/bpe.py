@@ -37,7 +37,7 @@ STATES, SYMBOLS = 7, 9
 #: Code points that are scanned at a time.
 BLOCK = 1 << 20
 #: Pieces that a worker keeps merged; the cache is emptied when it is full.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 250_000
 #: From this length on, pieces are merged with a heap.
 LONG_PIECE = 64
 
@@ -142,29 +142,29 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.packed = {b: i.to_bytes(4, "little") for b, i in ranks.items()}
+        self.pieces: dict[bytes, bytes] = {}  # a piece's ids as 32-bit numbers, which joining strings puts together
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Merges the adjacent pair of lowest rank, the leftmost first, until no pair has a rank."""
+    def merge(self, piece: bytes) -> bytes:
+        """The piece's ids, four bytes each: the adjacent pair of lowest rank is merged, the leftmost first, until no pair has a rank."""
         ranks = self.ranks
         if piece in ranks:
-            return (ranks[piece],)
+            return self.packed[piece]
         if len(piece) >= LONG_PIECE:
             return self.merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        far, get = len(ranks) + (1 << 40), ranks.get
-        costs = [get(piece[i : i + 2], far) for i in range(len(piece) - 1)]
+        n, far, get = len(piece), len(ranks), self.ranks.get
+        starts, costs = list(range(n + 1)), [get(piece[i : i + 2], far) for i in range(n - 1)]
         while costs and (low := min(costs)) < far:
             i = costs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del costs[i]
-            if i:
-                costs[i - 1] = get(parts[i - 1] + parts[i], far)
+            del starts[i + 1], costs[i]
             if i < len(costs):
-                costs[i] = get(parts[i] + parts[i + 1], far)
-        return tuple(ranks[p] for p in parts)
+                costs[i] = get(piece[starts[i] : starts[i + 2]], far)
+            if i:
+                costs[i - 1] = get(piece[starts[i - 1] : starts[i + 1]], far)
+        packed = self.packed
+        return b"".join([packed[piece[a:b]] for a, b in zip(starts, starts[1:], strict=False)])
 
-    def merge_long(self, piece: bytes) -> tuple[int, ...]:
+    def merge_long(self, piece: bytes) -> bytes:
         n, get = len(piece), self.ranks.get
         end = list(range(1, n + 1))  # of the part that starts here; 0: no part does
         before = list(range(-1, n - 1))
@@ -184,9 +184,9 @@ class Codec:
                 heapq.heappush(heap, (r, j, stop))
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : end[i]]])
+            out.append(self.packed[piece[i : end[i]]])
             i = end[i]
-        return tuple(out)
+        return b"".join(out)
 
     def slices(self, text: str) -> tuple[bytes, np.ndarray]:
         """The text's bytes and the byte offsets at which pre-tokens start, the end included."""
@@ -204,27 +204,25 @@ class Codec:
                 at += len(block)
         return data, np.append(np.concatenate(found), len(data)) if found else np.zeros(1, np.int64)
 
-    def encode(self, text: str) -> tuple[list[int], np.ndarray]:
+    def missed(self, piece: bytes) -> bytes:
+        found = self.merge(piece)
+        if len(piece) < LONG_PIECE:
+            if len(self.pieces) >= CACHE_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Token ids, and the byte offsets of the pre-tokens."""
         if not text:
-            return [], np.zeros(1, np.int64)
+            return np.zeros(0, "<i4"), np.zeros(1, np.int64)
         data, offsets = self.slices(text)
-        ids: list[int] = []
-        pieces, cuts = self.pieces, offsets.tolist()
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            piece = data[a:b]
-            found = pieces.get(piece)
-            if found is None:
-                found = self.merge(piece)
-                if len(piece) < LONG_PIECE:
-                    if len(pieces) >= CACHE_PIECES:
-                        pieces.clear()
-                    pieces[piece] = found
-            ids += found
-        return ids, offsets
-
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        cuts, get, missed = offsets.tolist(), self.pieces.get, self.missed
+        found = [get(piece := data[a:b]) or missed(piece) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return np.frombuffer(b"".join(found), "<i4"), offsets
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -256,18 +254,27 @@ class Shared:
         return self.broadcast.value
 
 
+def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
 def encode(docs: DataFrame, ranks: Shared) -> DataFrame:
     """``doc_id``, ``ids``, ``offsets`` (byte offsets of the pre-tokens, the end included) for each row; null counts as empty."""
+    return round_trip(docs, ranks).drop("decoded")
+
+
+def round_trip(docs: DataFrame, ranks: Shared) -> DataFrame:
+    """As ``encode``, and ``decoded``: the ids decoded again, in the same worker, so that no second one holds the ranks."""
 
     def run(batches):
         codec = codec_of(ranks)
         for b in batches:
             found = [codec.encode(x) for x in common.as_texts(b.column(1))]
-            ids = pa.array([x for x, _ in found], pa.list_(pa.int32()))
-            offsets = pa.array([x for _, x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, offsets], ["doc_id", "ids", "offsets"])
+            decoded = pa.array([codec.decode(x) for x, _ in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), lists([x for x, _ in found], pa.int32()), lists([x for _, x in found], pa.int64()), decoded], ["doc_id", "ids", "offsets", "decoded"])
 
-    return common.map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, offsets array<long>")
+    return common.map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, offsets array<long>, decoded binary")
 
 
 def decode(encoded: DataFrame, ranks: Shared) -> DataFrame:
@@ -277,7 +284,7 @@ def decode(encoded: DataFrame, ranks: Shared) -> DataFrame:
         codec = codec_of(ranks)
         for b in batches:
             ids = b.column(1)
-            values, cuts = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy().tolist()
+            values, cuts = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy().tolist()
             decoded = [codec.decode(values[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -297,5 +304,4 @@ def default_ranks(spark) -> Shared:
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    ranks = default_ranks(spark)
-    return digests(decode(encode(common.read(spark, sf_dir, "documents"), ranks), ranks))
+    return digests(round_trip(common.read(spark, sf_dir, "documents"), default_ranks(spark)))
