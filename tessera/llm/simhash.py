@@ -35,6 +35,8 @@ RADIUS = 4
 HOT_BUCKET = 512
 #: Fingerprints that a bucket of random fingerprints holds on average, at most; more and the blocks get finer.
 BUCKET_MEAN = 64
+#: Removed ids that are broadcast at most: 16 MB as longs.
+BROADCAST_IDS = 1_000_000
 #: Distances of seven pivots lie in one long, a byte each.
 LANES = 7
 PIVOTS = [xxhash.xxh64_intdigest(f"pivot {i}".encode(), SEED) for i in range(2 * LANES)]
@@ -131,13 +133,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, each id once; all columns stay."""
-    classes = near_duplicates(docs, size, radius)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialize(kept.groupBy("doc_id").count(), "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("count > 1").limit(1).count() else out
+def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component, each id once; all columns stay.
+
+    Rows with a null id cannot be told apart and stay.  Up to BROADCAST_IDS
+    removed ids are broadcast, so that no text is shuffled; more are joined.
+    """
+    known = F.col("doc_id").isNotNull()
+    ids = near_duplicates(docs, size, radius).where(known).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    ids = materialize(ids, "ids")
+    removed = ids.where(~F.col("kept")).select(F.col("doc_id").alias("__removed"))
+    if removed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        removed = F.broadcast(removed)
+    out = docs.join(removed, F.col("doc_id") == F.col("__removed"), "left_anti")
+    if ids.where("kept AND n > 1").limit(1).count():
+        out = out.where(known).dropDuplicates(["doc_id"]).unionByName(out.where(~known))
+    return out
 
 
 def op2_simhash_pivots(spark, sf_dir: str) -> DataFrame:
