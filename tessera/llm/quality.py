@@ -188,3 +188,57 @@ def op3_quality_divergence(spark, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     out = judge(docs).withColumn("base_failed", base_failed())
     return out.select(F.col("_row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+w1 AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, regexp_replace(t, '\p{{Ll}}+', '', 'g') AS t1 FROM d),
+w2 AS (SELECT *, regexp_replace(t1, '\p{{Lu}}+', '', 'g') AS t2 FROM w1),
+w3 AS (SELECT *, regexp_replace(t2, '\p{{Nd}}+', '', 'g') AS t3 FROM w2),
+w4 AS (SELECT *, regexp_replace(t3, '[\x20\x09-\x0D]+', '', 'g') AS t4 FROM w3),
+w5 AS (SELECT *, regexp_replace(t4, '{SYMBOLS}+', '', 'g') AS t5 FROM w4),
+c AS (SELECT doc_id, lang, words, lines, [length(t) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4) - length(t5), length(t5)] AS n, length(t) AS size FROM w5),
+parts AS (SELECT doc_id, lang, size, unnest(n) AS n, unnest(range(6)) AS k FROM c),
+sums AS (SELECT lang, k, sum(n) AS n FROM parts GROUP BY lang, k),
+own AS (SELECT lang FROM sums WHERE lang <> '' GROUP BY lang HAVING sum(n) >= {LANGUAGE_SHARE} * (SELECT sum(n) FROM sums)),
+class_refs AS (
+  SELECT lang AS ref, k, n::DOUBLE / greatest(1, sum(n) OVER (PARTITION BY lang)) AS q FROM sums WHERE lang IN (SELECT lang FROM own)
+  UNION ALL SELECT '*', k, sum(n)::DOUBLE / (SELECT sum(n) FROM sums) FROM sums GROUP BY k),
+class_distance AS (
+  SELECT doc_id, min(distance) AS distance FROM (
+    SELECT doc_id, ref, sqrt(greatest(0, 0.5::DOUBLE * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END))) AS distance
+    FROM (SELECT doc_id, k, n::DOUBLE / greatest(size, 1) AS p FROM parts) JOIN class_refs USING (k) GROUP BY doc_id, ref) GROUP BY doc_id),
+words AS (SELECT doc_id, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '' END AS lang, unnest(words) AS word FROM c),
+counts AS (SELECT lang, word, count(*) AS n FROM words GROUP BY lang, word),
+sizes AS (SELECT lang, sum(n) AS size FROM counts GROUP BY lang),
+vocabulary AS (SELECT DISTINCT word FROM counts JOIN sizes USING (lang) WHERE lang <> '' AND n >= greatest(2, {WORD_SHARE} * size)),
+ref_counts AS (
+  SELECT lang AS ref, word, n FROM counts WHERE lang <> '' AND word IN (SELECT word FROM vocabulary)
+  UNION ALL SELECT '*', word, sum(n) FROM counts WHERE word IN (SELECT word FROM vocabulary) GROUP BY word),
+ref_sizes AS (SELECT lang AS ref, size FROM sizes WHERE lang <> '' UNION ALL SELECT '*', sum(size) FROM sizes),
+word_refs AS (
+  SELECT ref, word, n::DOUBLE / size AS q FROM ref_counts JOIN ref_sizes USING (ref)
+  UNION ALL SELECT ref, NULL, (any_value(size) - sum(n))::DOUBLE / any_value(size) FROM ref_counts JOIN ref_sizes USING (ref) GROUP BY ref),
+hits AS (SELECT doc_id, word, count(*) AS n FROM words WHERE word IN (SELECT word FROM vocabulary) GROUP BY doc_id, word),
+judged AS (SELECT doc_id, len(words) AS size FROM c WHERE len(words) >= {LEAST_WORDS_JUDGED}),
+runs AS (
+  SELECT doc_id, word, n::DOUBLE / size AS p FROM hits JOIN judged USING (doc_id)
+  UNION ALL SELECT j.doc_id, NULL, (any_value(j.size) - coalesce(sum(h.n), 0))::DOUBLE / any_value(j.size) FROM judged j LEFT JOIN hits h ON h.doc_id = j.doc_id GROUP BY j.doc_id),
+word_distance AS (
+  SELECT doc_id, min(distance) AS distance FROM (
+    SELECT doc_id, ref, sqrt(greatest(0, 0.5::DOUBLE * (1 + sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END - q)))) AS distance
+    FROM (SELECT r.doc_id, r.word, r.p, f.ref, coalesce(x.q, 0) AS q FROM runs r CROSS JOIN (SELECT DISTINCT ref FROM word_refs) f LEFT JOIN word_refs x ON x.ref = f.ref AND x.word IS NOT DISTINCT FROM r.word)
+    GROUP BY doc_id, ref) GROUP BY doc_id),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM c WHERE len(words) >= {WINDOW})),
+repeated AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS place FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS k FROM windows) WHERE k > 1) GROUP BY doc_id),
+base AS (
+  SELECT c.doc_id, len(words)::BIGINT AS n_words, (size - c.n[4])::BIGINT AS word_chars, c.n[5]::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM c LEFT JOIN repeated r ON r.doc_id = c.doc_id)
+SELECT b.*, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words) AS base_failed,
+  NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words)
+    AND NOT k.distance > {CLASS_DISTANCE[0]}::DOUBLE + {CLASS_DISTANCE[1]}::DOUBLE / sqrt(greatest(n_words, 1))
+    AND NOT coalesce(w.distance > {WORD_DISTANCE[0]}::DOUBLE + {WORD_DISTANCE[1]}::DOUBLE / sqrt(greatest(n_words, 1)), false) AS kept,
+  round(k.distance, 6) AS class_distance, round(w.distance, 6) AS word_distance
+FROM base b JOIN class_distance k ON k.doc_id = b.doc_id LEFT JOIN word_distance w ON w.doc_id = b.doc_id
+"""

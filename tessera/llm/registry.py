@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses, mixing
+from tessera.llm import licenses, mixing, quality
 from tessera.llm.bpe import op4_byte_bpe
 from tessera.llm.html_content import op5_dom_content
 from tessera.llm.language import op1_language_mixture
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_digests": licenses.sql(), "op10_source_mixing": mixing.SQL}
+    return {"op3_quality_divergence": quality.SQL, "op9_license_digests": licenses.sql(), "op10_source_mixing": mixing.SQL}
