@@ -58,7 +58,6 @@ def weighted_set_join(sets: DataFrame, least: float = 0.8) -> DataFrame:
     on = (F.col("a.km") == F.col("b.km")) & (F.col("a.kt") == F.col("b.kt")) & (F.col("a.id") < F.col("b.id"))
     for c in "mt":
         on &= F.least(F.size(f"a.{c}"), F.size(f"b.{c}")) >= floor * F.greatest(F.size(f"a.{c}"), F.size(f"b.{c}"))
-    on &= (m >= floor) & (t >= floor)  # tested in turn: most pairs fail the first
     return a.join(b, on & (score >= least)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), score.alias("score")).distinct()
 
 
