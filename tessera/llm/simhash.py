@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,6 +79,25 @@ def masks(blocks: int, agree: int) -> list[int]:
     return [sum(part[i] for i in chosen) for chosen in combinations(range(blocks), agree)]
 
 
+def pivot_columns(fp: str = "fp") -> list[Column]:
+    """The pivot table's row of a fingerprint: its distances to the pivots, LANES of them in each of two longs."""
+    away = [F.bit_count(F.col(fp).bitwiseXOR(F.lit(signed(p)))).cast("long") for p in PIVOTS]
+    return [sum((F.shiftleft(x, 8 * i) for i, x in enumerate(away[at : at + LANES])), F.lit(0).cast("long")).alias(name) for at, name in ((0, "t0"), (LANES, "t1"))]
+
+
+def verified(a: str, b: str, radius: int) -> Column:
+    """Whether no distance to a pivot differs by more than ``radius``, and no more bits differ than that."""
+    high, most = sum(0x80 << 8 * i for i in range(LANES)), sum(radius << 8 * i for i in range(LANES))
+
+    def near(x, y):  # in each byte, y - x <= radius: the high bit is not borrowed from
+        return (F.col(x).bitwiseOR(F.lit(high)) - F.col(y) + F.lit(most)).bitwiseAND(F.lit(high)) == F.lit(high)
+
+    same = F.lit(True)
+    for t in ("t0", "t1"):
+        same &= near(f"{a}.{t}", f"{b}.{t}") & near(f"{b}.{t}", f"{a}.{t}")
+    return same & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius)
+
+
 def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Edges ``src``, ``dst`` between distinct fingerprints of column ``fp``.
 
@@ -90,21 +109,12 @@ def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) ->
     while n / 2 ** (64 * (blocks - radius) / blocks) > BUCKET_MEAN and blocks < 2 * radius + 2:
         blocks += 1
     chosen = masks(blocks, blocks - radius)
-    table = [sum((F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(p)))).cast("long"), 8 * i) for i, p in enumerate(PIVOTS[at : at + LANES])), F.lit(0).cast("long")) for at in (0, LANES)]
-    keys = fps.select("fp", table[0].alias("t0"), table[1].alias("t1")).select("fp", "t0", "t1", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in chosen])).alias("cut", "bits"))
+    keys = fps.select("fp", *pivot_columns()).select("fp", "t0", "t1", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in chosen])).alias("cut", "bits"))
     hot = keys.groupBy("cut", "bits").count().where(F.col("count") > hot_bucket).select("cut", "bits")
     cold = keys.join(hot, ["cut", "bits"], "left_anti")
 
-    high, most = sum(0x80 << 8 * i for i in range(LANES)), sum(radius << 8 * i for i in range(LANES))
-
-    def near(x, y):  # in each byte, y - x <= radius: the high bit is not borrowed from
-        return (F.col(x).bitwiseOR(F.lit(high)) - F.col(y) + F.lit(most)).bitwiseAND(F.lit(high)) == F.lit(high)
-
     a, b = cold.alias("a"), cold.alias("b")
-    same = (F.col("a.cut") == F.col("b.cut")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp"))
-    for t in ("t0", "t1"):
-        same &= near(f"a.{t}", f"b.{t}") & near(f"b.{t}", f"a.{t}")
-    same &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
+    same = (F.col("a.cut") == F.col("b.cut")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp")) & verified("a", "b", radius)
     pairs = a.join(b, same).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
     steps = [(i, signed(sum(1 << k for k in bits))) for i, m in enumerate(chosen) for r in range(radius // 2 + radius % 2 + 1) for bits in combinations([k for k in range(64) if not m >> k & 1], r)] if hot.limit(1).count() else []
@@ -133,14 +143,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, each id once; all columns stay.
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component in ``found`` (by default, of links by fingerprints), each id once; all columns stay.
 
     Rows with a null id cannot be told apart and stay.  Up to BROADCAST_IDS
     removed ids are broadcast, so that no text is shuffled; more are joined.
     """
     known = F.col("doc_id").isNotNull()
-    ids = near_duplicates(docs, size, radius).where(known).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    ids = (near_duplicates(docs) if found is None else found).where(known).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
     ids = materialize(ids, "ids")
     removed = ids.where(~F.col("kept")).select(F.col("doc_id").alias("__removed"))
     if removed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
