@@ -16,7 +16,7 @@ WORD_SPACE = "\x20\t\n\x0b\x0c\r"
 #: The same as a class of Java's regular expressions.
 WORD_SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Rows that an Arrow batch holds at most, so that long texts keep a worker's memory bounded.
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
