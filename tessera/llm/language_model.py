@@ -1,10 +1,11 @@
 """Language model scoring with a probabilistic suffix tree over bytes.
 
 The tree's states are contexts of up to ``DEPTH`` preceding bytes.  A context
-is a candidate if at least ``LEAST_SHARE`` of all positions have it, so there
-are at most 1 / LEAST_SHARE candidates of each length, however large the corpus.
-It is retained, with its suffixes, if its next-byte distribution diverges from
-its parent's: count times relative entropy of at least ``LEAST_GAIN`` nats.
+is a candidate if it occurs ``LEAST_COUNT`` times, so the candidates grow with
+the corpus.  It is retained, with its suffixes, if its next-byte distribution
+diverges from its parent's: count times relative entropy of at least
+``LEAST_GAIN`` nats.  Contexts that ``HEAD_CONTEXT_SHARE`` of all positions have
+are looked up in a broadcast tree; the others stay a table that is joined.
 Distributions are smoothed towards the parent's (Witten and Bell), the root's
 towards the uniform one.  A text's score is the sum of the log probabilities of
 its bytes and its end, each in the longest retained suffix state.
@@ -19,22 +20,29 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import common
 from tessera.storage import materialize
 
-DEPTH = 5
-LEAST_SHARE = 2e-5
+#: A code holds this many context bytes and nine bits of the next symbol in a long.
+DEPTH = 6
+#: Fewer occurrences would need over 7 nats each to reach LEAST_GAIN.
+LEAST_COUNT = 4
+HEAD_CONTEXT_SHARE = 2e-5
 LEAST_GAIN = 30.0
 HEAD_SHARE = 2e-6
 #: Next symbols: the bytes, and the end of the text.
 END = 256
+#: In place of a child: it is in the table.
+TAIL = -2
 #: Distinct words, and positions, that a task counts before it hands on the counts so far.
 FLUSH_WORDS, FLUSH_POSITIONS = 300_000, 1 << 22
 
@@ -134,48 +142,117 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
 
 class SuffixTree:
-    """Retained contexts as a trie read backwards, with a row of log10 probabilities for each."""
+    """Retained contexts as a trie read backwards, with a row of log10 probabilities for each.
+
+    A child of TAIL is retained, but its row is in the table beside the tree.
+    """
 
     def __init__(self, child: np.ndarray, logs: np.ndarray, depth: int):
         self.child, self.logs, self.depth = child, logs, depth
 
     def score(self, texts: list[bytes]) -> list[float]:
-        """log10 probability of each text."""
-        out: list[float] = []
+        """log10 probability of each text, without the positions that lead to the table."""
+        return [total for total, *_ in self.parts(texts)]
+
+    def parts(self, texts: list[bytes]):
+        """For each text its log10 probability as far as the tree has it, and of the positions that lead to the table: codes, how often, their depths and log10 probabilities in the tree."""
         for group in batches_of(texts, FLUSH_POSITIONS // 4):
             flat, starts = symbols(group)
             at = scored_positions(flat, starts)
             node, alive = np.zeros(len(at), np.int32), np.arange(len(at))
+            reached = np.full(len(at), -1, np.int8)
             for back in range(1, self.depth + 1):
                 found = self.child[node[alive], flat[at[alive] - back] & 0xFF]
+                reached[alive[found == TAIL]] = back - 1
                 alive, found = alive[found >= 0], found[found >= 0]
                 node[alive] = found
             logs = self.logs[node, flat[at]]
+            far = np.flatnonzero(reached >= 0)
+            above = logs[far].copy()
+            logs[far] = 0
             first = starts[:-1] - DEPTH * np.arange(len(group))
-            out += np.add.reduceat(logs, first, dtype=np.float64).tolist()
-        return out
-
-
-def fit_tree(grams: DataFrame, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN) -> SuffixTree:
-    """The tree from ``(code, n)``.  What reaches the driver is bounded: 257 rows for each of at most 1 / least_share contexts of each length."""
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    levels = []
-    for d in range(DEPTH + 1):
-        cut = F.col("code").bitwiseAND(F.lit((1 << (8 * d + 9)) - 1))
-        rows = grams.groupBy(F.shiftright(cut, 9).alias("context"), cut.bitwiseAND(F.lit(511)).alias("symbol")).agg(F.sum("n").alias("n"))
-        if d:
-            often = rows.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1.0, least_share * total)).select("context")
-            rows = rows.join(often, "context", "left_semi")
-        levels.append(rows.select(F.lit(d).alias("d"), "context", "symbol", "n"))
-    found = levels[0]
-    for rows in levels[1:]:
-        found = found.unionByName(rows)
-    table = found.toPandas().sort_values(["d", "context", "symbol"], kind="stable")
-    return grow([table[table["d"] == d][["context", "symbol", "n"]].to_numpy(np.int64) for d in range(DEPTH + 1)], least_gain)
-
-
-def grow(levels: list[np.ndarray], least_gain: float) -> SuffixTree:
-    """Divergence tests and smoothing, level by level, from sorted rows (context, symbol, count)."""
+            totals = np.add.reduceat(logs, first, dtype=np.float64).tolist()
+            codes = gram_codes(group)[far] if len(far) else np.zeros(0, np.int64)
+            cuts = np.searchsorted(far, np.append(first, len(at)))
+            for total, a, b in zip(totals, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                code, where, times = np.unique(codes[a:b], return_index=True, return_counts=True)
+                yield total, code, times, reached[far[a:b]][where], above[a:b][where]
+
+
+def masked(d: int) -> Column:
+    return F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1))
+
+
+def fit(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN, head_share: float = HEAD_CONTEXT_SHARE) -> tuple[SuffixTree, DataFrame]:
+    """The tree of frequent contexts from ``(code, n)``, and the table of the other retained ones.
+
+    The table has ``key`` (length and context), ``backoff`` and ``symbols``, the
+    probabilities of the symbols that follow.  A frequent context is one that
+    head_share of all positions have: the driver gets 257 rows for each of at most
+    1 / head_share of each length, and which of their children are retained.
+    No key of a join has more than 257 rows of a side, one for each byte or symbol.
+    """
+    flat = grams.select(F.shiftright("code", 9).alias("context"), F.col("code").bitwiseAND(F.lit(511)).cast("short").alias("symbol"), "n")
+    by_depth = {DEPTH: flat}
+    for d in range(DEPTH - 1, -1, -1):
+        by_depth[d] = materialize(by_depth[d + 1].groupBy(masked(d).alias("context"), "symbol").agg(F.sum("n").alias("n")), "grams")
+    root = by_depth[0].toPandas()[["context", "symbol", "n"]].to_numpy(np.int64)
+    total = int(root[:, 2].sum())
+    head = max(1.0, head_share * total)
+    spark = grams.sparkSession
+    start = grow([root], least_gain).logs[0].astype(float)
+    above = spark.createDataFrame([(0, i, 10.0**x, total) for i, x in enumerate(start.tolist())], "parent long, symbol short, above double, parent_whole long")
+    levels, tested = [], []
+    for d in range(1, DEPTH + 1):
+        each = Window.partitionBy("context")
+        rows = by_depth[d].select("*", F.sum("n").over(each).alias("whole"), F.count("*").over(each).alias("kinds")).where(F.col("whole") >= least_count)
+        rows = rows.withColumn("parent", masked(d - 1)).join(above, ["parent", "symbol"])
+        rows = materialize(rows.withColumn("p", (F.col("n") + F.col("kinds") * F.col("above")) / (F.col("whole") + F.col("kinds"))), "level")
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("above")))
+        tested.append(materialize(rows.groupBy("context").agg(gain.alias("gain"), F.first("whole").alias("whole"), F.first("parent_whole").alias("parent_whole")), "gains"))
+        levels.append(rows)
+        above = rows.select(F.col("context").alias("parent"), "symbol", F.col("p").alias("above"), F.col("whole").alias("parent_whole"))
+    kept: DataFrame | None = None  # suffixes of retained contexts stay
+    edges, tables = [], []
+    for d in range(DEPTH, 0, -1):
+        some = tested[d - 1].withColumn("own", F.col("gain") >= least_gain)
+        if kept is not None:
+            some = some.join(kept.select(masked(d).alias("context")).distinct().withColumn("below", F.lit(True)), "context", "left").where(F.col("own") | F.col("below").isNotNull())
+        else:
+            some = some.where("own")
+        kept = materialize(some.select("context", "whole", "parent_whole"), "retained")
+        tail = kept.where(F.col("whole") < head)
+        edges.append(tail.where(F.col("parent_whole") >= head).select(F.lit(d).alias("d"), "context"))
+        rows = levels[d - 1].where(F.col("whole") < head).join(tail.select("context"), "context", "left_semi")
+        pairs = F.map_from_entries(F.collect_list(F.struct("symbol", "p")))
+        tables.append(rows.groupBy("context").agg(F.first(F.col("kinds") / (F.col("whole") + F.col("kinds"))).alias("backoff"), pairs.alias("symbols")).select((F.col("context") + F.lit(d << 8 * DEPTH)).alias("key"), "backoff", "symbols"))
+    frequent = [x.where(F.col("whole") >= head).select(F.lit(d).alias("d"), "context", "symbol", "n") for d, x in enumerate(levels, 1)]
+    table = reduce(DataFrame.unionByName, frequent).toPandas().sort_values(["d", "context", "symbol"], kind="stable")
+    below = reduce(DataFrame.unionByName, edges).toPandas()
+    tree = grow([root, *(table[table["d"] == d][["context", "symbol", "n"]].to_numpy(np.int64) for d in range(1, DEPTH + 1))], least_gain, [below[below["d"] == d]["context"].tolist() for d in range(1, DEPTH + 1)])
+    return tree, materialize(reduce(DataFrame.unionByName, tables), "tail")
+
+
+def fit_tree(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> SuffixTree:
+    """All retained contexts in one tree on the driver, for small corpora."""
+    return fit(grams, least_count, least_gain, 0.0)[0]
+
+
+def tail_logs(far: DataFrame, tail: DataFrame) -> DataFrame:
+    """``code``, ``log``: log10 probability of each code in ``far`` (code, depth, above) in its longest retained context."""
+    codes = far.groupBy("code").agg(F.first("depth").alias("depth"), F.first("above").alias("above"))
+    asked = codes.select("*", F.explode(F.sequence(F.col("depth") + 1, F.lit(DEPTH))).alias("d"))
+    mask = F.expr("shiftleft(1L, 8 * d) - 1")
+    asked = asked.withColumn("key", F.shiftright("code", 9).bitwiseAND(mask) + F.expr(f"shiftleft(cast(d as long), {8 * DEPTH})"))
+    found = asked.join(tail, "key").select("code", "above", F.struct("d", F.try_element_at("symbols", F.col("code").bitwiseAND(F.lit(511)).cast("short")).alias("p"), "backoff").alias("step"))
+    # from the shortest context on: a symbol seen there has its own probability, another the shorter context's share
+    steps = found.groupBy("code").agg(F.first("above").alias("above"), F.array_sort(F.collect_list("step")).alias("steps"))
+    p = F.aggregate("steps", F.pow(F.lit(10.0), F.col("above")), lambda acc, x: F.coalesce(x["p"], x["backoff"] * acc))
+    return steps.select("code", F.log10(p).alias("log"))
+
+
+def grow(levels: list[np.ndarray], least_gain: float, below: list[list[int]] | None = None) -> SuffixTree:
+    """Divergence tests and smoothing, level by level, from sorted rows (context, symbol, count); ``below`` has the retained contexts of each level that are in the table, and whose parents are here."""
     size = END + 1
     root = np.bincount(levels[0][:, 1], levels[0][:, 2], size) if len(levels[0]) else np.zeros(size)
     kinds = np.count_nonzero(root)
@@ -184,7 +261,12 @@ def grow(levels: list[np.ndarray], least_gain: float) -> SuffixTree:
     wanted = [True]
     places: dict[int, int] = {0: 0}
     parent_of = [0]
+    leads = []  # (node, byte) that lead to the table
     for d, rows in enumerate(levels[1:], 1):
+        for context in below[d - 1] if below else []:
+            parent = places[context & ((1 << 8 * (d - 1)) - 1)]
+            leads.append((parent, context >> 8 * (d - 1)))
+            wanted[parent] = True
         here: dict[int, int] = {}
         if len(rows):
             contexts, first = np.unique(rows[:, 0], return_index=True)
@@ -213,6 +295,8 @@ def grow(levels: list[np.ndarray], least_gain: float) -> SuffixTree:
     for (parent, byte), node in child.items():
         if wanted[node]:
             table[number[parent], byte] = number[node]
+    for parent, byte in leads:
+        table[number[parent], byte] = TAIL
     logs = np.log10(np.array([p for p, w in zip(probabilities, wanted, strict=True) if w])).astype(np.float32)
     return SuffixTree(table, logs, len(levels) - 1)
 
@@ -233,7 +317,8 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     least = max(1.0, HEAD_SHARE * n)
     frequent = words.where(F.col("n") >= least).toPandas()  # 1 / HEAD_SHARE rows at most
     head = context.broadcast(dict(zip(frequent["key"].tolist(), frequent["n"].tolist(), strict=True)))
-    tree = context.broadcast(fit_tree(grams))
+    fitted, tail = fit(grams)
+    tree = context.broadcast(fitted)
 
     def run(batches):
         known, model, log10 = head.value, tree.value, math.log10
@@ -253,23 +338,30 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                 cuts.append(len(keys))
                 for into, y in zip((tokens, hits, sums), (1 + counted.total(), int(found), total), strict=True):
                     into.append(y)
+            scored = list(model.parts(texts))
+            ends_of = np.cumsum([0, *(len(x[1]) for x in scored)])
+            kinds = (pa.int64(), pa.int32(), pa.int8(), pa.float64())
+            open_rows = pa.StructArray.from_arrays([pa.array(np.concatenate([x[i] for x in scored]) if scored else [], k) for i, k in enumerate(kinds, 1)], ["code", "times", "depth", "above"])
+            far = pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), open_rows)
             rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(repeats, pa.int64())], ["key", "times"]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array(model.score(texts), pa.float64()), rest], ["doc_id", "n_tokens", "head_known", "head_sum", "score", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array([x[0] for x in scored], pa.float64()), rest, far], ["doc_id", "n_tokens", "head_known", "head_sum", "head_score", "rest", "far"])
 
-    schema = "doc_id long, n_tokens long, head_known long, head_sum double, score double, rest array<struct<key: long, times: long>>"
+    schema = "doc_id long, n_tokens long, head_known long, head_sum double, head_score double, rest array<struct<key: long, times: long>>, far array<struct<code: long, times: int, depth: byte, above: double>>"
     # written with their numbers, so that a lost task cannot number them anew
     rows = materialize(common.map_batches(docs.select("doc_id", "text"), run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.key", "r.times")
     rare = rare.join(words.where(F.col("n") < least), "key")
     rare = rare.groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_sum"))
-    out = rows.drop("rest").join(rare, "row", "left")
+    far = rows.select("row", F.inline("far"))
+    more = far.join(tail_logs(far, tail), "code").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("tail_score"))
+    out = rows.drop("rest", "far").join(rare, "row", "left").join(more, "row", "left")
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-        "score",
+        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
     )
 
 

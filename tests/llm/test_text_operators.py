@@ -317,3 +317,19 @@ def test_mixing_targets_and_copies(spark, edge, empty):
         assert math.isclose(rates[s].target, wanted[s]) and abs(taken[s] - wanted[s]) < 0.1 * wanted[s]
     assert Counter(r.doc_id for r in mixing.mix(docs).collect()) == copies
     assert mixing.mix(edge).columns == edge.columns and mixing.mix(empty).count() == 0
+
+
+def test_suffix_tree_tests_contexts_by_count_and_joins_the_rare_ones(spark, monkeypatch):
+    rare = "zq7zq7zq7zq7"
+    docs = table(spark, [" ".join(["the of and"] * 3000)] * 100 + [rare] * 5)  # 20 times in 3.3 million positions
+    rows = {r.doc_id: r.score for r in language_model.score(docs, docs).collect()}
+    assert rows[100] > -12  # by frequent contexts alone each byte costs about 5
+    cases = table(spark, texts(10, 60))
+    grams = language_model.corpus_counts(cases).where("kind = 2").selectExpr("key AS code", "n")
+    whole = language_model.fit_tree(grams, 4, 2.0)
+    expected = whole.score([(t or "").lower().encode() for t in texts(10, 60)])
+    fit = language_model.fit
+    for share in (0.5, 0.01):
+        monkeypatch.setattr(language_model, "fit", lambda g, share=share: fit(g, 4, 2.0, share))
+        found = {r.doc_id: r.score for r in language_model.score(cases, cases).collect()}
+        assert all(math.isclose(found[i], e, rel_tol=1e-5) for i, e in enumerate(expected))
