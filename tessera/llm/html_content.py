@@ -38,8 +38,9 @@ CLOSES = {
 }
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCK - {"ins", "label", "html", "body", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary", "legend"}
+#: Start tags that leave an open head open; any other one ends it, as text does.
+IN_HEAD = set("html head title style script noscript template meta link base".split())
 TRAIN_PAGES, TRAIN_ROUNDS, RIDGE = 400, 300, 1e-3
-MOST_DEPTH = 400
 
 
 class Node:
@@ -63,6 +64,8 @@ class TreeBuilder(HTMLParser):
         self.links = 0
 
     def handle_starttag(self, tag, attrs):
+        if self.hidden == ["head"] and tag not in IN_HEAD:
+            self.hidden.clear()
         if self.hidden:
             if tag not in VOID and tag in HIDDEN:
                 self.hidden.append(tag)
@@ -86,15 +89,18 @@ class TreeBuilder(HTMLParser):
             self.open[-1][1].children.append(Node("hr", self.open[-1][1]))
             return
         block = self.open[-1][1]
-        if tag in BLOCK and len(self.open) < MOST_DEPTH:
+        if tag in BLOCK:
             block.children.append(node := Node(tag, block, names_of(attrs)))
             block = node
         self.links += tag == "a"
         self.open.append((tag, block))
 
     def handle_startendtag(self, tag, attrs):
+        above = [] if self.hidden == ["head"] and tag not in IN_HEAD else list(self.hidden)
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in BLOCK:
+        if len(self.hidden) > len(above):
+            self.hidden.pop()
+        elif tag not in VOID and tag in BLOCK:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
@@ -121,6 +127,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.hidden == ["head"] and data.strip():
+            self.hidden.clear()
         if not self.hidden:
             self.put(data)
 

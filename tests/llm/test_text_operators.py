@@ -333,3 +333,14 @@ def test_suffix_tree_tests_contexts_by_count_and_joins_the_rare_ones(spark, monk
         monkeypatch.setattr(language_model, "fit", lambda g, share=share: fit(g, 4, 2.0, share))
         found = {r.doc_id: r.score for r in language_model.score(cases, cases).collect()}
         assert all(math.isclose(found[i], e, rel_tol=1e-5) for i, e in enumerate(expected))
+
+
+def test_html_open_head_self_closed_and_deep():
+    model = html_content.trained()
+    article = "<article><h1>A title</h1><p>One two three. It is said.</p></article>"
+    wanted = "A title\n\nOne two three. It is said."
+    for start in ("<html><head><title>T</title><body>", "<head><title>T</title><meta charset=utf-8>", "<body><svg/>", "<body><math/>", "<head><title>T</title></head><body><svg><title/><path/></svg>"):
+        assert model.extract(start + article) == wanted, start
+    assert model.extract("<head><script>var a = '<p>';</script><style>p {}</style></head>" + article) == wanted
+    blocks = [n for n in html_content.preorder(html_content.parse("<div>" * 600 + "<p>a</p><p>b</p>")) if n.tag == "#text"]
+    assert [n.text for n in blocks] == [["a"], ["b"]]
