@@ -21,8 +21,10 @@ MOST_REPEATED_PERCENT = 30
 # The characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
 CLASSES = ["lower", "upper", "digit", "space", "symbol", "rest"]
-#: A language has its own references if it holds this share of all characters, so there are 1 / LANGUAGE_SHARE at most.
+#: The references of a language with this share of all characters are compared with every document; there are 1 / LANGUAGE_SHARE at most.
 LANGUAGE_SHARE = 0.01
+#: Any other language with so many characters has references for its own documents; with fewer, they are not judged by distance.
+LEAST_LANGUAGE_CHARS = 10_000
 #: A word is common in a language if it makes up this share of its words, so a language has 1 / WORD_SHARE at most.
 WORD_SHARE = 0.005
 #: Distances allowed: a constant and a part that is divided by the root of the number of words.
@@ -75,14 +77,18 @@ def base_failed() -> Column:
 
 
 class References:
-    """Class shares, common words, and the shares of these words and of all others, for all rows together and for each language."""
+    """Class shares, common words, and the shares of these words and of all others, for all rows together and for each frequent language.
 
-    def __init__(self, classes: list[list[float]], vocabulary: list[str], words: list[list[float]]):
-        self.classes, self.vocabulary, self.words = classes, vocabulary, words
+    ``rare`` has a row for each other language with enough text (``_lang``,
+    ``_q``, ``_common``, ``_shares``); it is None if there is no other language.
+    """
+
+    def __init__(self, classes: list[list[float]], vocabulary: list[str], words: list[list[float]], langs: list[str] | None = None, rare: DataFrame | None = None):
+        self.classes, self.vocabulary, self.words, self.langs, self.rare = classes, vocabulary, words, langs or [], rare
 
 
 def references(docs: DataFrame) -> References:
-    """Both kinds of reference over all rows of ``docs``; a null or rare language counts in the joint one only."""
+    """Both kinds of reference over all rows of ``docs``; a null language, or one below LEAST_LANGUAGE_CHARS, counts in the joint one only."""
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("_text"))
     counted = rows
     left = "_text"
@@ -100,8 +106,14 @@ def references(docs: DataFrame) -> References:
 
     langs = [r["lang"] for r in own]
     known = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise("") if langs else F.lit("")
-    tokens = rows.select(known.alias("lang"), F.explode(word_list(F.col("_text"))).alias("word"))
-    counts = materialize(tokens.groupBy("lang", "word").count(), "words")
+    tokens = rows.select("lang", F.explode(word_list(F.col("_text"))).alias("word"))
+    every = materialize(tokens.groupBy("lang", "word").count(), "words")
+    others = sums.where((F.col("lang") != "") & ~F.col("lang").isin(langs))
+    rare = None
+    counts = every
+    if others.limit(1).count():
+        rare = materialize(rare_references(others, every), "rare-languages")
+        counts = materialize(every.groupBy(known.alias("lang"), "word").agg(F.sum("count").alias("count")), "words")
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
     often = F.lit(False)
     for lang in langs:
@@ -119,7 +131,19 @@ def references(docs: DataFrame) -> References:
         size = sum(sizes.values()) if wanted is None else sizes.get(wanted, 0)
         if sum(n):
             words.append([x / size for x in [*n, size - sum(n)]])
-    return References(classes, vocabulary, words)
+    return References(classes, vocabulary, words, langs, rare)
+
+
+def rare_references(sums: DataFrame, counts: DataFrame) -> DataFrame:
+    """``_lang``, class shares ``_q``, common words ``_common``, and ``_shares`` of these and all others, from class sums and word counts by language."""
+    total = sum(F.col(c) for c in CLASSES)
+    own = sums.where(total >= LEAST_LANGUAGE_CHARS).select("lang", F.array(*[F.col(c) / total for c in CLASSES]).alias("_q"))
+    sizes = counts.groupBy("lang").agg(F.sum("count").alias("size"))
+    shares = counts.join(F.broadcast(own.join(sizes, "lang")), "lang").where(F.col("count") >= F.greatest(F.lit(2.0), WORD_SHARE * F.col("size")))
+    common_words = F.array_sort(F.collect_list(F.struct("word", (F.col("count") / F.col("size")).alias("share"))))
+    found = shares.groupBy("lang").agg(common_words.alias("w"))
+    out = own.join(found, "lang", "left").select(F.col("lang").alias("_lang"), "_q", F.col("w.word").alias("_common"), F.col("w.share").alias("_known"))
+    return out.withColumn("_shares", F.array_append("_known", F.greatest(F.lit(0.0), F.lit(1.0) - summed(F.col("_known"))))).drop("_known")
 
 
 def distance(parts: Column) -> Column:
@@ -135,6 +159,20 @@ def summed(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
 
+def word_runs(rows: DataFrame, vocabulary: Column, common_word) -> DataFrame:
+    """Adds ``_runs``: place in the vocabulary and share of each common word, and of all others; null if the text is too short to be judged, or the vocabulary null."""
+    rows = rows.withColumn("_hits", F.array_sort(F.filter("_words", common_word)))
+    rows = rows.withColumn("_first", F.filter(F.transform("_hits", lambda w, i: F.when(F.get("_hits", i - 1).eqNullSafe(w), None).otherwise(i)), lambda i: i.isNotNull()))
+    runs = F.transform("_first", lambda p, j: F.struct(F.array_position(vocabulary, F.get("_hits", p)).cast("int").alias("k"), ((F.coalesce(F.get("_first", j + 1), F.size("_hits")) - p) / F.col("n_words")).alias("p")))
+    others = F.struct((F.size(vocabulary) + 1).alias("k"), ((F.col("n_words") - F.size("_hits")) / F.col("n_words")).alias("p"))
+    return rows.withColumn("_runs", F.when((F.col("n_words") >= LEAST_WORDS_JUDGED) & vocabulary.isNotNull(), F.array_append(runs, others))).drop("_hits", "_first")
+
+
+def apart(q: Column) -> Column:
+    """Distance of ``_runs`` from a reference; its words that the text lacks add their whole share."""
+    return distance(F.lit(1.0) + summed(F.transform("_runs", lambda r: half(r["p"], F.element_at(q, r["k"])) + half(F.element_at(q, r["k"]), r["p"]) - F.element_at(q, r["k"]))))
+
+
 def verdicts(rows: DataFrame, refs: References) -> DataFrame:
     """Adds ``class_distance``, ``word_distance`` (null where not judged) and ``kept``."""
     if not refs.classes:
@@ -142,27 +180,30 @@ def verdicts(rows: DataFrame, refs: References) -> DataFrame:
     total = sum(F.col(f"_{c}") for c in CLASSES)
     rows = rows.withColumn("_p", F.array(*[F.col(f"_{c}") / F.greatest(total, F.lit(1)) for c in CLASSES]))
     known = F.array(*[F.array(*map(F.lit, q)) for q in refs.classes])
-    rows = rows.withColumn("class_distance", F.array_min(F.transform(known, lambda q: distance(summed(F.zip_with("_p", q, lambda x, y: half(x, y) + half(y, x)))))))
+
+    def from_classes(q):
+        return distance(summed(F.zip_with("_p", q, lambda x, y: half(x, y) + half(y, x))))
+
+    rows = rows.withColumn("class_distance", F.array_min(F.transform(known, from_classes)))
     if refs.words:
         vocabulary = F.array(*map(F.lit, refs.vocabulary))
-        rows = rows.withColumn("_hits", F.array_sort(F.filter("_words", lambda w: w.isin(refs.vocabulary))))
-        rows = rows.withColumn("_first", F.filter(F.transform("_hits", lambda w, i: F.when(F.get("_hits", i - 1).eqNullSafe(w), None).otherwise(i)), lambda i: i.isNotNull()))
-        runs = F.transform("_first", lambda p, j: F.struct(F.array_position(vocabulary, F.get("_hits", p)).cast("int").alias("k"), ((F.coalesce(F.get("_first", j + 1), F.size("_hits")) - p) / F.col("n_words")).alias("p")))
-        others = F.struct(F.lit(len(refs.vocabulary) + 1).alias("k"), ((F.col("n_words") - F.size("_hits")) / F.col("n_words")).alias("p"))
-        rows = rows.withColumn("_runs", F.when(F.col("n_words") >= LEAST_WORDS_JUDGED, F.array_append(runs, others)))
+        rows = word_runs(rows, vocabulary, lambda w: w.isin(refs.vocabulary))
         shares = F.array(*[F.array(*map(F.lit, q)) for q in refs.words])
-
-        def apart(q):
-            # words of the reference that the text lacks add their whole share
-            return distance(F.lit(1.0) + summed(F.transform("_runs", lambda r: half(r["p"], F.element_at(q, r["k"])) + half(F.element_at(q, r["k"]), r["p"]) - F.element_at(q, r["k"]))))
-
-        rows = rows.withColumn("word_distance", F.when(F.col("_runs").isNotNull(), F.array_min(F.transform(shares, apart))))
-        rows = rows.drop("_hits", "_first", "_runs")
+        rows = rows.withColumn("word_distance", F.when(F.col("_runs").isNotNull(), F.array_min(F.transform(shares, apart)))).drop("_runs")
     else:
         rows = rows.withColumn("word_distance", F.lit(None).cast("double"))
+    judged = F.lit(True)
+    if refs.rare is not None:
+        # one row for each language that has enough text
+        rows = rows.join(F.broadcast(refs.rare), F.col("_row.lang") == F.col("_lang"), "left")
+        rows = word_runs(rows, F.col("_common"), lambda w: F.array_contains("_common", w))
+        rows = rows.withColumn("class_distance", F.least("class_distance", from_classes(F.col("_q"))))
+        rows = rows.withColumn("word_distance", F.least("word_distance", F.when(F.col("_runs").isNotNull(), apart(F.col("_shares"))))).drop("_runs")
+        lang = F.coalesce("_row.lang", F.lit(""))
+        judged = lang.isin(["", *refs.langs]) | F.col("_lang").isNotNull()
     far = F.col("class_distance") > CLASS_DISTANCE[0] + CLASS_DISTANCE[1] / F.sqrt(F.greatest("n_words", F.lit(1)))
     odd = F.coalesce(F.col("word_distance") > WORD_DISTANCE[0] + WORD_DISTANCE[1] / F.sqrt(F.greatest("n_words", F.lit(1))), F.lit(False))
-    return rows.withColumn("kept", ~base_failed() & ~far & ~odd)
+    return rows.withColumn("kept", ~base_failed() & ~(judged & (far | odd)))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -344,3 +344,19 @@ def test_html_open_head_self_closed_and_deep():
     assert model.extract("<head><script>var a = '<p>';</script><style>p {}</style></head>" + article) == wanted
     blocks = [n for n in html_content.preorder(html_content.parse("<div>" * 600 + "<p>a</p><p>b</p>")) if n.tag == "#text"]
     assert [n.text for n in blocks] == [["a"], ["b"]]
+
+
+def test_quality_judges_rare_languages_by_themselves(spark):
+    r = random.Random(11)
+
+    def prose(words, n):
+        return " ".join(r.choices(words.split(), k=n)) + "."
+
+    english = "the of and house river walks slowly over green hills while birds sing"
+    arabic = "البيت النهر يمشي ببطء فوق التلال الخضراء بينما الطيور تغني في الصباح"
+    hindi = "घर नदी धीरे चलता हरी पहाड़ियों पर जबकि पक्षी गाते सुबह में"
+    rows = [(i, prose(english, 3000), "en") for i in range(150)] + [(1000 + i, prose(arabic, 60), "ar") for i in range(45)] + [(2000, prose(hindi, 60), "hi"), (2001, prose(english, 10), "hi"), (3000, prose(arabic, 60).replace(" ", " ### "), "ar")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t), 0.5) for i, t, lang in rows], SCHEMA)
+    kept = {x.doc_id: x.kept for x in quality.judge(docs).select("_row.doc_id", "kept").collect()}
+    assert all(kept[i] for i, _, lang in rows if i < 2001)
+    assert not kept[2001] and not kept[3000]
