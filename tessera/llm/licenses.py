@@ -7,6 +7,8 @@ and notices: whole texts by a hash join, and each line by the same digests.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ NAMES = {
 NOTICES = ["{}", "Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This software is released under the {}.", "SPDX-License-Identifier: {}"]
 # Spellings that mean the same in a license, British before American.
 SPELLINGS = {"licence": "license", "organisation": "organization", "authorisation": "authorization", "whilst": "while", "merchantable": "merchantability", "sub license": "sublicense", "non commercial": "noncommercial", "per cent": "percent", "copyright holder": "copyright owner"}
+# Lines that stand above a text that has no title of its own.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "All rights reserved.", "BSD 2-Clause License\nAll rights reserved."],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "All rights reserved.", "BSD 3-Clause License\nAll rights reserved."],
+}
+#: What ends the terms of a text; an appendix on how to apply them may follow.
+TERMS_END = "END OF TERMS AND CONDITIONS"
 VERSIONS = r"\b(?:version|ver|v) ?([0-9])"
 
 
@@ -59,6 +70,18 @@ def notices() -> list[tuple[str, str]]:
     return [(name, n.format(x)) for name, names in NAMES.items() for x in dict.fromkeys([name, *names]) for n in NOTICES]
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """The license texts of ``license_texts``, as they are, below each title, and without what follows the terms."""
+    out = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        name, text = path.stem, path.read_text(encoding="utf-8")
+        out += [(name, text), *((name, f"{x}\n\n{text}") for x in TITLES.get(name, []))]
+        if TERMS_END in text:
+            terms = text[: text.index(TERMS_END)]
+            out += [(name, terms), (name, terms + TERMS_END)]
+    return out
+
+
 def known_digests(spark, texts: list[tuple[str, str]]) -> DataFrame:
     """``digest``, ``license``: one row for each digest, the first license by name if two share one."""
     table = spark.createDataFrame(texts, "license string, text string")
@@ -84,7 +107,7 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
 
 
 def op9_license_digests(spark, sf_dir: str) -> DataFrame:
-    return scan(common.read(spark, sf_dir, "documents"))
+    return scan(common.read(spark, sf_dir, "documents"), notices() + whole_texts())
 
 
 def sql() -> str:

@@ -360,3 +360,13 @@ def test_quality_judges_rare_languages_by_themselves(spark):
     kept = {x.doc_id: x.kept for x in quality.judge(docs).select("_row.doc_id", "kept").collect()}
     assert all(kept[i] for i, _, lang in rows if i < 2001)
     assert not kept[2001] and not kept[3000]
+
+
+def test_licenses_finds_whole_texts(spark, tmp_path):
+    owner = "Copyright (c) 2021 A. Body\n\n"
+    files = {path.stem: path.read_text() for path in (licenses.Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"} <= set(files)
+    cases = [("MIT", "MIT License\n\n" + owner + " ".join(files["MIT"].split())), *((n, owner + t) for n, t in files.items()), (None, files["MIT"] + "and more")]
+    table(spark, [t for _, t in cases]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.license for r in licenses.op9_license_digests(spark, str(tmp_path)).collect()}
+    assert [found[i] for i in range(len(cases))] == [n for n, _ in cases]
