@@ -43,7 +43,7 @@ def collisions(rows: DataFrame) -> DataFrame:
 
     Pass 1 joins reports with equal executions and last execution if they have
     one normalised name, or if a fuzzy match is among three or more.  Pass 2
-    joins what is left by name, used and unused apart.
+    joins what is left by name and executions; unused reports stay apart.
     """
     from tessera.functions.text import norm_name
 
@@ -55,8 +55,8 @@ def collisions(rows: DataFrame) -> DataFrame:
     a, b = rows.alias("a"), first.alias("b")
     marked = a.join(b, (F.col("a.execs") > 0) & (F.col("a.execs") == F.col("b.execs")) & F.col("a.last").eqNullSafe(F.col("b.last")), "left").select("a.*", "c1")
     left = marked.where(F.col("c1").isNull() | (F.col("c1") == F.col("report_id")))
-    second = left.groupBy("norm", (F.col("execs") > 0).alias("used")).agg(F.count("*").alias("n"), F.min_by("report_id", F.struct(F.when(F.col("tier") == "exact", 0).otherwise(1).alias("t"), F.col("report_id").alias("i"))).alias("c2")).where("n >= 2").drop("n")
-    out = marked.withColumn("used", F.col("execs") > 0).join(second, ["norm", "used"], "left")
+    second = left.where("execs > 0").groupBy("norm", "execs").agg(F.count("*").alias("n"), F.min_by("report_id", F.struct(F.when(F.col("tier") == "exact", 0).otherwise(1).alias("t"), F.col("report_id").alias("i"))).alias("c2")).where("n >= 2").drop("n")
+    out = marked.join(second, ["norm", "execs"], "left")
     gone1 = F.col("c1").isNotNull() & (F.col("c1") != F.col("report_id"))
     gone2 = ~gone1 & F.col("c2").isNotNull() & (F.col("c2") != F.col("report_id"))
     return out.select("report_id", F.when(gone1, F.col("c1")).when(gone2, F.col("c2")).otherwise(F.col("report_id")).alias("canonical_id"), F.when(gone1, 1).when(gone2, 2).otherwise(0).alias("pass"))

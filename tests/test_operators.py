@@ -84,3 +84,9 @@ def test_waterfall(spark):
 def test_numbered(spark):
     out = numbered(spark.range(1000).repartition(7), "n", F.desc("id"))
     assert all(x.n == 1000 - x.id for x in out.collect())
+
+
+def test_collisions_keep_different_executions_and_unused_reports(spark):
+    rows = [("r1", "Sales", 10, "t1", "exact_id"), ("r2", "Sales", 20, "t2", "exact_id"), ("r3", "Sales", 20, "t3", "exact_id"), ("r4", "Idle", 0, None, "none"), ("r5", "Idle", 0, None, "none")]
+    found = dedup.collisions(spark.createDataFrame(rows, "report_id string, name string, execs long, last string, tier string"))
+    assert {(x.report_id, x.canonical_id, x["pass"]) for x in found.collect()} == {("r1", "r1", 0), ("r2", "r2", 0), ("r3", "r2", 2), ("r4", "r4", 0), ("r5", "r5", 0)}
