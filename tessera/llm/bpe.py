@@ -11,6 +11,7 @@ expression is run.  The slices then go through a cache of merged pieces.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from functools import cache
 
@@ -231,36 +232,42 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, f)))}
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def codec_of(shared) -> Codec:
-    """One codec for each broadcast and worker, so that its cache outlives a task."""
-    if shared.id not in _codecs:
-        _codecs.clear()
-        _codecs[shared.id] = Codec(shared.value)
-    return _codecs[shared.id]
+_codecs: dict[str, Codec] = {}
 
 
 class Shared:
-    """A broadcast with a name that workers can hold on to."""
+    """Broadcast ranks, and their digest by which a worker knows a codec that it already has."""
 
-    def __init__(self, spark, value):
-        self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = id(self.broadcast)
+    def __init__(self, spark, ranks: dict[bytes, int]):
+        self.broadcast = spark.sparkContext.broadcast(ranks)
+        rows = b"\n".join(b"%d %s" % (i, base64.b64encode(x)) for x, i in sorted(ranks.items()))
+        self.digest = hashlib.sha256(rows).hexdigest()
 
     @property
     def value(self):
         return self.broadcast.value
 
 
+def codec_of(shared: Shared) -> Codec:
+    """One codec for each table of ranks and worker, so that its cache outlives a task."""
+    if shared.digest not in _codecs:
+        _codecs.clear()
+        _codecs[shared.digest] = Codec(shared.value)
+    return _codecs[shared.digest]
+
+
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     cuts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
 def encode(docs: DataFrame, ranks: Shared) -> DataFrame:
-    """``doc_id``, ``ids``, ``offsets`` (byte offsets of the pre-tokens, the end included) for each row; null counts as empty."""
+    """``doc_id``, ``ids``, ``offsets`` (byte offsets of the pre-tokens, the end included) for each row.
+
+    Null counts as empty, which has no id and the offset 0.  Repeated rows are
+    encoded alike, an empty table gives an empty result, texts of any length are
+    encoded whole, and other columns are ignored.
+    """
     return round_trip(docs, ranks).drop("decoded")
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 WORD_SPACE = "\x20\t\n\x0b\x0c\r"
 #: The same as a class of Java's regular expressions.
 WORD_SPACE_CLASS = r"[\x20\x09-\x0D]"
-#: Rows that an Arrow batch holds at most, so that long texts keep a worker's memory bounded.
-BATCH_ROWS = 256
+#: Rows and bytes that an Arrow batch holds at most, so that long texts keep a worker's memory bounded.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,8 +35,15 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of at most BATCH_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` in batches of BATCH_LIMITS.
+
+    Spark has these limits for a session only.  They are set where the session
+    has no setting of its own, when the first such operator is planned.
+    """
+    conf = df.sparkSession.conf
+    for key, limit in BATCH_LIMITS.items():
+        if conf.get(key, None) is None:
+            conf.set(key, limit)
     return df.mapInArrow(run, schema)
 
 

@@ -12,6 +12,7 @@ potentials are fitted on the labelled pages of ``labelled_pages``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import cache
 from html.parser import HTMLParser
 
@@ -24,7 +25,7 @@ from tessera.llm.labelled_pages import NAMES, pages
 
 # Elements of HTML by how they take part in the tree.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template head title svg math iframe object canvas audio video select textarea button option datalist".split())
+HIDDEN = set("script style noscript template head title iframe noembed noframes select textarea button option datalist".split())
 BLOCK = set("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr ins legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul label caption".split())
 #: A start tag closes an open element of these kinds, unless one of the others lies between.
 CLOSES = {
@@ -40,6 +41,8 @@ CLOSES = {
 ENDS_P = BLOCK - {"ins", "label", "html", "body", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary", "legend"}
 #: Start tags that leave an open head open; any other one ends it, as text does.
 IN_HEAD = set("html head title style script noscript template meta link base".split())
+#: Without names and around one other block only, these say nothing about the text inside.
+WRAPPERS = {"div", "section", "center"}
 TRAIN_PAGES, TRAIN_ROUNDS, RIDGE = 400, 300, 1e-3
 
 
@@ -60,9 +63,18 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
         self.open: list[tuple[str, Node]] = [("html", self.root)]  # each open element and the block it lies in
+        self.counts = Counter(["html"])  # of open elements by tag
         self.hidden: list[str] = []
         self.links = 0
 
+    def parse_marked_section(self, i, report=1):
+        """Sections of other document types are comments to a browser."""
+        end = self.rawdata.find(">", i + 2)
+        if end < 0:
+            return -1
+        self.handle_comment(self.rawdata[i + 2 : end])
+        return end + 1
+
     def handle_starttag(self, tag, attrs):
         if self.hidden == ["head"] and tag not in IN_HEAD:
             self.hidden.clear()
@@ -94,6 +106,7 @@ class TreeBuilder(HTMLParser):
             block = node
         self.links += tag == "a"
         self.open.append((tag, block))
+        self.counts[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         above = [] if self.hidden == ["head"] and tag not in IN_HEAD else list(self.hidden)
@@ -111,16 +124,18 @@ class TreeBuilder(HTMLParser):
             elif tag in ("body", "html"):
                 self.hidden.clear()
             return
-        if tag == "p" and not any(t == "p" for t, _ in self.open):
-            return
         if tag not in ("html", "body", "br"):
             self.close_open({tag}, {"article", "table", "body"} - {tag} if tag not in BLOCK else set())
 
     def close_open(self, tags: set, stop: set) -> None:
+        if not any(self.counts[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i][0]
             if tag in tags:
-                self.links -= sum(t == "a" for t, _ in self.open[i:])
+                for t, _ in self.open[i:]:
+                    self.links -= t == "a"
+                    self.counts[t] -= 1
                 del self.open[i:]
                 return
             if tag in stop:
@@ -155,13 +170,20 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+def is_wrapper(node: Node) -> bool:
+    return node.tag in WRAPPERS and not node.names.strip() and len(node.children) == 1 and node.children[0].tag != "#text"
+
+
 def preorder(root: Node) -> list[Node]:
-    """Parents before children, in page order; without text nodes of white space only."""
+    """Parents before children, in page order; without text nodes of white space only, and without wrappers."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         node.children = [c for c in node.children if c.tag != "#text" or any(map(str.strip, c.text))]
-        out.append(node)
+        if is_wrapper(node):
+            node.children[0].parent = node.parent
+        else:
+            out.append(node)
         stack.extend(reversed(node.children))
     return out
 
@@ -265,7 +287,8 @@ def labelled_tree(page: tuple) -> list[tuple[Node, int]]:
             add(x, node, label, linked or tag == "a")
 
     add(page, None, 0, False)
-    return out
+    label = {id(n): x for n, x in out}
+    return [(n, label[id(n)]) for n in preorder(out[0][0])]
 
 
 @cache

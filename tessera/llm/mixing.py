@@ -2,7 +2,7 @@
 
 Words are aggregated by source; a source's target over its size is its
 repetition rate.  Each document is emitted floor(rate) times, and once more if a
-number hashed from its id falls below the rate's fraction.
+number hashed from its id, or from its text if it has none, falls below the rate's fraction.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 50_000
 
 
-def chance(doc_id: str) -> Column:
-    """A number in [0, 1) from the md5 of the seed and the id, which SQL engines agree on."""
-    digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+def chance(doc_id: str, text: str = "text") -> Column:
+    """A number in [0, 1) from the md5 of the seed and the id, or of the text where there is no id; SQL engines agree on it."""
+    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
+    digest = F.md5(F.concat(F.lit(SEED + ":"), key).cast("binary"))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
@@ -81,7 +82,9 @@ def mix(docs: DataFrame) -> DataFrame:
     """The documents of the mix, copies repeated, with the columns of ``docs``.
 
     A null source is a source of its own.  Sources without words have rate 0;
-    rows with the same id are taken alike.
+    rows with the same id are taken alike, rows without one by their text.  Null
+    and empty texts have no word: their copies add none.  An empty table gives an
+    empty result; other columns, whatever their names, stay.
     """
     rates = targets(sizes_of(docs))
     rows = docs.select(F.struct("*").alias("_row"), F.struct("source").alias("_key"), chance("doc_id").alias("_chance"))
@@ -91,15 +94,15 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def op10_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
-    sizes = materialize(sizes_of(docs, "doc_id"), "sizes")
-    rows = sizes.select("doc_id", "size", F.struct("source").alias("_key"), chance("doc_id").alias("_chance"))
+    sizes = materialize(sizes_of(docs.withColumn("_chance", chance("doc_id")), "doc_id", "_chance"), "sizes")
+    rows = sizes.select("doc_id", "size", F.struct("source").alias("_key"), "_chance")
     rows = with_rates(rows, targets(sizes))
     return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (copies() * F.col("size")).cast("long").alias("taken"))
 
 
 SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size
+  SELECT doc_id, source, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))) AS digest, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
@@ -115,7 +118,7 @@ chosen AS (SELECT max(level) FILTER (WHERE level < cap_level) AS level FROM leve
 targets AS (
   SELECT source, source_size, least(coalesce((SELECT level FROM chosen), 0) * weight, (2 * source_size)::DOUBLE) AS target FROM sources)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM (SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+  (size * (floor(rate) + CASE WHEN ('0x' || substr(digest, 1, 12))::BIGINT / 281474976710656.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM (SELECT s.doc_id, s.size, s.digest, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
       FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 """

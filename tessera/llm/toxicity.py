@@ -25,15 +25,15 @@ LEAST_DOCS = 4
 #: Features that keep a weight: those whose counts differ most between the classes.
 FEATURES = 1 << 13
 THRESHOLD = 0.3
+#: Code points that are hashed at a time, so that any length fits in memory.
 BLOCK = 1 << 20
 ROUNDS, RIDGE = 200, 1e-5
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashed n-grams of the lower-cased text, with repeats; letters as they are, anything else as a space."""
-    points = common.code_points(text.lower())
+def grams(part: str) -> np.ndarray:
+    """Hashed n-grams of a part of a lower-cased text, with repeats; letters as they are, anything else as a space."""
+    points = common.code_points(part)
     points = np.where(common.categories()[points] == ord("L"), points, np.uint32(0x20))
-    points = np.concatenate([[np.uint32(0x20)], points, [np.uint32(0x20)]])
     out, h = [], points.copy()
     for n in range(2, max(SIZES) + 1):
         h = h[:-1] * np.uint32(0x01000193) ^ points[n - 1 :] * np.uint32(0x9E3779B1)
@@ -47,10 +47,11 @@ def grams(text: str) -> np.ndarray:
 
 
 def parts(text: str) -> list[str]:
-    """Overlapping parts of a long text; every n-gram lies in one."""
-    if len(text) <= BLOCK:
-        return [text]
-    return [text[i : i + BLOCK + max(SIZES)] for i in range(0, len(text), BLOCK)]
+    """Overlapping parts of the lower-cased text between two spaces; every n-gram lies in one, and each part's n-grams in the text."""
+    whole = f" {text.lower()} "
+    if len(whole) <= BLOCK:
+        return [whole]
+    return [whole[i : i + BLOCK + max(SIZES) - 1] for i in range(0, len(whole), BLOCK)]
 
 
 def features_of(text: str) -> np.ndarray:

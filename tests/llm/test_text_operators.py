@@ -121,6 +121,7 @@ def codec():
 
 def test_bpe_equals_the_library(codec, monkeypatch):
     import public_tokenizers
+    import regex
     import tiktoken
 
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
@@ -132,7 +133,8 @@ def test_bpe_equals_the_library(codec, monkeypatch):
         for t in cases:
             ids, offsets = codec.encode(t)
             assert ids.tolist() == known.encode_ordinary(t) and codec.decode(ids) == t.encode()
-            assert [t.encode()[a:b] for a, b in zip(offsets, offsets[1:], strict=False)] == [b"".join(map(codec.tokens.get, codec.encode(t.encode()[a:b].decode())[0].tolist())) for a, b in zip(offsets, offsets[1:], strict=False)] or "'" in t or " " in t
+            cuts = [len(t[: m.start()].encode()) for m in regex.finditer(public_tokenizers.PATTERN, t)]
+            assert offsets.tolist() == [*cuts, len(t.encode())]
 
 
 def test_bpe_query_edges(spark, edge, empty):
@@ -153,27 +155,56 @@ def test_png_round_trip_and_errors(edge, empty):
         assert (rows[i].n_bytes, rows[i].payload_bytes, rows[i].payload_sha256, rows[i].tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert media.decode_media(media.encode_media(empty)).count() == 0
     good = media.write_png(np.arange(128, dtype=np.uint8).reshape(2, 64))
-    assert media.read_png(good).ravel().tolist() == list(range(128))
-    for broken in (b"", good[:-1], good[:40] + bytes([good[40] ^ 1]) + good[41:]):
+    assert media.read_pngs([good])[0].ravel().tolist() == list(range(128))
+    end = media.chunk(b"IEND", b"")
+    head = media.chunk(b"IHDR", media.struct.pack(">IIBBBBB", 64, 2, 8, 0, 0, 0, 0))
+    bomb = media.SIGNATURE + head + media.chunk(b"IDAT", zlib.compress(bytes(10**6))) + end
+    odd = media.SIGNATURE + head + media.chunk(b"IDAT", zlib.compress(bytes([5] + [0] * 64) * 2)) + end
+    short = media.SIGNATURE + media.chunk(b"IHDR", b"abc") + end
+    broken = [b"", good[:-1], good[:40] + bytes([good[40] ^ 1]) + good[41:], short, bomb, odd]
+    for x in broken:
         with pytest.raises(ValueError):
-            media.read_png(broken)
+            media.read_lines(x)
+    rows = [(i, 1, x) for i, x in enumerate([*broken, None, good])]
+    found = {r.doc_id: r for r in media.decode_media(edge.sparkSession.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert all(found[i].payload_bytes is None and found[i].media_bytes == len(x) for i, x in enumerate(broken))
+    assert found[len(broken)].media_sha256 is None and found[len(broken) + 1].payload_bytes == 128
+
+
+def slow_unfilter(lines):
+    out = [[0] * (lines.shape[1] - 1) for _ in lines]
+    for y, line in enumerate(lines.tolist()):
+        for x, rest in enumerate(line[1:]):
+            a, b = out[y][x - 1] if x else 0, out[y - 1][x] if y else 0
+            c = out[y - 1][x - 1] if x and y else 0
+            p = a + b - c
+            nearest = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            out[y][x] = (rest + [0, a, b, (a + b) // 2, nearest][line[0]]) % 256
+    return out
 
 
-def test_png_filters():
+def test_png_filters_equal_brute_force():
     r = np.random.default_rng(3)
-    image = r.integers(0, 256, (12, 7), dtype=np.uint8)
-    lines = np.zeros((12, 8), np.uint8)
-    for y in range(12):
-        kind = [0, 1, 2, 3, 4, 2, 2, 1, 4, 3, 4, 0][y]
-        lines[y, 0] = kind
-        for x in range(7):
-            a = int(image[y, x - 1]) if x else 0
-            b = int(image[y - 1, x]) if y else 0
-            c = int(image[y - 1, x - 1]) if x and y else 0
-            p = a + b - c
-            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
-            lines[y, x + 1] = (int(image[y, x]) - [0, a, b, (a + b) // 2, paeth][kind]) % 256
-    assert (media.unfilter(lines) == image).all()
+    images = [r.integers(0, 256, (h, 9), dtype=np.uint8) for h in (1, 2, 30, 3)]
+    for x in images:
+        x[:, 0] = r.integers(0, 5, len(x))
+    for found, x in zip(media.unfilter(images), images, strict=True):
+        assert found.tolist() == slow_unfilter(x)
+    smooth = (np.add.outer(np.arange(40) * 3, np.arange(64) * 2) % 256).astype(np.uint8)
+    noisy = np.vstack([smooth, r.integers(0, 256, (20, 64), dtype=np.uint8), np.full((3, 64), 7, np.uint8)])
+    lines = media.filtered(noisy)
+    assert len(set(lines[:, 0].tolist())) >= 3 and slow_unfilter(lines) == noisy.tolist()
+
+
+def test_cosine_hash_equals_the_sums():
+    r = np.random.default_rng(5)
+    image = r.integers(0, 256, (64, 64), dtype=np.uint8)
+    small = [[image[2 * y : 2 * y + 2, 2 * x : 2 * x + 2].mean() for x in range(32)] for y in range(32)]
+    low = [sum(small[y][x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    bits = "".join("1" if c > middle else "0" for c in low)
+    assert media.cosine_hash(image) == f"{int(bits, 2):016x}"
+    assert media.cosine_hash(image[:1]) == media.cosine_hash(image[:1].copy())
 
 
 def test_language_held_out(spark, edge, empty):
@@ -202,10 +233,25 @@ def test_toxicity_learns_and_survives_edges(spark, edge, empty):
     assert all(found[i] == int(i % 3 == 0) for i in range(240))
     assert toxicity.keep_clean(docs, model).count() == 160 and toxicity.keep_clean(edge, model).columns == edge.columns
     assert all(0 <= x.score <= 1 for x in toxicity.score(edge, model).collect())
+    both = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, None), (None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
+    odd = toxicity.training_rows(docs, both).select("doc_id", "toxic").collect()
+    assert sorted((x.doc_id, x.toxic) for x in odd) == sorted((i, t) for i, t in ((1, 0), (1, 1), (3, 0)) if zlib.crc32(str(i).encode()) % 4 != 2)
     nothing = toxicity.fit(toxicity.training_rows(empty, labels))
     assert toxicity.score(empty, nothing).count() == 0
 
 
+@pytest.mark.parametrize("size", [63, 64, 65, 200])
+def test_toxicity_features_do_not_depend_on_blocks(monkeypatch, size):
+    text = "".join(random.Random(size).choices("ab cdß ", k=size))
+    whole = toxicity.features_of(text).tolist()
+    for block in (64, 8, 1):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert toxicity.features_of(text).tolist() == whole
+    padded = f" {text} "
+    expected = {tuple(toxicity.grams(padded[i : i + n])[-1:].tolist()) for n in toxicity.SIZES for i in range(len(padded) - n + 1)}
+    assert {(x,) for x in whole} == expected
+
+
 def test_language_model_base_equals_brute_force(spark, edge, empty):
     cases = [*texts(8, 50), *EDGE[:7]]
     docs = table(spark, cases)
@@ -316,6 +362,12 @@ def test_mixing_targets_and_copies(spark, edge, empty):
     for s in names:
         assert math.isclose(rates[s].target, wanted[s]) and abs(taken[s] - wanted[s]) < 0.1 * wanted[s]
     assert Counter(r.doc_id for r in mixing.mix(docs).collect()) == copies
+    anonymous = spark.createDataFrame([(None, f"{t} {i}", "en", "one" if i % 2 else "two", 0, 0.0) for i, t in enumerate(cases)], SCHEMA)
+    rates = {r.source: r.target for r in mixing.targets(mixing.sizes_of(anonymous)).collect()}
+    taken = Counter()
+    for r in mixing.mix(anonymous).collect():
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - rates[s]) < 0.1 * rates[s] for s in ("one", "two"))
     assert mixing.mix(edge).columns == edge.columns and mixing.mix(empty).count() == 0
 
 
@@ -342,10 +394,24 @@ def test_html_open_head_self_closed_and_deep():
     for start in ("<html><head><title>T</title><body>", "<head><title>T</title><meta charset=utf-8>", "<body><svg/>", "<body><math/>", "<head><title>T</title></head><body><svg><title/><path/></svg>"):
         assert model.extract(start + article) == wanted, start
     assert model.extract("<head><script>var a = '<p>';</script><style>p {}</style></head>" + article) == wanted
+    deep = "<article><p>Start here. Ok.</p>{}<p>A paragraph of several words, in a deep place. It ends.</p><p>Another one of them follows here. It ends too.</p>{}</article>"
+    for depth in (0, 100, 450, 3000):
+        assert model.extract(deep.format("<div>" * depth, "</div>" * depth)).count("\n\n") == 2, depth
+    assert model.extract("<article><p>We show <math><mi>E</mi></math> and <svg><text>F</text></svg> hold. So it is said.</p></article>") == "We show E and F hold. So it is said."
     blocks = [n for n in html_content.preorder(html_content.parse("<div>" * 600 + "<p>a</p><p>b</p>")) if n.tag == "#text"]
     assert [n.text for n in blocks] == [["a"], ["b"]]
 
 
+def test_html_of_any_form_is_read():
+    model, r = html_content.trained(), random.Random(13)
+    signs = ["<![", "<![foo[ x", "<!", "<!--", "-->", "]]>", "<p>", "</p>", "<div>", "</div>", "<svg/>", "<a href='", "'>", "&#x", "&amp", "<script>", "</script", "<title>", "<body", "<?xml", ">", "x y", "<table><tr>", "</table>", "<li>", "\0", "<plaintext>", "<iframe>", "<select><option>", "<![CDATA[", "<![if x]>"]
+    for one in signs:
+        model.extract(one)
+    for _ in range(3000):
+        model.extract("".join(r.choices(signs, k=r.randint(2, 25))))
+    assert model.extract("<article><h1>T</h1><![foo[ x ]]><p>One two three. It is said.</p></article>") == "T\n\nOne two three. It is said."
+
+
 def test_quality_judges_rare_languages_by_themselves(spark):
     r = random.Random(11)
 
