@@ -5,14 +5,14 @@ is a candidate if it occurs ``LEAST_COUNT`` times, so the candidates grow with
 the corpus.  It is retained, with its suffixes, if its next-byte distribution
 diverges from its parent's: count times relative entropy of at least
 ``LEAST_GAIN`` nats.  Contexts that ``HEAD_CONTEXT_SHARE`` of all positions have
-are looked up in a broadcast tree; the others stay a table that is joined.
+are looked up in a broadcast tree with a full row of probabilities each; the
+next most frequent ones, of ``NEAR_PAIRS`` symbols together, in a broadcast
+sorted array of the symbols seen; all others stay a table that is joined.
 Distributions are smoothed towards the parent's (Witten and Bell), the root's
 towards the uniform one.  A text's score is the sum of the log probabilities of
 its bytes and its end, each in the longest retained suffix state.
 
-The base score is an add-one unigram model over whole words, which are told
-apart by 64-bit hashes.  Words that make
-up ``HEAD_SHARE`` of all tokens or more (at most 1 / HEAD_SHARE words) are
+The base score is an add-one unigram model over whole words.  Words that make up ``HEAD_SHARE`` of all tokens or more (at most 1 / HEAD_SHARE words) are
 looked up in a broadcast table; the others are joined.
 """
 
@@ -24,13 +24,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import common
-from tessera.storage import materialize
+from tessera.storage import discard, materialize
 
 #: A code holds this many context bytes and nine bits of the next symbol in a long.
 DEPTH = 6
@@ -38,6 +37,8 @@ DEPTH = 6
 LEAST_COUNT = 4
 HEAD_CONTEXT_SHARE = 2e-5
 LEAST_GAIN = 30.0
+#: Symbols after contexts that the broadcast array holds at most: 12 bytes each.
+NEAR_PAIRS = 1 << 21
 HEAD_SHARE = 2e-6
 #: Next symbols: the bytes, and the end of the text.
 END = 256
@@ -94,23 +95,23 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return all_codes[first], np.add.reduceat(all_counts, first)
 
 
-def word_key(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 8) - (1 << 63)
-
-
-#: Kinds of count: ends of texts, words by their key, and positions by their code.
+#: Kinds of count: ends of texts, words, and positions by their code.
 ENDS, WORDS, CODES = range(3)
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """``(kind, key, n)`` over all texts; ends have key 0."""
+    """``(kind, key, word, n)`` over all texts; only words have a word, and only positions a key that is not 0."""
 
     def run(batches):
         words: Counter = Counter()
         ends, codes, counts, pending = 0, [], [], 0
 
-        def out(kind, keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n"])
+        def out(kind, keys, n, word=None):
+            found = pa.nulls(len(n), pa.binary()) if word is None else pa.array(word, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), pa.array(keys, pa.int64()), found, pa.array(n, pa.int64())], ["kind", "key", "word", "n"])
+
+        def out_words():
+            return out(WORDS, np.zeros(len(words), np.int64), list(words.values()), list(words))
 
         for b in batches:
             texts = [x.lower() for x in common.as_bytes(b.column(0))]  # of bytes: lowers A-Z only
@@ -118,7 +119,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             for x in texts:
                 words.update(x.split())
                 if len(words) > FLUSH_WORDS:
-                    yield out(WORDS, [word_key(w) for w in words], list(words.values()))
+                    yield out_words()
                     words.clear()
             for group in batches_of(texts, FLUSH_POSITIONS // 4):
                 code, n = np.unique(gram_codes(group), return_counts=True)
@@ -133,12 +134,12 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                         codes, counts, pending = [], [], 0
         if ends:
             yield out(ENDS, [0], [ends])
-            yield out(WORDS, [word_key(w) for w in words], list(words.values()))
+            yield out_words()
         if codes:
             yield out(CODES, *merged(codes, counts))
 
-    raw = common.map_batches(docs.select("text"), run, "kind byte, key long, n long")
-    return materialize(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "corpus-counts")
+    raw = common.map_batches(docs.select("text"), run, "kind byte, key long, word binary, n long")
+    return materialize(raw.groupBy("kind", "key", "word").agg(F.sum("n").alias("n")), "corpus-counts")
 
 
 class SuffixTree:
@@ -154,8 +155,8 @@ class SuffixTree:
         """log10 probability of each text, without the positions that lead to the table."""
         return [total for total, *_ in self.parts(texts)]
 
-    def parts(self, texts: list[bytes]):
-        """For each text its log10 probability as far as the tree has it, and of the positions that lead to the table: codes, how often, their depths and log10 probabilities in the tree."""
+    def parts(self, texts: list[bytes], near: Near | None = None):
+        """For each text its log10 probability as far as the tree and ``near`` have it, and of the positions that lead to the table: codes, how often, their depths and log10 probabilities so far."""
         for group in batches_of(texts, FLUSH_POSITIONS // 4):
             flat, starts = symbols(group)
             at = scored_positions(flat, starts)
@@ -166,17 +167,53 @@ class SuffixTree:
                 reached[alive[found == TAIL]] = back - 1
                 alive, found = alive[found >= 0], found[found >= 0]
                 node[alive] = found
-            logs = self.logs[node, flat[at]]
+            logs = self.logs[node, flat[at]].astype(np.float64)
             far = np.flatnonzero(reached >= 0)
-            above = logs[far].copy()
-            logs[far] = 0
+            code, where, place = np.unique(gram_codes(group)[far] if len(far) else np.zeros(0, np.int64), return_index=True, return_inverse=True)
+            depth, above = reached[far][where], logs[far][where]  # equal codes have equal ones
+            still = np.ones(len(code), bool)
+            if near is not None:
+                depth, above, still = near.follow(code, depth, above)
+            logs[far] = np.where(still[place], 0, above[place])
             first = starts[:-1] - DEPTH * np.arange(len(group))
-            totals = np.add.reduceat(logs, first, dtype=np.float64).tolist()
-            codes = gram_codes(group)[far] if len(far) else np.zeros(0, np.int64)
+            totals = np.add.reduceat(logs, first).tolist()
+            far, place = far[still[place]], place[still[place]]
             cuts = np.searchsorted(far, np.append(first, len(at)))
             for total, a, b in zip(totals, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                code, where, times = np.unique(codes[a:b], return_index=True, return_counts=True)
-                yield total, code, times, reached[far[a:b]][where], above[a:b][where]
+                used, times = np.unique(place[a:b], return_counts=True)
+                yield total, code[used], times, depth[used], above[used]
+
+
+class Near:
+    """Retained contexts below the tree, as sorted arrays: keys, back-offs, whether the table continues them; (key's place, symbol) and log10 probabilities."""
+
+    def __init__(self, table):
+        table = table.sort_values("key", kind="stable")
+        self.keys, self.deeper = table["key"].to_numpy(np.int64), table["deeper"].to_numpy(bool)
+        self.backoff = np.log10(table["backoff"].to_numpy(np.float64))
+        sizes = table["seen"].map(len).to_numpy(np.int64)
+        seen = np.concatenate([np.zeros(0, np.int64), *table["seen"]]).astype(np.int64)
+        pairs = np.repeat(np.arange(len(table)), sizes) << 9 | seen
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, self.logs = pairs[order], np.log10(np.concatenate([np.zeros(0), *table["p"]])[order]).astype(np.float32)
+
+    def follow(self, code: np.ndarray, depth: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Depth and log10 probability of each code in its longest context here, and whether the table may have a longer one."""
+        depth, above, open_ = depth.copy(), above.copy(), np.ones(len(code), bool)
+        alive = np.arange(len(code)) if len(self.keys) else np.zeros(0, np.int64)
+        while len(alive):
+            alive = alive[depth[alive] < DEPTH]
+            d = depth[alive].astype(np.int64) + 1
+            key = (code[alive] >> 9 & (np.int64(1) << 8 * d) - 1) + (d << 8 * DEPTH)
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            same = self.keys[place] == key
+            alive, place = alive[same], place[same]
+            pair = place << 9 | code[alive] & 511
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            above[alive] = np.where(self.pairs[at] == pair, self.logs[at], self.backoff[place] + above[alive])
+            depth[alive] += 1
+            open_[alive] = self.deeper[place]
+        return depth, above, open_
 
 
 def masked(d: int) -> Column:
@@ -186,7 +223,7 @@ def masked(d: int) -> Column:
 def fit(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN, head_share: float = HEAD_CONTEXT_SHARE) -> tuple[SuffixTree, DataFrame]:
     """The tree of frequent contexts from ``(code, n)``, and the table of the other retained ones.
 
-    The table has ``key`` (length and context), ``backoff`` and ``symbols``, the
+    The table has ``key`` (length and context), ``backoff``, ``whole`` (its count) and ``symbols``, the
     probabilities of the symbols that follow.  A frequent context is one that
     head_share of all positions have: the driver gets 257 rows for each of at most
     1 / head_share of each length, and which of their children are retained.
@@ -202,7 +239,7 @@ def fit(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float =
     spark = grams.sparkSession
     start = grow([root], least_gain).logs[0].astype(float)
     above = spark.createDataFrame([(0, i, 10.0**x, total) for i, x in enumerate(start.tolist())], "parent long, symbol short, above double, parent_whole long")
-    levels, tested = [], []
+    levels, tested, retained = [], [], []
     for d in range(1, DEPTH + 1):
         each = Window.partitionBy("context")
         rows = by_depth[d].select("*", F.sum("n").over(each).alias("whole"), F.count("*").over(each).alias("kinds")).where(F.col("whole") >= least_count)
@@ -221,16 +258,19 @@ def fit(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float =
         else:
             some = some.where("own")
         kept = materialize(some.select("context", "whole", "parent_whole"), "retained")
+        retained.append(kept)
         tail = kept.where(F.col("whole") < head)
         edges.append(tail.where(F.col("parent_whole") >= head).select(F.lit(d).alias("d"), "context"))
         rows = levels[d - 1].where(F.col("whole") < head).join(tail.select("context"), "context", "left_semi")
         pairs = F.map_from_entries(F.collect_list(F.struct("symbol", "p")))
-        tables.append(rows.groupBy("context").agg(F.first(F.col("kinds") / (F.col("whole") + F.col("kinds"))).alias("backoff"), pairs.alias("symbols")).select((F.col("context") + F.lit(d << 8 * DEPTH)).alias("key"), "backoff", "symbols"))
+        tables.append(rows.groupBy("context").agg(F.first(F.col("kinds") / (F.col("whole") + F.col("kinds"))).alias("backoff"), F.first("whole").alias("whole"), pairs.alias("symbols")).select((F.col("context") + F.lit(d << 8 * DEPTH)).alias("key"), "backoff", "whole", "symbols"))
     frequent = [x.where(F.col("whole") >= head).select(F.lit(d).alias("d"), "context", "symbol", "n") for d, x in enumerate(levels, 1)]
     table = reduce(DataFrame.unionByName, frequent).toPandas().sort_values(["d", "context", "symbol"], kind="stable")
     below = reduce(DataFrame.unionByName, edges).toPandas()
     tree = grow([root, *(table[table["d"] == d][["context", "symbol", "n"]].to_numpy(np.int64) for d in range(1, DEPTH + 1))], least_gain, [below[below["d"] == d]["context"].tolist() for d in range(1, DEPTH + 1)])
-    return tree, materialize(reduce(DataFrame.unionByName, tables), "tail")
+    tail = materialize(reduce(DataFrame.unionByName, tables), "tail")
+    discard(*(by_depth[d] for d in range(DEPTH)), *levels, *tested, *retained)
+    return tree, tail
 
 
 def fit_tree(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> SuffixTree:
@@ -238,8 +278,31 @@ def fit_tree(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: flo
     return fit(grams, least_count, least_gain, 0.0)[0]
 
 
+def split(tail: DataFrame, most: int = NEAR_PAIRS) -> tuple[Near, DataFrame | None]:
+    """The contexts of the table that are broadcast, at most ``most`` symbols together and the most frequent ones, and the table of the others, None if there is none."""
+    size = F.floor(F.log2(F.col("whole") + 0.5)).cast("int")
+    steps = tail.groupBy(size.alias("size")).agg(F.sum(F.size("symbols")).alias("n")).orderBy(F.desc("size")).collect()  # 64 rows at most
+    least, held = 64, 0
+    for r in steps:
+        if held + r["n"] > most:
+            break
+        least, held = r["size"], held + r["n"]
+    near = tail.where(size >= least)
+    rest = tail.where(size < least)
+    if len(steps) == 0 or least <= steps[-1]["size"]:
+        rest = None
+        near = near.withColumn("deeper", F.lit(False))
+    else:
+        d = F.shiftright("key", 8 * DEPTH)
+        above = F.col("key").bitwiseAND(F.expr(f"shiftleft(1L, cast(8 * (shiftright(key, {8 * DEPTH}) - 1) as int)) - 1")) + F.shiftleft(d - 1, 8 * DEPTH)
+        above = rest.select(above.alias("key")).distinct().withColumn("deeper", F.lit(True))
+        near = near.join(above, "key", "left").withColumn("deeper", F.coalesce("deeper", F.lit(False)))
+    pairs = F.map_entries("symbols")
+    return Near(near.select("key", "backoff", "deeper", F.transform(pairs, lambda x: x["key"].cast("int")).alias("seen"), F.transform(pairs, lambda x: x["value"]).alias("p")).toPandas()), rest
+
+
 def tail_logs(far: DataFrame, tail: DataFrame) -> DataFrame:
-    """``code``, ``log``: log10 probability of each code in ``far`` (code, depth, above) in its longest retained context."""
+    """``code``, ``log``: log10 probability of each code in ``far`` (code, depth, above) in its longest retained context, for codes that have one in ``tail``."""
     codes = far.groupBy("code").agg(F.first("depth").alias("depth"), F.first("above").alias("above"))
     asked = codes.select("*", F.explode(F.sequence(F.col("depth") + 1, F.lit(DEPTH))).alias("d"))
     mask = F.expr("shiftleft(1L, 8 * d) - 1")
@@ -309,52 +372,57 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     0 and the tree is the uniform distribution.
     """
     counted = corpus_counts(train)
-    words, grams = counted.where(F.col("kind") == WORDS).select("key", "n"), counted.where(F.col("kind") == CODES).select(F.col("key").alias("code"), "n")
+    words, grams = counted.where(F.col("kind") == WORDS).select("word", "n"), counted.where(F.col("kind") == CODES).select(F.col("key").alias("code"), "n")
     totals = {r["kind"]: r for r in counted.where(F.col("kind") != CODES).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     n, v = (sum(r[c] for r in totals.values()) for c in ("n", "v"))
     ends = totals[ENDS]["n"] if ENDS in totals else 0
     context = docs.sparkSession.sparkContext
     least = max(1.0, HEAD_SHARE * n)
     frequent = words.where(F.col("n") >= least).toPandas()  # 1 / HEAD_SHARE rows at most
-    head = context.broadcast(dict(zip(frequent["key"].tolist(), frequent["n"].tolist(), strict=True)))
+    head = context.broadcast(dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist(), strict=True)))
     fitted, tail = fit(grams)
-    tree = context.broadcast(fitted)
+    close, rest = split(tail)
+    tree, near = context.broadcast(fitted), context.broadcast(close)
 
     def run(batches):
-        known, model, log10 = head.value, tree.value, math.log10
+        known, model, beside, log10 = head.value, tree.value, near.value, math.log10
         for b in batches:
             texts = [x.lower() for x in common.as_bytes(b.column(1))]
-            tokens, hits, sums, cuts, keys, repeats = [], [], [], [0], [], []
+            tokens, hits, sums, cuts, unknown, repeats = [], [], [], [0], [], []
             for x in texts:
                 counted = Counter(x.split())
                 found, total = ends and 1, log10(ends + 1)
-                for key, times in zip(map(word_key, counted), counted.values(), strict=True):
-                    if (c := known.get(key)) is None:
-                        keys.append(key)
+                for word, times in counted.items():
+                    if (c := known.get(word)) is None:
+                        unknown.append(word)
                         repeats.append(times)
                     else:
                         found += times
                         total += times * log10(c + 1)
-                cuts.append(len(keys))
+                cuts.append(len(unknown))
                 for into, y in zip((tokens, hits, sums), (1 + counted.total(), int(found), total), strict=True):
                     into.append(y)
-            scored = list(model.parts(texts))
+            scored = list(model.parts(texts, beside))
             ends_of = np.cumsum([0, *(len(x[1]) for x in scored)])
             kinds = (pa.int64(), pa.int32(), pa.int8(), pa.float64())
             open_rows = pa.StructArray.from_arrays([pa.array(np.concatenate([x[i] for x in scored]) if scored else [], k) for i, k in enumerate(kinds, 1)], ["code", "times", "depth", "above"])
             far = pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), open_rows)
-            rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(repeats, pa.int64())], ["key", "times"]))
+            rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(unknown, pa.binary()), pa.array(repeats, pa.int64())], ["word", "times"]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array([x[0] for x in scored], pa.float64()), rest, far], ["doc_id", "n_tokens", "head_known", "head_sum", "head_score", "rest", "far"])
 
-    schema = "doc_id long, n_tokens long, head_known long, head_sum double, head_score double, rest array<struct<key: long, times: long>>, far array<struct<code: long, times: int, depth: byte, above: double>>"
+    schema = "doc_id long, n_tokens long, head_known long, head_sum double, head_score double, rest array<struct<word: binary, times: long>>, far array<struct<code: long, times: int, depth: byte, above: double>>"
     # written with their numbers, so that a lost task cannot number them anew
     rows = materialize(common.map_batches(docs.select("doc_id", "text"), run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.key", "r.times")
-    rare = rare.join(words.where(F.col("n") < least), "key")
+    rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
+    rare = rare.join(words.where(F.col("n") < least), "word")
     rare = rare.groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_sum"))
-    far = rows.select("row", F.inline("far"))
-    more = far.join(tail_logs(far, tail), "code").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("tail_score"))
-    out = rows.drop("rest", "far").join(rare, "row", "left").join(more, "row", "left")
+    out = rows.drop("rest", "far").join(rare, "row", "left")
+    if rest is None:
+        out = out.withColumn("tail_score", F.lit(0.0))
+    else:
+        far = rows.select("row", F.inline("far"))
+        more = far.join(tail_logs(far, rest), "code", "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce("log", "above")).alias("tail_score"))
+        out = out.join(more, "row", "left")
     return out.select(
         "doc_id",
         "n_tokens",

@@ -381,8 +381,10 @@ def test_suffix_tree_tests_contexts_by_count_and_joins_the_rare_ones(spark, monk
     whole = language_model.fit_tree(grams, 4, 2.0)
     expected = whole.score([(t or "").lower().encode() for t in texts(10, 60)])
     fit = language_model.fit
-    for share in (0.5, 0.01):
+    split = language_model.split
+    for share, near in ((0.5, 1 << 21), (0.01, 300), (0.01, 0), (0.5, 2000), (0.0, 10)):
         monkeypatch.setattr(language_model, "fit", lambda g, share=share: fit(g, 4, 2.0, share))
+        monkeypatch.setattr(language_model, "split", lambda t, near=near: split(t, near))
         found = {r.doc_id: r.score for r in language_model.score(cases, cases).collect()}
         assert all(math.isclose(found[i], e, rel_tol=1e-5) for i, e in enumerate(expected))
 
