@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize
+from tessera.storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -27,15 +27,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         offers = hooks.select("node", "low").unionByName(hooks.select(F.col("label").alias("node"), "low"))
         offers = offers.groupBy("node").agg(F.min("low").alias("low"))
         lower = labels.join(offers, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        lower = materialize(lower, "hooked")
+        lower, before = materialize(lower, "hooked"), labels
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
         jumped = lower.join(jump, "label").select("node", F.col("beyond").alias("label"), (F.col("was") != F.col("beyond")).alias("moved"))
-        jumped = materialize(jumped, "labels")
-        labels = jumped.select("node", "label")
-        if not jumped.where("moved").limit(1).count():
+        labels = materialize(jumped, "labels")
+        discard(lower, before)
+        if not labels.where("moved").limit(1).count():
+            discard(pairs)
             return labels.select("node", F.col("label").alias("component"))
-
-
-def least_first(*order: Column) -> list[Column]:
-    """Sort columns ascending, nulls last, for rankings that must not depend on row order."""
-    return [c.asc_nulls_last() for c in order]
