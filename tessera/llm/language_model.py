@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,10 +36,10 @@ from tessera.storage import discard, materialize
 DEPTH = 6
 #: Fewer occurrences would need over 7 nats each to reach LEAST_GAIN.
 LEAST_COUNT = 4
-HEAD_CONTEXT_SHARE = 2e-5
+HEAD_CONTEXT_SHARE = 4e-5
 LEAST_GAIN = 30.0
 #: Symbols after contexts that the broadcast array holds at most: 12 bytes each.
-NEAR_PAIRS = 1 << 21
+NEAR_PAIRS = 3 << 19
 HEAD_SHARE = 2e-6
 #: Next symbols: the bytes, and the end of the text.
 END = 256
@@ -57,21 +58,18 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, starts
 
 
-def scored_positions(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The positions of bytes and ends: all but the zeros before each text."""
+def gram_codes(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each byte and end: the DEPTH bytes before it (the nearest one lowest) above nine bits of the symbol itself."""
+    low = (flat & 0xFF).astype(np.int64)
+    code = np.zeros(len(flat) - DEPTH, np.int64)
+    for back in range(DEPTH, 0, -1):
+        code <<= 8
+        code |= low[DEPTH - back : len(low) - back]
+    code <<= 9
+    code |= flat[DEPTH:]
     wanted = np.ones(len(flat), bool)
     wanted[(starts[:-1, None] + np.arange(DEPTH)).ravel()] = False
-    return np.flatnonzero(wanted)
-
-
-def gram_codes(texts: list[bytes]) -> np.ndarray:
-    """Context bytes (the nearest one lowest) above nine bits of the next symbol, one code for each position."""
-    flat, starts = symbols(texts)
-    at = scored_positions(flat, starts)
-    code = np.zeros(len(at), np.int64)
-    for back in range(DEPTH, 0, -1):
-        code = code << 8 | (flat[at - back] & 0xFF)
-    return code << 9 | flat[at]
+    return code[wanted[DEPTH:]]
 
 
 def batches_of(texts: list[bytes], most: int):
@@ -122,7 +120,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                     yield out_words()
                     words.clear()
             for group in batches_of(texts, FLUSH_POSITIONS // 4):
-                code, n = np.unique(gram_codes(group), return_counts=True)
+                code, n = np.unique(gram_codes(*symbols(group)), return_counts=True)
                 codes.append(code)
                 counts.append(n)
                 pending += len(code)
@@ -159,43 +157,47 @@ class SuffixTree:
         """For each text its log10 probability as far as the tree and ``near`` have it, and of the positions that lead to the table: codes, how often, their depths and log10 probabilities so far."""
         for group in batches_of(texts, FLUSH_POSITIONS // 4):
             flat, starts = symbols(group)
-            at = scored_positions(flat, starts)
-            node, alive = np.zeros(len(at), np.int32), np.arange(len(at))
-            reached = np.full(len(at), -1, np.int8)
-            for back in range(1, self.depth + 1):
-                found = self.child[node[alive], flat[at[alive] - back] & 0xFF]
-                reached[alive[found == TAIL]] = back - 1
+            code, place = np.unique(gram_codes(flat, starts), return_inverse=True)
+            node, alive = np.zeros(len(code), np.int32), np.arange(len(code))
+            depth = np.full(len(code), -1, np.int8)
+            for back in range(self.depth):
+                found = self.child[node[alive], code[alive] >> 9 + 8 * back & 0xFF]
+                depth[alive[found == TAIL]] = back
                 alive, found = alive[found >= 0], found[found >= 0]
                 node[alive] = found
-            logs = self.logs[node, flat[at]].astype(np.float64)
-            far = np.flatnonzero(reached >= 0)
-            code, where, place = np.unique(gram_codes(group)[far] if len(far) else np.zeros(0, np.int64), return_index=True, return_inverse=True)
-            depth, above = reached[far][where], logs[far][where]  # equal codes have equal ones
-            still = np.ones(len(code), bool)
+            logs = self.logs[node, code & 511].astype(np.float64)
+            far = np.flatnonzero(depth >= 0)
             if near is not None:
-                depth, above, still = near.follow(code, depth, above)
-            logs[far] = np.where(still[place], 0, above[place])
+                depth[far], logs[far], still = near.follow(code[far], depth[far], logs[far])
+                far = far[still]
             first = starts[:-1] - DEPTH * np.arange(len(group))
-            totals = np.add.reduceat(logs, first).tolist()
-            far, place = far[still[place]], place[still[place]]
-            cuts = np.searchsorted(far, np.append(first, len(at)))
+            above = logs[far].copy()
+            logs[far] = 0
+            totals = np.add.reduceat(logs[place], first).tolist()
+            if not len(far):
+                yield from ((total, far, far, far, above) for total in totals)
+                continue
+            number = np.full(len(code), -1, np.int64)
+            number[far] = np.arange(len(far))
+            number = number[place]
+            open_ = np.flatnonzero(number >= 0)
+            cuts = np.searchsorted(open_, np.append(first, len(number)))
             for total, a, b in zip(totals, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                used, times = np.unique(place[a:b], return_counts=True)
-                yield total, code[used], times, depth[used], above[used]
+                used, times = np.unique(number[open_[a:b]], return_counts=True)
+                yield total, code[far[used]], times, depth[far[used]], above[used]
 
 
 class Near:
     """Retained contexts below the tree, as sorted arrays: keys, back-offs, whether the table continues them; (key's place, symbol) and log10 probabilities."""
 
-    def __init__(self, table):
-        table = table.sort_values("key", kind="stable")
-        self.keys, self.deeper = table["key"].to_numpy(np.int64), table["deeper"].to_numpy(bool)
-        self.backoff = np.log10(table["backoff"].to_numpy(np.float64))
-        sizes = table["seen"].map(len).to_numpy(np.int64)
-        seen = np.concatenate([np.zeros(0, np.int64), *table["seen"]]).astype(np.int64)
-        pairs = np.repeat(np.arange(len(table)), sizes) << 9 | seen
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks().sort_by("key")
+        self.keys, self.deeper = (table.column(c).to_numpy() for c in ("key", "deeper"))
+        self.backoff = np.log10(table.column("backoff").to_numpy())
+        sizes, seen, p = (pc.list_value_length(table.column("seen")).to_numpy(), *(pc.list_flatten(table.column(c)).to_numpy() for c in ("seen", "p")))
+        pairs = np.repeat(np.arange(len(sizes)), sizes) << 9 | seen
         order = np.argsort(pairs, kind="stable")
-        self.pairs, self.logs = pairs[order], np.log10(np.concatenate([np.zeros(0), *table["p"]])[order]).astype(np.float32)
+        self.pairs, self.logs = pairs[order], np.log10(p[order]).astype(np.float32)
 
     def follow(self, code: np.ndarray, depth: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Depth and log10 probability of each code in its longest context here, and whether the table may have a longer one."""
@@ -264,15 +266,19 @@ def fit(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float =
         rows = levels[d - 1].where(F.col("whole") < head).join(tail.select("context"), "context", "left_semi")
         pairs = F.map_from_entries(F.collect_list(F.struct("symbol", "p")))
         tables.append(rows.groupBy("context").agg(F.first(F.col("kinds") / (F.col("whole") + F.col("kinds"))).alias("backoff"), F.first("whole").alias("whole"), pairs.alias("symbols")).select((F.col("context") + F.lit(d << 8 * DEPTH)).alias("key"), "backoff", "whole", "symbols"))
-    frequent = [x.where(F.col("whole") >= head).select(F.lit(d).alias("d"), "context", "symbol", "n") for d, x in enumerate(levels, 1)]
-    table = reduce(DataFrame.unionByName, frequent).toPandas().sort_values(["d", "context", "symbol"], kind="stable")
-    below = reduce(DataFrame.unionByName, edges).toPandas()
-    tree = grow([root, *(table[table["d"] == d][["context", "symbol", "n"]].to_numpy(np.int64) for d in range(1, DEPTH + 1))], least_gain, [below[below["d"] == d]["context"].tolist() for d in range(1, DEPTH + 1)])
+    frequent = [x.where(F.col("whole") >= head).join(kept.select("context"), "context", "left_semi").select(F.lit(d).alias("d"), "context", "symbol", "n") for d, (x, kept) in enumerate(zip(levels, reversed(retained), strict=True), 1)]
+    table = sorted_rows(reduce(DataFrame.unionByName, frequent).toArrow().sort_by([("d", "ascending"), ("context", "ascending"), ("symbol", "ascending")]))
+    below = sorted_rows(reduce(DataFrame.unionByName, edges).toArrow())
+    tree = grow([root, *(table[table[:, 0] == d][:, 1:] for d in range(1, DEPTH + 1))], least_gain, [below[below[:, 0] == d][:, 1].tolist() for d in range(1, DEPTH + 1)])
     tail = materialize(reduce(DataFrame.unionByName, tables), "tail")
     discard(*(by_depth[d] for d in range(DEPTH)), *levels, *tested, *retained)
     return tree, tail
 
 
+def sorted_rows(table: pa.Table) -> np.ndarray:
+    return np.stack([c.to_numpy().astype(np.int64) for c in table.columns], axis=1)
+
+
 def fit_tree(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> SuffixTree:
     """All retained contexts in one tree on the driver, for small corpora."""
     return fit(grams, least_count, least_gain, 0.0)[0]
@@ -298,7 +304,7 @@ def split(tail: DataFrame, most: int = NEAR_PAIRS) -> tuple[Near, DataFrame | No
         above = rest.select(above.alias("key")).distinct().withColumn("deeper", F.lit(True))
         near = near.join(above, "key", "left").withColumn("deeper", F.coalesce("deeper", F.lit(False)))
     pairs = F.map_entries("symbols")
-    return Near(near.select("key", "backoff", "deeper", F.transform(pairs, lambda x: x["key"].cast("int")).alias("seen"), F.transform(pairs, lambda x: x["value"]).alias("p")).toPandas()), rest
+    return Near(near.select("key", "backoff", "deeper", F.transform(pairs, lambda x: x["key"].cast("int")).alias("seen"), F.transform(pairs, lambda x: x["value"]).alias("p")).toArrow()), rest
 
 
 def tail_logs(far: DataFrame, tail: DataFrame) -> DataFrame:
@@ -319,7 +325,7 @@ def grow(levels: list[np.ndarray], least_gain: float, below: list[list[int]] | N
     size = END + 1
     root = np.bincount(levels[0][:, 1], levels[0][:, 2], size) if len(levels[0]) else np.zeros(size)
     kinds = np.count_nonzero(root)
-    probabilities = [(root + (kinds + 1) / size) / (root.sum() + kinds + 1)]
+    probabilities = [((root + (kinds + 1) / size) / (root.sum() + kinds + 1)).astype(np.float32)]
     child = {}  # (node, byte) -> node, for candidates
     wanted = [True]
     places: dict[int, int] = {0: 0}
