@@ -3,8 +3,9 @@
 The tree's states are contexts of up to ``DEPTH`` preceding bytes.  A context
 is a candidate if it occurs ``LEAST_COUNT`` times, so the candidates grow with
 the corpus.  It is retained, with its suffixes, if its next-byte distribution
-diverges from its parent's: count times relative entropy of at least
-``LEAST_GAIN`` nats.  Contexts that ``HEAD_CONTEXT_SHARE`` of all positions have
+diverges from its parent's: count times relative entropy, in nats, of at least
+``LEAST_GAIN`` and ``SYMBOL_COST`` times the logarithm of all positions for each
+symbol seen after it (the length of a description of its distribution).  Contexts that ``HEAD_CONTEXT_SHARE`` of all positions have
 are looked up in a broadcast tree with a full row of probabilities each; the
 next most frequent ones, of ``NEAR_PAIRS`` symbols together, in a broadcast
 sorted array of the symbols seen; all others stay a table that is joined.
@@ -38,8 +39,11 @@ DEPTH = 6
 LEAST_COUNT = 4
 HEAD_CONTEXT_SHARE = 4e-5
 LEAST_GAIN = 30.0
+SYMBOL_COST = 0.5
 #: Symbols after contexts that the broadcast array holds at most: 12 bytes each.
 NEAR_PAIRS = 3 << 19
+#: Bits of the filter that tells which contexts the table has; a power of two.
+MARKS = 1 << 25
 HEAD_SHARE = 2e-6
 #: Next symbols: the bytes, and the end of the text.
 END = 256
@@ -167,7 +171,7 @@ class SuffixTree:
                 node[alive] = found
             logs = self.logs[node, code & 511].astype(np.float64)
             far = np.flatnonzero(depth >= 0)
-            if near is not None:
+            if near is not None and len(far):
                 depth[far], logs[far], still = near.follow(code[far], depth[far], logs[far])
                 far = far[still]
             first = starts[:-1] - DEPTH * np.arange(len(group))
@@ -188,11 +192,11 @@ class SuffixTree:
 
 
 class Near:
-    """Retained contexts below the tree, as sorted arrays: keys, back-offs, whether the table continues them; (key's place, symbol) and log10 probabilities."""
+    """Retained contexts below the tree, as sorted arrays: keys and back-offs; (key's place, symbol) and log10 probabilities; and a filter of the keys in the table."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, marks: np.ndarray | None = None):
         table = table.combine_chunks().sort_by("key")
-        self.keys, self.deeper = (table.column(c).to_numpy() for c in ("key", "deeper"))
+        self.keys, self.marks = table.column("key").to_numpy(), marks
         self.backoff = np.log10(table.column("backoff").to_numpy())
         sizes, seen, p = (pc.list_value_length(table.column("seen")).to_numpy(), *(pc.list_flatten(table.column(c)).to_numpy() for c in ("seen", "p")))
         pairs = np.repeat(np.arange(len(sizes)), sizes) << 9 | seen
@@ -201,28 +205,60 @@ class Near:
 
     def follow(self, code: np.ndarray, depth: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Depth and log10 probability of each code in its longest context here, and whether the table may have a longer one."""
-        depth, above, open_ = depth.copy(), above.copy(), np.ones(len(code), bool)
-        alive = np.arange(len(code)) if len(self.keys) else np.zeros(0, np.int64)
+        depth, above, open_ = depth.copy(), above.copy(), np.zeros(len(code), bool)
+        alive = np.arange(len(code))
         while len(alive):
             alive = alive[depth[alive] < DEPTH]
             d = depth[alive].astype(np.int64) + 1
             key = (code[alive] >> 9 & (np.int64(1) << 8 * d) - 1) + (d << 8 * DEPTH)
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            same = self.keys[place] == key
+            if len(self.keys):
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                same = self.keys[place] == key
+            else:
+                place, same = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+            if self.marks is not None:
+                open_[alive[~same]] = marked(self.marks, key[~same])
             alive, place = alive[same], place[same]
             pair = place << 9 | code[alive] & 511
             at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
             above[alive] = np.where(self.pairs[at] == pair, self.logs[at], self.backoff[place] + above[alive])
             depth[alive] += 1
-            open_[alive] = self.deeper[place]
         return depth, above, open_
 
 
+def murmur(key: np.ndarray) -> np.ndarray:
+    """Spark's hash() of a long, as an unsigned number."""
+    h = np.full(len(key), 42, np.uint32)
+    for part in (key.astype(np.uint32), (key >> 32).astype(np.uint32)):
+        k = part * np.uint32(0xCC9E2D51)
+        k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+        h ^= k
+        h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+    return h ^ h >> np.uint32(16)
+
+
+def marked(marks: np.ndarray, key: np.ndarray) -> np.ndarray:
+    h = murmur(key) & np.uint32(MARKS - 1)
+    return (marks[h >> np.uint32(6)] >> (h & np.uint32(63)).astype(np.int64) & 1).astype(bool)
+
+
+def marks_of(keys: DataFrame) -> np.ndarray:
+    """A bit for the hash of each key, MARKS bits in all, put together by Spark; a key that is not there seldom has one, while they are fewer than the bits."""
+    h = F.hash("key").bitwiseAND(F.lit(MARKS - 1))
+    words = keys.select(F.shiftright(h, 6).alias("word"), F.expr("shiftleft(1L, hash(key) & 63)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MARKS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
 def masked(d: int) -> Column:
     return F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1))
 
 
-def fit(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN, head_share: float = HEAD_CONTEXT_SHARE) -> tuple[SuffixTree, DataFrame]:
+def fit(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN, symbol_cost: float = SYMBOL_COST, head_share: float = HEAD_CONTEXT_SHARE) -> tuple[SuffixTree, DataFrame]:
     """The tree of frequent contexts from ``(code, n)``, and the table of the other retained ones.
 
     The table has ``key`` (length and context), ``backoff``, ``whole`` (its count) and ``symbols``, the
@@ -239,7 +275,7 @@ def fit(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float =
     total = int(root[:, 2].sum())
     head = max(1.0, head_share * total)
     spark = grams.sparkSession
-    start = grow([root], least_gain).logs[0].astype(float)
+    start = grow([root]).logs[0].astype(float)
     above = spark.createDataFrame([(0, i, 10.0**x, total) for i, x in enumerate(start.tolist())], "parent long, symbol short, above double, parent_whole long")
     levels, tested, retained = [], [], []
     for d in range(1, DEPTH + 1):
@@ -248,13 +284,13 @@ def fit(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float =
         rows = rows.withColumn("parent", masked(d - 1)).join(above, ["parent", "symbol"])
         rows = materialize(rows.withColumn("p", (F.col("n") + F.col("kinds") * F.col("above")) / (F.col("whole") + F.col("kinds"))), "level")
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("above")))
-        tested.append(materialize(rows.groupBy("context").agg(gain.alias("gain"), F.first("whole").alias("whole"), F.first("parent_whole").alias("parent_whole")), "gains"))
+        tested.append(materialize(rows.groupBy("context").agg((gain - symbol_cost * math.log(max(2, total)) * F.first("kinds")).alias("spare"), gain.alias("gain"), F.first("whole").alias("whole"), F.first("parent_whole").alias("parent_whole")), "gains"))
         levels.append(rows)
         above = rows.select(F.col("context").alias("parent"), "symbol", F.col("p").alias("above"), F.col("whole").alias("parent_whole"))
     kept: DataFrame | None = None  # suffixes of retained contexts stay
     edges, tables = [], []
     for d in range(DEPTH, 0, -1):
-        some = tested[d - 1].withColumn("own", F.col("gain") >= least_gain)
+        some = tested[d - 1].withColumn("own", (F.col("gain") >= least_gain) & (F.col("spare") >= 0))
         if kept is not None:
             some = some.join(kept.select(masked(d).alias("context")).distinct().withColumn("below", F.lit(True)), "context", "left").where(F.col("own") | F.col("below").isNotNull())
         else:
@@ -269,7 +305,7 @@ def fit(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float =
     frequent = [x.where(F.col("whole") >= head).join(kept.select("context"), "context", "left_semi").select(F.lit(d).alias("d"), "context", "symbol", "n") for d, (x, kept) in enumerate(zip(levels, reversed(retained), strict=True), 1)]
     table = sorted_rows(reduce(DataFrame.unionByName, frequent).toArrow().sort_by([("d", "ascending"), ("context", "ascending"), ("symbol", "ascending")]))
     below = sorted_rows(reduce(DataFrame.unionByName, edges).toArrow())
-    tree = grow([root, *(table[table[:, 0] == d][:, 1:] for d in range(1, DEPTH + 1))], least_gain, [below[below[:, 0] == d][:, 1].tolist() for d in range(1, DEPTH + 1)])
+    tree = grow([root, *(table[table[:, 0] == d][:, 1:] for d in range(1, DEPTH + 1))], [below[below[:, 0] == d][:, 1].tolist() for d in range(1, DEPTH + 1)])
     tail = materialize(reduce(DataFrame.unionByName, tables), "tail")
     discard(*(by_depth[d] for d in range(DEPTH)), *levels, *tested, *retained)
     return tree, tail
@@ -279,9 +315,9 @@ def sorted_rows(table: pa.Table) -> np.ndarray:
     return np.stack([c.to_numpy().astype(np.int64) for c in table.columns], axis=1)
 
 
-def fit_tree(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> SuffixTree:
+def fit_tree(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN, symbol_cost: float = SYMBOL_COST) -> SuffixTree:
     """All retained contexts in one tree on the driver, for small corpora."""
-    return fit(grams, least_count, least_gain, 0.0)[0]
+    return fit(grams, least_count, least_gain, symbol_cost, 0.0)[0]
 
 
 def split(tail: DataFrame, most: int = NEAR_PAIRS) -> tuple[Near, DataFrame | None]:
@@ -293,18 +329,12 @@ def split(tail: DataFrame, most: int = NEAR_PAIRS) -> tuple[Near, DataFrame | No
         if held + r["n"] > most:
             break
         least, held = r["size"], held + r["n"]
-    near = tail.where(size >= least)
-    rest = tail.where(size < least)
-    if len(steps) == 0 or least <= steps[-1]["size"]:
+    near, rest = tail.where(size >= least), tail.where(size < least)
+    if not steps or least <= steps[-1]["size"]:
         rest = None
-        near = near.withColumn("deeper", F.lit(False))
-    else:
-        d = F.shiftright("key", 8 * DEPTH)
-        above = F.col("key").bitwiseAND(F.expr(f"shiftleft(1L, cast(8 * (shiftright(key, {8 * DEPTH}) - 1) as int)) - 1")) + F.shiftleft(d - 1, 8 * DEPTH)
-        above = rest.select(above.alias("key")).distinct().withColumn("deeper", F.lit(True))
-        near = near.join(above, "key", "left").withColumn("deeper", F.coalesce("deeper", F.lit(False)))
     pairs = F.map_entries("symbols")
-    return Near(near.select("key", "backoff", "deeper", F.transform(pairs, lambda x: x["key"].cast("int")).alias("seen"), F.transform(pairs, lambda x: x["value"]).alias("p")).toArrow()), rest
+    table = near.select("key", "backoff", F.transform(pairs, lambda x: x["key"].cast("int")).alias("seen"), F.transform(pairs, lambda x: x["value"]).alias("p")).toArrow()
+    return Near(table, None if rest is None else marks_of(rest)), rest
 
 
 def tail_logs(far: DataFrame, tail: DataFrame) -> DataFrame:
@@ -320,54 +350,35 @@ def tail_logs(far: DataFrame, tail: DataFrame) -> DataFrame:
     return steps.select("code", F.log10(p).alias("log"))
 
 
-def grow(levels: list[np.ndarray], least_gain: float, below: list[list[int]] | None = None) -> SuffixTree:
-    """Divergence tests and smoothing, level by level, from sorted rows (context, symbol, count); ``below`` has the retained contexts of each level that are in the table, and whose parents are here."""
+def grow(levels: list[np.ndarray], below: list[list[int]] | None = None) -> SuffixTree:
+    """Smoothing, level by level, from sorted rows (context, symbol, count) of retained contexts; ``below`` has the retained contexts of each level that are in the table, and whose parents are here."""
     size = END + 1
     root = np.bincount(levels[0][:, 1], levels[0][:, 2], size) if len(levels[0]) else np.zeros(size)
     kinds = np.count_nonzero(root)
     probabilities = [((root + (kinds + 1) / size) / (root.sum() + kinds + 1)).astype(np.float32)]
-    child = {}  # (node, byte) -> node, for candidates
-    wanted = [True]
+    child = {}  # (node, byte) -> node
     places: dict[int, int] = {0: 0}
-    parent_of = [0]
     leads = []  # (node, byte) that lead to the table
     for d, rows in enumerate(levels[1:], 1):
         for context in below[d - 1] if below else []:
-            parent = places[context & ((1 << 8 * (d - 1)) - 1)]
-            leads.append((parent, context >> 8 * (d - 1)))
-            wanted[parent] = True
+            leads.append((places[context & ((1 << 8 * (d - 1)) - 1)], context >> 8 * (d - 1)))
         here: dict[int, int] = {}
         if len(rows):
             contexts, first = np.unique(rows[:, 0], return_index=True)
             ends = np.append(first[1:], len(rows))
             for context, a, b in zip(contexts.tolist(), first.tolist(), ends.tolist(), strict=True):
-                parent = places.get(context & ((1 << 8 * (d - 1)) - 1))
-                if parent is None:
-                    continue
-                n = np.zeros(size)
+                parent = places[context & ((1 << 8 * (d - 1)) - 1)]
+                n = np.zeros(size, np.float32)
                 n[rows[a:b, 1]] = rows[a:b, 2]
-                kinds, whole, above = b - a, n.sum(), probabilities[parent]
-                seen = rows[a:b, 1]
-                gain = float((n[seen] * np.log(n[seen] / whole / above[seen])).sum())
-                node = len(probabilities)
-                probabilities.append((n + kinds * above) / (whole + kinds))
-                child[parent, context >> 8 * (d - 1)] = node
-                here[context] = node
-                parent_of.append(parent)
-                wanted.append(gain >= least_gain)
+                here[context] = child[parent, context >> 8 * (d - 1)] = len(probabilities)
+                probabilities.append((n + (b - a) * probabilities[parent]) / (rows[a:b, 2].sum() + b - a))
         places = here
-    for node in range(len(wanted) - 1, 0, -1):  # suffixes of retained contexts stay; children follow their parents
-        if wanted[node]:
-            wanted[parent_of[node]] = True
-    number = np.cumsum(wanted) - 1
-    table = np.full((int(number[-1]) + 1, 256), -1, np.int32)
+    table = np.full((len(probabilities), 256), -1, np.int32)
     for (parent, byte), node in child.items():
-        if wanted[node]:
-            table[number[parent], byte] = number[node]
+        table[parent, byte] = node
     for parent, byte in leads:
-        table[number[parent], byte] = TAIL
-    logs = np.log10(np.array([p for p, w in zip(probabilities, wanted, strict=True) if w])).astype(np.float32)
-    return SuffixTree(table, logs, len(levels) - 1)
+        table[parent, byte] = TAIL
+    return SuffixTree(table, np.log10(np.array(probabilities, np.float32)), len(levels) - 1)
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:

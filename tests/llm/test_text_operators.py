@@ -274,7 +274,7 @@ def test_language_model_base_equals_brute_force(spark, edge, empty):
 def test_suffix_tree_is_a_distribution(spark):
     docs = table(spark, texts(9, 60))
     grams = language_model.corpus_counts(docs).where("kind = 2").selectExpr("key AS code", "n")
-    tree = language_model.fit_tree(grams, 1e-3, 2.0)
+    tree = language_model.fit_tree(grams, 1e-3, 2.0, 0.0)
     assert len(tree.child) > 5
     assert np.allclose((10.0 ** tree.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
     by_hand = 0.0
@@ -376,14 +376,19 @@ def test_suffix_tree_tests_contexts_by_count_and_joins_the_rare_ones(spark, monk
     docs = table(spark, [" ".join(["the of and"] * 3000)] * 100 + [rare] * 5)  # 20 times in 3.3 million positions
     rows = {r.doc_id: r.score for r in language_model.score(docs, docs).collect()}
     assert rows[100] > -12  # by frequent contexts alone each byte costs about 5
+    keys = [0, 1, -1, 1 << 48 | 0x656820, 6 << 48 | 0x616263646566, (7 << 48) - 1]
+    hashes = [r.h & 0xFFFFFFFF for r in spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, key long").selectExpr("i", "hash(key) AS h").orderBy("i").collect()]
+    assert language_model.murmur(np.array(keys)).tolist() == hashes
+    marks = language_model.marks_of(spark.createDataFrame([(k,) for k in keys[3:]], "key long"))
+    assert language_model.marked(marks, np.array(keys)).tolist() == [False] * 3 + [True] * 3
     cases = table(spark, texts(10, 60))
     grams = language_model.corpus_counts(cases).where("kind = 2").selectExpr("key AS code", "n")
-    whole = language_model.fit_tree(grams, 4, 2.0)
+    whole = language_model.fit_tree(grams, 4, 2.0, 0.0)
     expected = whole.score([(t or "").lower().encode() for t in texts(10, 60)])
     fit = language_model.fit
     split = language_model.split
     for share, near in ((0.5, 1 << 21), (0.01, 300), (0.01, 0), (0.5, 2000), (0.0, 10)):
-        monkeypatch.setattr(language_model, "fit", lambda g, share=share: fit(g, 4, 2.0, share))
+        monkeypatch.setattr(language_model, "fit", lambda g, share=share: fit(g, 4, 2.0, 0.0, share))
         monkeypatch.setattr(language_model, "split", lambda t, near=near: split(t, near))
         found = {r.doc_id: r.score for r in language_model.score(cases, cases).collect()}
         assert all(math.isclose(found[i], e, rel_tol=1e-5) for i, e in enumerate(expected))
