@@ -5,16 +5,18 @@ is a candidate if it occurs ``LEAST_COUNT`` times, so the candidates grow with
 the corpus.  It is retained, with its suffixes, if its next-byte distribution
 diverges from its parent's: count times relative entropy, in nats, of at least
 ``LEAST_GAIN`` and ``SYMBOL_COST`` times the logarithm of all positions for each
-symbol seen after it (the length of a description of its distribution).  Contexts that ``HEAD_CONTEXT_SHARE`` of all positions have
-are looked up in a broadcast tree with a full row of probabilities each; the
-next most frequent ones, of ``NEAR_PAIRS`` symbols together, in a broadcast
-sorted array of the symbols seen; all others stay a table that is joined.
+symbol seen after it (the length of a description of its distribution).
+Contexts that ``HEAD_CONTEXT_SHARE`` of all positions have are looked up in a
+broadcast tree with a full row of probabilities each; the next most frequent
+ones, of ``NEAR_PAIRS`` symbols together, in a broadcast sorted array of the
+symbols seen; all others stay a table that is joined.
 Distributions are smoothed towards the parent's (Witten and Bell), the root's
 towards the uniform one.  A text's score is the sum of the log probabilities of
 its bytes and its end, each in the longest retained suffix state.
 
-The base score is an add-one unigram model over whole words.  Words that make up ``HEAD_SHARE`` of all tokens or more (at most 1 / HEAD_SHARE words) are
-looked up in a broadcast table; the others are joined.
+The base score is an add-one unigram model over whole words.  The most frequent
+words, ``HEAD_WORDS`` of them at most, are looked up in a broadcast table; the
+others are joined.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from tessera.storage import discard, materialize
 
 #: A code holds this many context bytes and nine bits of the next symbol in a long.
 DEPTH = 6
-#: Fewer occurrences would need over 7 nats each to reach LEAST_GAIN.
-LEAST_COUNT = 4
+#: Fewer occurrences would need over 3.75 nats each to reach LEAST_GAIN.
+LEAST_COUNT = 8
 HEAD_CONTEXT_SHARE = 4e-5
 LEAST_GAIN = 30.0
 SYMBOL_COST = 0.5
@@ -44,7 +46,8 @@ SYMBOL_COST = 0.5
 NEAR_PAIRS = 3 << 19
 #: Bits of the filter that tells which contexts the table has; a power of two.
 MARKS = 1 << 25
-HEAD_SHARE = 2e-6
+#: Words of the broadcast table at most: the most frequent ones.
+HEAD_WORDS = 1 << 18
 #: Next symbols: the bytes, and the end of the text.
 END = 256
 #: In place of a child: it is in the table.
@@ -62,11 +65,11 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, starts
 
 
-def gram_codes(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each byte and end: the DEPTH bytes before it (the nearest one lowest) above nine bits of the symbol itself."""
+def gram_codes(flat: np.ndarray, starts: np.ndarray, nearest_first: bool = False) -> np.ndarray:
+    """For each byte and end: the DEPTH bytes before it (the nearest one lowest, or highest) above nine bits of the symbol itself."""
     low = (flat & 0xFF).astype(np.int64)
     code = np.zeros(len(flat) - DEPTH, np.int64)
-    for back in range(DEPTH, 0, -1):
+    for back in range(1, DEPTH + 1) if nearest_first else range(DEPTH, 0, -1):
         code <<= 8
         code |= low[DEPTH - back : len(low) - back]
     code <<= 9
@@ -76,6 +79,11 @@ def gram_codes(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return code[wanted[DEPTH:]]
 
 
+def turned(code: np.ndarray) -> np.ndarray:
+    """Codes with the nearest byte highest as codes with it lowest."""
+    return (code >> 9 << 64 - 8 * DEPTH).byteswap() << 9 | code & 511
+
+
 def batches_of(texts: list[bytes], most: int):
     """Lists of texts of about ``most`` bytes; a longer text stands alone."""
     held, size = [], 0
@@ -141,7 +149,8 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             yield out(CODES, *merged(codes, counts))
 
     raw = common.map_batches(docs.select("text"), run, "kind byte, key long, word binary, n long")
-    return materialize(raw.groupBy("kind", "key", "word").agg(F.sum("n").alias("n")), "corpus-counts")
+    # tasks have counted already: dealt by key first, their rows are not hashed a second time before the shuffle
+    return materialize(raw.repartition("kind", "key", "word").groupBy("kind", "key", "word").agg(F.sum("n").alias("n")), "corpus-counts")
 
 
 class SuffixTree:
@@ -161,15 +170,21 @@ class SuffixTree:
         """For each text its log10 probability as far as the tree and ``near`` have it, and of the positions that lead to the table: codes, how often, their depths and log10 probabilities so far."""
         for group in batches_of(texts, FLUSH_POSITIONS // 4):
             flat, starts = symbols(group)
-            code, place = np.unique(gram_codes(flat, starts), return_inverse=True)
-            node, alive = np.zeros(len(code), np.int32), np.arange(len(code))
-            depth = np.full(len(code), -1, np.int8)
+            code, place = np.unique(gram_codes(flat, starts, True), return_inverse=True)
+            # in this order the codes of one context stand together, and those of one node near each other
+            new = np.ones(len(code), bool)
+            new[1:] = code[1:] >> 9 != code[:-1] >> 9
+            context = code[new] >> 9
+            node, alive = np.zeros(len(context), np.int32), np.arange(len(context))
+            depth = np.full(len(context), -1, np.int8)
             for back in range(self.depth):
-                found = self.child[node[alive], code[alive] >> 9 + 8 * back & 0xFF]
+                found = self.child[node[alive], context[alive] >> 8 * (DEPTH - 1 - back) & 0xFF]
                 depth[alive[found == TAIL]] = back
                 alive, found = alive[found >= 0], found[found >= 0]
                 node[alive] = found
-            logs = self.logs[node, code & 511].astype(np.float64)
+            which = np.cumsum(new) - 1
+            depth = depth[which]
+            logs = self.logs[node[which], code & 511].astype(np.float64)
             far = np.flatnonzero(depth >= 0)
             if near is not None and len(far):
                 depth[far], logs[far], still = near.follow(code[far], depth[far], logs[far])
@@ -188,15 +203,19 @@ class SuffixTree:
             cuts = np.searchsorted(open_, np.append(first, len(number)))
             for total, a, b in zip(totals, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 used, times = np.unique(number[open_[a:b]], return_counts=True)
-                yield total, code[far[used]], times, depth[far[used]], above[used]
+                yield total, turned(code[far[used]]), times, depth[far[used]], above[used]
 
 
 class Near:
     """Retained contexts below the tree, as sorted arrays: keys and back-offs; (key's place, symbol) and log10 probabilities; and a filter of the keys in the table."""
 
     def __init__(self, table: pa.Table, marks: np.ndarray | None = None):
-        table = table.combine_chunks().sort_by("key")
-        self.keys, self.marks = table.column("key").to_numpy(), marks
+        key = table.column("key").to_numpy()
+        d = key >> 8 * DEPTH
+        key = (key & (np.int64(1) << 8 * DEPTH) - 1).byteswap().view(np.uint64) >> (64 - 8 * d).astype(np.uint64)
+        key = key.view(np.int64) + (d << 8 * DEPTH)  # nearest byte highest, as in the codes that are looked up
+        order = np.argsort(key, kind="stable")
+        self.keys, self.marks, table = key[order], marks, table.take(order)
         self.backoff = np.log10(table.column("backoff").to_numpy())
         sizes, seen, p = (pc.list_value_length(table.column("seen")).to_numpy(), *(pc.list_flatten(table.column(c)).to_numpy() for c in ("seen", "p")))
         pairs = np.repeat(np.arange(len(sizes)), sizes) << 9 | seen
@@ -204,20 +223,21 @@ class Near:
         self.pairs, self.logs = pairs[order], np.log10(p[order]).astype(np.float32)
 
     def follow(self, code: np.ndarray, depth: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Depth and log10 probability of each code in its longest context here, and whether the table may have a longer one."""
+        """Depth and log10 probability of each code (nearest byte highest) in its longest context here, and whether the table may have a longer one."""
         depth, above, open_ = depth.copy(), above.copy(), np.zeros(len(code), bool)
         alive = np.arange(len(code))
         while len(alive):
             alive = alive[depth[alive] < DEPTH]
             d = depth[alive].astype(np.int64) + 1
-            key = (code[alive] >> 9 & (np.int64(1) << 8 * d) - 1) + (d << 8 * DEPTH)
+            key = (code[alive] >> 9 + 8 * (DEPTH - d)) + (d << 8 * DEPTH)
             if len(self.keys):
                 place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 same = self.keys[place] == key
             else:
                 place, same = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
             if self.marks is not None:
-                open_[alive[~same]] = marked(self.marks, key[~same])
+                left, d = alive[~same], d[~same]
+                open_[left] = marked(self.marks, (turned(code[left]) >> 9 & (np.int64(1) << 8 * d) - 1) + (d << 8 * DEPTH))
             alive, place = alive[same], place[same]
             pair = place << 9 | code[alive] & 511
             at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
@@ -320,17 +340,27 @@ def fit_tree(grams: DataFrame, least_count: float = LEAST_COUNT, least_gain: flo
     return fit(grams, least_count, least_gain, symbol_cost, 0.0)[0]
 
 
-def split(tail: DataFrame, most: int = NEAR_PAIRS) -> tuple[Near, DataFrame | None]:
-    """The contexts of the table that are broadcast, at most ``most`` symbols together and the most frequent ones, and the table of the others, None if there is none."""
-    size = F.floor(F.log2(F.col("whole") + 0.5)).cast("int")
-    steps = tail.groupBy(size.alias("size")).agg(F.sum(F.size("symbols")).alias("n")).orderBy(F.desc("size")).collect()  # 64 rows at most
+def steps_of(column: str) -> Column:
+    """The power of two that a count reaches."""
+    return F.floor(F.log2(F.col(column) + 0.5)).cast("int")
+
+
+def least_step(rows: DataFrame, column: str, size: Column, most: int) -> int:
+    """The least power of two such that the rows whose count reaches it have ``size`` of at most ``most`` together; 64 if none have."""
     least, held = 64, 0
-    for r in steps:
-        if held + r["n"] > most:
+    for r in rows.groupBy(steps_of(column).alias("step")).agg(F.sum(size).alias("n")).orderBy(F.desc("step")).collect():  # 64 rows at most
+        held += r["n"]
+        if held > most:
             break
-        least, held = r["size"], held + r["n"]
+        least = r["step"]
+    return least
+
+
+def split(tail: DataFrame, most: int = NEAR_PAIRS) -> tuple[Near, DataFrame | None]:
+    """The contexts of the table that are broadcast, at most ``most`` symbols together and the most frequent ones, and the table of the others, None if there is none."""
+    size, least = steps_of("whole"), least_step(tail, "whole", F.size("symbols"), most)
     near, rest = tail.where(size >= least), tail.where(size < least)
-    if not steps or least <= steps[-1]["size"]:
+    if not rest.limit(1).count():
         rest = None
     pairs = F.map_entries("symbols")
     table = near.select("key", "backoff", F.transform(pairs, lambda x: x["key"].cast("int")).alias("seen"), F.transform(pairs, lambda x: x["value"]).alias("p")).toArrow()
@@ -394,8 +424,8 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     n, v = (sum(r[c] for r in totals.values()) for c in ("n", "v"))
     ends = totals[ENDS]["n"] if ENDS in totals else 0
     context = docs.sparkSession.sparkContext
-    least = max(1.0, HEAD_SHARE * n)
-    frequent = words.where(F.col("n") >= least).toPandas()  # 1 / HEAD_SHARE rows at most
+    least = 2.0 ** least_step(words.select("n"), "n", F.lit(1), HEAD_WORDS)
+    frequent = words.where(F.col("n") >= least).toPandas()  # HEAD_WORDS rows at most
     head = context.broadcast(dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist(), strict=True)))
     fitted, tail = fit(grams)
     close, rest = split(tail)
