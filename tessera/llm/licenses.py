@@ -46,6 +46,8 @@ TITLES = {
     "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "All rights reserved.", "BSD 2-Clause License\nAll rights reserved."],
     "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "All rights reserved.", "BSD 3-Clause License\nAll rights reserved."],
 }
+#: Known digests that are broadcast at most; more are joined.
+BROADCAST_DIGESTS = 100_000
 #: What ends the terms of a text; an appendix on how to apply them may follow.
 TERMS_END = "END OF TERMS AND CONDITIONS"
 VERSIONS = r"\b(?:version|ver|v) ?([0-9])"
@@ -92,10 +94,13 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
     """``doc_id``, ``digest``, ``license`` (of the whole text, else null), ``n_license_lines``, ``line_licenses``.
 
     Null and empty texts have the digest of the empty text and no license.  The
-    known digests are broadcast: their number is fixed by the given texts.
+    known digests are as many as the caller's texts (the built-in notices if they
+    are None), and are held by the driver.  Repeated rows are judged alike, an
+    empty table gives an empty result, texts of any length are scanned whole, and
+    other columns are ignored.
     """
     spark = docs.sparkSession
-    known = known_digests(spark, texts or notices())
+    known = known_digests(spark, notices() if texts is None else texts)
     table = known.orderBy("digest").collect()
     rows = docs.select("doc_id", normalised(F.col("text")).alias("_text"))
     rows = rows.withColumn("digest", digest(F.col("_text")))
@@ -103,7 +108,9 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
     rows = rows.withColumn("_hits", F.filter(lines, lambda d: d.isin([r["digest"] for r in table])))
     names = F.create_map(*[F.lit(x) for r in table for x in (r["digest"], r["license"])])
     rows = rows.withColumn("line_licenses", F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda d: F.element_at(names, d)))), ","))
-    return rows.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license", F.size("_hits").cast("long").alias("n_license_lines"), "line_licenses")
+    if len(table) <= BROADCAST_DIGESTS:
+        known = F.broadcast(known)
+    return rows.join(known, "digest", "left").select("doc_id", "digest", "license", F.size("_hits").cast("long").alias("n_license_lines"), "line_licenses")
 
 
 def op9_license_digests(spark, sf_dir: str) -> DataFrame:
@@ -120,7 +127,7 @@ def sql() -> str:
             out = f"replace({out}, '{spelling}', '{same}')"
         return rf"regexp_replace({out}, '{VERSIONS}', 'v \1', 'g')"
 
-    rows = ", ".join(f"('{name}', '{text}')" for name, text in notices())
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in notices() + whole_texts())
     whole = r"sha256(trim(regexp_replace(t, '\s+', ' ', 'g')))"
     return rf"""
 WITH known AS (

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm import common
 from tessera.operators.graph import connected_components
-from tessera.storage import materialize
+from tessera.storage import discard, materialize
 
 SEED = 42
 SHINGLE = 4
@@ -137,30 +137,41 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     own = materialize(fingerprints(docs, size), "fingerprints")
     groups = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     found = connected_components(materialize(links(groups.select("fp"), radius, hot_bucket), "links"))
-    named = groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
+    named = materialize(groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    # written before they are joined, so that Spark may split a component that holds much of the table
+    least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    classes = materialize(named.join(least, "component").select("fp", "component_id"), "classes")
+    discard(groups, found, named, least)
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their component in ``found`` (by default, of links by fingerprints), each id once; all columns stay.
 
-    Rows with a null id cannot be told apart and stay.  Up to BROADCAST_IDS
-    removed ids are broadcast, so that no text is shuffled; more are joined.
+    Rows with a null id cannot be told apart and stay.  Of rows with one id the
+    least text stays, then the least row as JSON.  Up to BROADCAST_IDS removed
+    ids are broadcast, so that no text is shuffled; more are joined.  An empty
+    table gives an empty result; texts of any length are compared whole.
     """
     known = F.col("doc_id").isNotNull()
     ids = (near_duplicates(docs) if found is None else found).where(known).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
-    ids = materialize(ids, "ids")
-    removed = ids.where(~F.col("kept")).select(F.col("doc_id").alias("__removed"))
-    if removed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        removed = F.broadcast(removed)
-    out = docs.join(removed, F.col("doc_id") == F.col("__removed"), "left_anti")
-    if ids.where("kept AND n > 1").limit(1).count():
-        out = out.where(known).dropDuplicates(["doc_id"]).unionByName(out.where(~known))
+    ids = materialize(ids.where("n > 1 OR NOT kept"), "ids")
+    out = without(docs, ids.where(~F.col("kept")).select("doc_id"))
+    repeated = ids.where("kept AND n > 1").select("doc_id")
+    if repeated.limit(1).count():
+        row = F.min_by(F.struct("*"), F.struct("text", F.to_json(F.struct("*"))))
+        one = out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(row.alias("row")).select("row.*")
+        out = without(out, repeated).unionByName(one)
     return out
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids``; up to BROADCAST_IDS ids are broadcast, more are joined."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti")
+
+
 def op2_simhash_pivots(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -57,3 +57,9 @@ def test_null_repeated_and_empty(spark):
     assert similar_sets.near_duplicates(docs.limit(0)).count() == 0
     kept = simhash.keep_one(docs, similar_sets.near_duplicates(docs))
     assert kept.columns == docs.columns and kept.count() == 3
+
+
+def test_one_of_several_texts_of_an_id_stays(spark):
+    docs = spark.createDataFrame([(1, "b b", 1), (1, "a a", 2), (1, "a a", 1), (2, "c", 9), (None, "a a", 3), (None, None, 4)], "doc_id long, text string, gone_id int")
+    kept = simhash.keep_one(docs, similar_sets.near_duplicates(docs)).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.gone_id) for r in kept) == [(0, "", 4), (0, "a a", 3), (1, "a a", 1), (2, "c", 9)]
