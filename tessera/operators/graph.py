@@ -34,4 +34,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         discard(lower, before)
         if not labels.where("moved").limit(1).count():
             discard(pairs)
-            return labels.select("node", F.col("label").alias("component"))
+            found = labels.select("node", F.col("label").alias("component"))
+            found._stored_at = labels._stored_at
+            return found
