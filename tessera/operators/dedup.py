@@ -32,9 +32,14 @@ def fingerprint(sets: DataFrame) -> DataFrame:
     return groups_by(sets.where(signal), [F.col(c) for c in "mtf"])
 
 
+def collapsed(members: DataFrame) -> DataFrame:
+    """Members that another one stands for."""
+    return members.where(F.col("report_id") != F.col("canonical_id"))
+
+
 def survivors(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Rows that are in no group or are their group's canonical member."""
-    gone = members.where(F.col("report_id") != F.col("canonical_id")).select("report_id")
+    gone = collapsed(members).select("report_id")
     return rows.join(gone, "report_id", "left_anti")
 
 
