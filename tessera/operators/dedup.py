@@ -65,3 +65,20 @@ def collisions(rows: DataFrame) -> DataFrame:
     gone1 = F.col("c1").isNotNull() & (F.col("c1") != F.col("report_id"))
     gone2 = ~gone1 & F.col("c2").isNotNull() & (F.col("c2") != F.col("report_id"))
     return out.select("report_id", F.when(gone1, F.col("c1")).when(gone2, F.col("c2")).otherwise(F.col("report_id")).alias("canonical_id"), F.when(gone1, 1).when(gone2, 2).otherwise(0).alias("pass"))
+
+
+def drift(rows: DataFrame, key: str, id_: str = "report_id") -> DataFrame:
+    """``key``, ``fingerprint``: the number of ids and a sum of their hashes, which no order changes and tasks add up."""
+    ids = rows.select(key, id_).distinct()
+    part = F.conv(F.substring(F.md5(F.col(id_).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return ids.groupBy(key).agg(F.concat(F.lit("n="), F.count("*"), F.lit(";"), F.sum(part)).alias("fingerprint"))
+
+
+def merged_inventory(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of both by report_id: a new one is added only if its id is absent."""
+    return old.unionByName(new.dropDuplicates(["report_id"]).join(old.select("report_id"), "report_id", "left_anti"))
+
+
+def representatives(rows: DataFrame, key: str, id_: str = "report_id") -> DataFrame:
+    """The least id of each key, and how many rows it stands for."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_).alias(id_), F.count("*").alias("n"))

@@ -30,42 +30,66 @@ def spread(keys: DataFrame, *columns: str) -> DataFrame:
     return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+def rarest_first(rows: DataFrame, column: str) -> DataFrame:
+    """The elements of ``column`` (sets of hashes) in order of how many rows have them, so that prefixes hold the rare ones."""
+    each = rows.select("id", F.explode(column).alias("e"))
+    order = each.join(each.groupBy("e").agg(F.count("*").alias("n")), "e").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias(column))
+    return rows.drop(column).join(order, "id")
+
+
+def first_shared(column: str) -> Column:
+    """The first element of a's prefix that b's has too: a pair is taken at this key only."""
+    return F.get(F.array_intersect(f"a.{column}", f"b.{column}"), F.lit(0))
+
+
 def set_join(sets: DataFrame, id_: str, column: str, least: float) -> DataFrame:
     """``a``, ``b``, ``score`` for pairs of distinct sets with Jaccard >= least (prefix and size filters, then exact)."""
-    rows = sets.select(F.col(id_).alias("id"), filled(F.col(column)).alias("s")).withColumn("n", F.size("s"))
-    keys = rows.select("id", "s", "n", F.explode(prefix(F.col("s"), least)).alias("k"))
-    keys = spread(keys, "k")
+    rows = rarest_first(sets.select(F.col(id_).alias("id"), filled(F.col(column)).alias("s")), "s").withColumn("n", F.size("s")).withColumn("p", prefix(F.col("s"), least))
+    keys = spread(rows.select("*", F.explode("p").alias("k")), "k")
     a, b = keys.alias("a"), keys.alias("b")
     near = (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n"))
     score = jaccard(F.col("a.s"), F.col("b.s"))
-    return a.join(b, near & (score >= least)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), score.alias("score")).distinct()
+    return a.join(b, near & (first_shared("p") == F.col("a.k")) & (score >= least)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), score.alias("score"))
 
 
 def weighted_set_join(sets: DataFrame, least: float = 0.8) -> DataFrame:
-    """``a``, ``b``, ``score`` with 0.4 m + 0.4 t + 0.2 f >= least over rows (id, m, t, f).
+    """``a``, ``b``, ``score`` with 0.4 m + 0.4 t + 0.2 f >= least over rows (id, m, t, f), or with x on both sides 0.6 x + 0.25 m + 0.15 t.
 
     For least = 0.8 both m and t are at least a half, so a pair shares an
-    element of the metrics' prefix and one of the tables' prefix.  Callers pass
-    one row for each distinct triple: equal reports are one group already.
+    element of the metrics' prefix and one of the tables' prefix; with x it is
+    two thirds alike in x.  Callers pass one row for each distinct tuple of
+    sets: equal reports are one group already.
     """
     floor = round((least - 0.6) / 0.4, 9)
-    rows = sets.select("id", *[filled(F.col(c)).alias(c) for c in "mtf"])
-    keys = rows.select("*", F.explode(prefix(F.col("m"), floor)).alias("km")).select("*", F.explode(prefix(F.col("t"), floor)).alias("kt"))
-    keys = spread(keys, "km", "kt")
-    a, b = keys.alias("a"), keys.alias("b")
+    rows = sets.select("id", *[filled(F.col(c)).alias(c) for c in "mtf"], *([F.transform("x", lambda e: F.xxhash64(e)).alias("x")] if "x" in sets.columns else []))
     m, t, f = (jaccard(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in "mtf")
+    pair = [F.col("a.id").alias("a"), F.col("b.id").alias("b")]
     score = F.lit(0.4) * m + F.lit(0.4) * t + F.lit(0.2) * f
+    ordered = rarest_first(rarest_first(rows, "m"), "t").withColumn("pm", prefix(F.col("m"), floor)).withColumn("pt", prefix(F.col("t"), floor))
+    keys = spread(ordered.select("*", F.explode("pm").alias("km")).select("*", F.explode("pt").alias("kt")), "km", "kt")
+    a, b = keys.alias("a"), keys.alias("b")
     on = (F.col("a.km") == F.col("b.km")) & (F.col("a.kt") == F.col("b.kt")) & (F.col("a.id") < F.col("b.id"))
     for c in "mt":
         on &= F.least(F.size(f"a.{c}"), F.size(f"b.{c}")) >= floor * F.greatest(F.size(f"a.{c}"), F.size(f"b.{c}"))
-    return a.join(b, on & (score >= least)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), score.alias("score")).distinct()
+    on &= (first_shared("pm") == F.col("a.km")) & (first_shared("pt") == F.col("a.kt"))
+    if "x" not in rows.columns:
+        return a.join(b, on & (score >= least)).select(*pair, score.alias("score"))
+    out = a.join(b, on & ((F.size("a.x") == 0) | (F.size("b.x") == 0)) & (score >= least)).select(*pair, score.alias("score"))
+    floor = round((least - 0.4) / 0.6, 9)
+    known = rarest_first(rows.where(F.size("x") > 0), "x").withColumn("px", prefix(F.col("x"), floor))
+    keys = spread(known.select("*", F.explode("px").alias("kx")), "kx")
+    a, b = keys.alias("a"), keys.alias("b")
+    on = (F.col("a.kx") == F.col("b.kx")) & (F.col("a.id") < F.col("b.id")) & (first_shared("px") == F.col("a.kx"))
+    on &= F.least(F.size("a.x"), F.size("b.x")) >= floor * F.greatest(F.size("a.x"), F.size("b.x"))
+    score = F.lit(0.6) * jaccard(F.col("a.x"), F.col("b.x")) + F.lit(0.25) * m + F.lit(0.15) * t
+    return out.unionByName(a.join(b, on & (score >= least)).select(*pair, score.alias("score")))
 
 
-def cosine_join(vectors: DataFrame, id_: str, column: str, least: float) -> DataFrame:
-    """``a``, ``b``, ``cosine`` for pairs with cosine >= least, by products of blocks.
+def blocked(vectors: DataFrame, id_: str, column: str, product, schema: str) -> DataFrame:
+    """``product(ids, x, other ids, y, same block)`` on all pairs of blocks of unit vectors, each pair in a task of its own.
 
-    Each block of about BLOCK_ROWS vectors meets each other block in a task of
-    its own, so a task's memory is bounded whatever the number of vectors.
+    A task's memory is bounded whatever the number of vectors: it holds two
+    blocks of about BLOCK_ROWS of them.
     """
     n = vectors.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
@@ -73,19 +97,66 @@ def cosine_join(vectors: DataFrame, id_: str, column: str, least: float) -> Data
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     met = rows.select("*", F.explode(others).alias("other")).select("id", "v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
 
-    def product(key, pdf):
+    def run(key, pdf):
         i, j = key
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found = x[left] @ x[right].T
+        return product(ids[left], x[left], ids[right], x[right], i == j)
+
+    return met.groupBy("i", "j").applyInPandas(run, schema)
+
+
+def cosine_join(vectors: DataFrame, id_: str, column: str, least: float) -> DataFrame:
+    """``a``, ``b``, ``cosine`` for pairs with cosine >= least, by products of blocks."""
+
+    def product(ids, x, others, y, same):
+        found = x @ y.T
         p, q = np.nonzero(found >= least)
-        a, b, c = ids[left[p]], ids[right[q]], found[p, q]
-        keep = (a < b) if i == j else (a != b)
+        a, b, c = ids[p], others[q], found[p, q]
+        keep = (a < b) if same else (a != b)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": c[keep]})
 
-    return met.groupBy("i", "j").applyInPandas(product, "a long, b long, cosine double")
+    return blocked(vectors, id_, column, product, "a long, b long, cosine double")
+
+
+def similarity_counts(vectors: DataFrame, id_: str, column: str, marks: list[float], bins: int = 4096) -> tuple[dict, list[int]]:
+    """Count, mean and exact median of all pairs' cosines, and how many reach each mark.
+
+    Tasks return counts by bin, not pairs; the bins around the middle are cut
+    finer until few values lie in them.
+    """
+
+    def ask(low: float, high: float) -> list:
+        def product(left, right, same):
+            found = (left @ right.T)[np.triu_indices(len(left), 1)] if same else (left @ right.T).ravel()
+            inside = found[(found >= low) & (found <= high)]
+            place = np.minimum(((inside - low) / (high - low) * bins).astype(np.int64), bins - 1)
+            n = np.bincount(place, minlength=bins)
+            rows = [("n", float(len(found))), ("sum", float(found.sum())), ("below", float((found < low).sum()))]
+            rows += [(f"mark {i}", float((found >= x).sum())) for i, x in enumerate(marks)]
+            rows += [(f"bin {i}", float(n[i])) for i in np.flatnonzero(n)]
+            return pd.DataFrame(rows, columns=["what", "n"])
+
+        out = blocked(vectors, id_, column, lambda ids, x, other, y, same: product(x, y, same), "what string, n double")
+        return out.groupBy("what").agg(F.sum("n").alias("n")).collect()
+
+    low, high = -1.0 - 1e-9, 1.0 + 1e-9
+    while True:
+        got = {r["what"]: r["n"] for r in ask(low, high)}
+        n, below = int(got["n"]), int(got["below"])
+        width, seen = (high - low) / bins, below
+        places = sorted(int(k[4:]) for k in got if k.startswith("bin "))
+        wanted, at = [(n - 1) // 2, n // 2], []
+        for i in places:
+            at += [i for w in wanted if seen <= w < seen + got[f"bin {i}"]]
+            seen += int(got[f"bin {i}"])
+        if width < 1e-9 or at[0] != at[-1]:
+            middle = sum(low + (i + 0.5) * width for i in at) / len(at)
+            break
+        low, high = low + at[0] * width, low + (at[0] + 1) * width
+    return {"pairs": n, "mean": got["sum"] / n, "middle": middle}, [int(got[f"mark {i}"]) for i in range(len(marks))]
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

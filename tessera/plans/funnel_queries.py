@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import family_base, variant_suffix
+from tessera.functions.text import family_base, sql_for_hash, variant_suffix
 from tessera.operators import dedup, match
 from tessera.operators.ranking import canonical, numbered, top_per_group
 from tessera.plans.catalog import query
@@ -16,7 +16,7 @@ grp AS (SELECT m, t, f, count(*) AS group_size, sum(execs)::BIGINT AS total_exec
   FROM sets JOIN reports USING (report_id) WHERE len(m) + len(t) + len(f) >= 3 GROUP BY m, t, f HAVING count(*) >= 2),
 member AS (SELECT s.report_id, g.group_size, g.canonical_id, g.total_execs FROM sets s JOIN grp g ON s.m = g.m AND s.t = g.t AND s.f = g.f)"""
 HASH_SQL = f"""{PARTS_SQL},
-hashed AS (SELECT report_id, execs, substr(sha256(lower(name)), 1, 16) AS h FROM parts),
+hashed AS (SELECT report_id, execs, substr(sha256(trim(regexp_replace('select a from ' || lower(substr(name, 1, 24)) || ' join ZTMP on b = 0 ', '\\s+', ' ', 'g'))), 1, 16) AS h FROM parts),
 hgrp AS (SELECT h, count(*) AS group_size, sum(execs)::BIGINT AS total_execs, first(report_id ORDER BY execs DESC, report_id) AS canonical_id FROM hashed GROUP BY h HAVING count(*) >= 2)"""
 FAMILY_SQL = f"""{PARTS_SQL},
 based AS (SELECT *, regexp_extract(name, '(?s)^(.*) - ', 1) AS base FROM parts),
@@ -28,7 +28,8 @@ def sets(spark, d):
 
 
 def hashed(spark, d):
-    return named_parts(spark, d).withColumn("h", F.substring(F.sha2(F.lower("name"), 256), 1, 16))
+    sql = F.concat(F.lit("SET query_group='r"), "report_id", F.lit("'; SELECT a FROM "), F.substring("name", 1, 24), F.lit(" JOIN ZZT"), "report_id", F.lit(" ON b = "), "execs", F.lit(" -- "), "report_id")
+    return named_parts(spark, d).withColumn("h", F.substring(F.sha2(sql_for_hash(sql), 256), 1, 16))
 
 
 def families(spark, d):
@@ -110,42 +111,32 @@ def family_totals(spark, d):
 COLLISION_SQL = """src AS (SELECT p_partkey AS report_id, p_name AS name, (p_size - 1)::BIGINT AS execs, p_brand AS last, 'exact_id' AS tier, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS norm FROM part),
 g1 AS (SELECT execs, last, first(report_id ORDER BY len(norm), report_id) AS c1 FROM src WHERE execs > 0 GROUP BY execs, last HAVING count(*) >= 2 AND count(DISTINCT norm) = 1),
 m1 AS (SELECT src.*, g1.c1 FROM src LEFT JOIN g1 ON src.execs = g1.execs AND src.last = g1.last AND src.execs > 0),
-g2 AS (SELECT norm, execs > 0 AS used, min(report_id) AS c2 FROM m1 WHERE c1 IS NULL OR c1 = report_id GROUP BY 1, 2 HAVING count(*) >= 2)"""
+g2 AS (SELECT norm, execs AS e2, min(report_id) AS c2 FROM m1 WHERE execs > 0 AND (c1 IS NULL OR c1 = report_id) GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 
-@query("D2_collisions", f"WITH {COLLISION_SQL} SELECT report_id, CASE WHEN c1 IS NOT NULL AND c1 <> report_id THEN c1 WHEN c2 IS NOT NULL THEN c2 ELSE report_id END AS canonical_id, CASE WHEN c1 IS NOT NULL AND c1 <> report_id THEN 1 WHEN c2 IS NOT NULL AND c2 <> report_id THEN 2 ELSE 0 END AS pass FROM m1 LEFT JOIN g2 ON m1.norm = g2.norm AND (m1.execs > 0) = g2.used")
+@query("D2_collisions", f"WITH {COLLISION_SQL} SELECT report_id, CASE WHEN c1 IS NOT NULL AND c1 <> report_id THEN c1 WHEN c2 IS NOT NULL THEN c2 ELSE report_id END AS canonical_id, CASE WHEN c1 IS NOT NULL AND c1 <> report_id THEN 1 WHEN c2 IS NOT NULL AND c2 <> report_id THEN 2 ELSE 0 END AS pass FROM m1 LEFT JOIN g2 ON m1.norm = g2.norm AND m1.execs = g2.e2")
 def collisions(spark, d):
     rows = read(spark, d, "part").select(F.col("p_partkey").alias("report_id"), F.col("p_name").alias("name"), (F.col("p_size") - 1).cast("long").alias("execs"), F.col("p_brand").alias("last"), F.lit("exact_id").alias("tier"))
     return dedup.collisions(rows)
 
 
-@query("D11_funnel", f"WITH {FINGERPRINT_SQL}, n AS (SELECT (SELECT count(*) FROM sets) AS a, (SELECT count(*) FROM sets JOIN reports USING (report_id) WHERE execs > 1000) AS b, (SELECT count(*) FROM member WHERE report_id <> canonical_id) AS gone), s AS (SELECT 1 AS ordinal, 'inventory' AS stage, a AS remaining FROM n UNION ALL SELECT 2, 'fingerprint', a - gone FROM n) SELECT ordinal, stage, remaining, coalesce(lag(remaining) OVER (ORDER BY ordinal) - remaining, 0) AS removed, 100.0::DOUBLE * remaining / first_value(remaining) OVER (ORDER BY ordinal) AS percent FROM s")
-def funnel(spark, d):
-    rows = sets(spark, d)
-    members = dedup.fingerprint(rows).where("report_id <> canonical_id").agg(F.count("*").alias("gone"))
-    # two one-row aggregates; the cross product has one row
-    n = rows.agg(F.count("*").alias("a")).crossJoin(members)
-    steps = n.select(F.inline(F.array(F.struct(F.lit(1).alias("ordinal"), F.lit("inventory").alias("stage"), F.col("a").alias("remaining")), F.struct(F.lit(2).alias("ordinal"), F.lit("fingerprint").alias("stage"), (F.col("a") - F.col("gone")).alias("remaining")))))
-    w = Window.orderBy("ordinal")
-    return steps.select("ordinal", "stage", "remaining", F.coalesce(F.lag("remaining").over(w) - F.col("remaining"), F.lit(0)).alias("removed"), (F.lit(100.0) * F.col("remaining") / F.first("remaining").over(w)).alias("percent"))
-
-
-@query("N1_waterfall", """WITH inv AS (SELECT p_partkey AS report_id, p_name AS name, p_brand AS path FROM part),
-act AS (SELECT p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 10000000 END AS object_id, p_name AS name, CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_brand END AS path, p_size::BIGINT AS execs FROM part),
+@query("N1_waterfall", """WITH inv AS (SELECT p_partkey AS report_id, CASE WHEN p_size = 7 THEN '' ELSE p_name END AS name, p_brand AS path FROM part),
+act AS (SELECT p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 10000000 END AS object_id, CASE WHEN p_size = 7 THEN '' ELSE p_name END AS name, CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_brand END AS path, p_size::BIGINT AS execs FROM part),
 t0 AS (SELECT report_id, 'exact_id' AS tier, execs, object_id FROM inv JOIN act ON report_id = object_id),
 t1 AS (SELECT a.report_id, 'full_path' AS tier, b.execs, b.object_id FROM
   (SELECT *, row_number() OVER (PARTITION BY name, path ORDER BY report_id) AS turn FROM inv WHERE report_id NOT IN (SELECT report_id FROM t0)) a JOIN
   (SELECT *, row_number() OVER (PARTITION BY name, path ORDER BY execs DESC, object_id) AS turn FROM act WHERE object_id NOT IN (SELECT object_id FROM t0)) b USING (name, path, turn)),
 d1 AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1),
 t2 AS (SELECT a.report_id, 'exact_name' AS tier, b.execs, b.object_id FROM
-  (SELECT *, row_number() OVER (PARTITION BY name ORDER BY report_id) AS turn FROM inv WHERE report_id NOT IN (SELECT report_id FROM d1)) a JOIN
+  (SELECT *, row_number() OVER (PARTITION BY name ORDER BY report_id) AS turn FROM inv WHERE name <> '' AND report_id NOT IN (SELECT report_id FROM d1)) a JOIN
   (SELECT *, row_number() OVER (PARTITION BY name ORDER BY execs DESC, object_id) AS turn FROM act WHERE object_id NOT IN (SELECT object_id FROM d1)) b USING (name, turn)),
 d2 AS (SELECT * FROM d1 UNION ALL SELECT * FROM t2)
 SELECT report_id, tier, execs FROM d2 UNION ALL SELECT report_id, 'none', 0 FROM inv WHERE report_id NOT IN (SELECT report_id FROM d2)""")
 def waterfall(spark, d):
     part = read(spark, d, "part")
-    inv = part.select(F.col("p_partkey").alias("report_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"))
-    act = part.select((F.col("p_partkey") + F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(10000000)).alias("object_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("path"), F.col("p_size").cast("long").alias("execs"))
+    name = F.when(F.col("p_size") == 7, "").otherwise(F.col("p_name"))
+    inv = part.select(F.col("p_partkey").alias("report_id"), F.concat(name, F.lit("* ")).alias("name"), F.concat(F.lit("/"), "p_brand").alias("path"))
+    act = part.select((F.col("p_partkey") + F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(10000000)).alias("object_id"), name.alias("name"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("path"), F.col("p_size").cast("long").alias("execs"))
     return match.waterfall(inv, act)
 
 
@@ -162,18 +153,9 @@ def cross_project_members(spark, d):
     return rows.join(grp, "name", "left_semi").select("report_id", "project", "name", "execs")
 
 
-@query("D15_drift", f"WITH {PARTS_SQL} SELECT project, 'n=' || count(*) || ';' || substr(sha256(string_agg(report_id::VARCHAR, '|' ORDER BY report_id)), 1, 16) AS fingerprint FROM parts GROUP BY project")
+@query("D15_drift", f"WITH {PARTS_SQL} SELECT project, 'n=' || count(*) || ';' || sum(('0x' || substr(md5(report_id::VARCHAR), 1, 8))::BIGINT)::BIGINT AS fingerprint FROM parts GROUP BY project")
 def drift(spark, d):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("report_id")), lambda x: x.cast("string")), "|")
-    return named_parts(spark, d).groupBy("project").agg(F.concat(F.lit("n="), F.count("*"), F.lit(";"), F.substring(F.sha2(ids, 256), 1, 16)).alias("fingerprint"))
-
-
-@query("D16_survivor_chain", f"WITH {FINGERPRINT_SQL} SELECT s.report_id, coalesce(m.canonical_id, s.report_id) AS survivor_id, CASE WHEN m.canonical_id <> s.report_id THEN 'fingerprint' WHEN r.execs < 1000 THEN 'telemetry' ELSE 'kept' END AS why FROM sets s JOIN reports r USING (report_id) LEFT JOIN member m ON m.report_id = s.report_id")
-def survivor_chain(spark, d):
-    rows = sets(spark, d)
-    m = dedup.fingerprint(rows).select("report_id", "canonical_id")
-    why = F.when(F.col("canonical_id") != F.col("report_id"), "fingerprint").when(F.col("execs") < 1000, "telemetry").otherwise("kept")
-    return rows.join(m, "report_id", "left").select("report_id", F.coalesce("canonical_id", "report_id").alias("survivor_id"), why.alias("why"))
+    return dedup.drift(named_parts(spark, d), "project")
 
 
 @query("A12_common_features", f"WITH {FINGERPRINT_SQL}, x AS (SELECT canonical_id, group_size, m.report_id, unnest(s.t) AS feature FROM member m JOIN sets s ON s.report_id = m.report_id) SELECT canonical_id, feature, count(DISTINCT report_id) AS n FROM x GROUP BY canonical_id, group_size, feature HAVING count(DISTINCT report_id) = group_size")

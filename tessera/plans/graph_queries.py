@@ -9,6 +9,7 @@ from tessera.operators import dedup, match, similarity
 from tessera.operators.graph import connected_components
 from tessera.plans.catalog import query
 from tessera.plans.inputs import SETS_SQL, features, read
+from tessera.storage import materialize
 
 LEAST_COSINE = 0.35
 PAIRS_SQL = f"pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), hits AS (SELECT * FROM pairs WHERE cosine >= {LEAST_COSINE})"
@@ -43,10 +44,13 @@ def vector_clusters(spark, d):
     return size.join(stats, "component")
 
 
-@query("G2_spanning_forest", f"WITH RECURSIVE {COMPONENTS_SQL} SELECT (count(*) - count(DISTINCT component))::BIGINT AS edges FROM comp")
+@query("G2_spanning_forest", f"""WITH RECURSIVE {PAIRS_SQL}, ranked AS (SELECT a, b, cosine, row_number() OVER (ORDER BY cosine DESC, a, b) AS k FROM hits),
+reach(k, node, seen) AS (SELECT k, a, a FROM ranked UNION SELECT r.k, r.node, CASE WHEN e.a = r.seen THEN e.b ELSE e.a END FROM reach r JOIN ranked e ON e.k < r.k AND (e.a = r.seen OR e.b = r.seen)),
+forest AS (SELECT a, b, cosine FROM ranked h WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.k = h.k AND r.seen = h.b))
+SELECT a, b, round(cosine, 6) AS cosine FROM forest""")
 def spanning_forest(spark, d):
     forest = similarity.spanning_forest(links(spark, d).withColumnRenamed("cosine", "w"))
-    return forest.agg(F.count("*").alias("edges"))
+    return forest.select("a", "b", F.round("w", 6).alias("cosine"))
 
 
 @query("G3_rethreshold", f"WITH RECURSIVE {COMPONENTS_SQL.replace(f'cosine >= {LEAST_COSINE}', 'cosine >= 0.4')} SELECT * FROM comp")
@@ -79,21 +83,31 @@ def set_similarity(spark, d):
     return similarity.set_join(rows, "id", "s", 0.8).select("a", "b", F.round("score", 9).alias("score"))
 
 
-@query("D9_similarity_clusters")
+J14_SQL = f"""{TRIPLES_SQL}, keys AS (SELECT id, unnest(m) AS km, t FROM triples), k2 AS (SELECT id, km, unnest(t) AS kt FROM keys),
+cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k2 a JOIN k2 b ON a.km = b.km AND a.kt = b.kt AND a.id < b.id),
+s AS (SELECT a, b, len(list_intersect(x.m, y.m)) AS im, len(x.m) + len(y.m) AS nm, len(list_intersect(x.t, y.t)) AS it, len(x.t) + len(y.t) AS nt, len(list_intersect(x.f, y.f)) AS if_, len(x.f) + len(y.f) AS nf FROM cand JOIN triples x ON x.id = a JOIN triples y ON y.id = b),
+r AS (SELECT a, b, 0.4::DOUBLE * (im::DOUBLE / (nm - im)) + 0.4::DOUBLE * (it::DOUBLE / (nt - it)) + 0.2::DOUBLE * (if_::DOUBLE / (nf - if_)) AS score FROM s)"""
+
+
+@query("D9_similarity_clusters", f"""WITH RECURSIVE {J14_SQL}, hits AS (SELECT * FROM r WHERE score >= 0.8::DOUBLE), e AS (SELECT a AS u, b AS v FROM hits UNION SELECT b, a FROM hits),
+reach AS (SELECT u AS node, u AS seen FROM e UNION SELECT reach.node, e.v FROM reach JOIN e ON e.u = reach.seen), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT component, any_value(size) AS size, round(avg(score), 6) AS mean_score FROM hits JOIN comp ON comp.node = a JOIN (SELECT component, count(*) AS size FROM comp GROUP BY component) USING (component) GROUP BY component""")
 def similarity_clusters(spark, d):
-    pairs = similarity.weighted_set_join(triples(spark, d))
+    pairs = materialize(similarity.weighted_set_join(triples(spark, d)), "similar")
     comp = connected_components(pairs, "a", "b")
-    return comp.groupBy("component").agg(F.count("*").alias("size")).join(pairs.join(comp.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.avg("score").alias("mean_score")), "component")
+    score = pairs.join(comp.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.round(F.avg("score"), 6).alias("mean_score"))
+    return comp.groupBy("component").agg(F.count("*").alias("size")).join(score, "component")
 
 
-@query("J17_fuzzy_match", """WITH l AS (SELECT p_partkey AS id, list_sort(list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+'))) AS s FROM part),
-r AS (SELECT DISTINCT s FROM (SELECT list_sort(list_distinct(regexp_extract_all(lower(p_type || ' ' || p_brand), '[a-z0-9]+'))) AS s FROM part)),
-best AS (SELECT l.s, max(len(list_intersect(l.s, r.s))::DOUBLE / (len(l.s) + len(r.s) - len(list_intersect(l.s, r.s)))) AS score FROM (SELECT DISTINCT s FROM l) l, r GROUP BY l.s)
-SELECT l.id, round(best.score, 9) AS score FROM l JOIN best ON best.s = l.s WHERE best.score >= 0.6""")
+@query("J17_fuzzy_match", """WITH l AS (SELECT p_partkey AS id, lower(p_name) AS n, lower(p_brand) AS path FROM part), r AS (SELECT p_partkey AS id, lower(p_name || ' ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'x' END) AS n, lower(CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'z' END) AS path FROM part),
+lt AS (SELECT DISTINCT n, path, list_distinct(regexp_extract_all(n, '[a-z0-9]+')) AS s FROM l), rt AS (SELECT n, path, list_distinct(regexp_extract_all(n, '[a-z0-9]+')) AS s FROM r GROUP BY n, path),
+x AS (SELECT lt.n, lt.path, len(list_intersect(lt.s, rt.s))::DOUBLE / (len(lt.s) + len(rt.s) - len(list_intersect(lt.s, rt.s))) AS j, len(lt.n) >= 8 AND len(rt.n) >= 8 AND (contains(rt.n, lt.n) OR contains(lt.n, rt.n)) AS inside, lt.path = rt.path AS same FROM lt JOIN rt ON len(lt.s) >= 2),
+y AS (SELECT n, path, greatest(max(CASE WHEN inside THEN greatest(j, 0.7::DOUBLE) ELSE j END), coalesce(max(j + 0.15::DOUBLE) FILTER (WHERE same), 0)) AS score FROM x GROUP BY n, path)
+SELECT id, round(score, 9) AS score FROM l JOIN y USING (n, path) WHERE score >= 0.6""")
 def fuzzy_match(spark, d):
     part = read(spark, d, "part")
-    left = part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"))
-    right = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_brand").alias("name"))
+    left = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"))
+    right = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("x")).alias("name"), F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise("z").alias("path"))
     return match.fuzzy(left, right).select("id", F.round("score", 9).alias("score"))
 
 
@@ -113,5 +127,6 @@ def hierarchy(spark, d):
 
 @query("A37_similarity_stats", f"WITH {PAIRS_SQL} SELECT round(avg(cosine), 6) AS mean, round(median(cosine), 6) AS middle, count(*) FILTER (WHERE cosine >= 0.4) AS above_40, count(*) FILTER (WHERE cosine >= 0.35) AS above_35, count(*) AS pairs FROM pairs")
 def similarity_stats(spark, d):
-    pairs = similarity.cosine_join(read(spark, d, "embeddings"), "vec_id", "embedding", -2.0)
-    return pairs.agg(F.round(F.avg("cosine"), 6).alias("mean"), F.round(F.percentile("cosine", F.lit(0.5)), 6).alias("middle"), F.count_if(F.col("cosine") >= 0.4).alias("above_40"), F.count_if(F.col("cosine") >= 0.35).alias("above_35"), F.count("*").alias("pairs"))
+    got, marks = similarity.similarity_counts(read(spark, d, "embeddings"), "vec_id", "embedding", [0.4, 0.35])
+    row = (round(got["mean"], 6), round(got["middle"], 6), *marks, got["pairs"])
+    return spark.createDataFrame([row], "mean double, middle double, above_40 long, above_35 long, pairs long")

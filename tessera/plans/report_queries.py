@@ -238,10 +238,11 @@ def row_counts(spark, d):
     return usage.row_counts({"part": part, "line": line}, "project")
 
 
-@query("A29_unused", "SELECT DISTINCT lower(p_name) AS name FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_size % 16 > 0)")
+@query("A29_unused", "WITH n AS (SELECT p_partkey, lower(p_name || ' ' || p_size) AS name FROM part) SELECT DISTINCT name FROM n WHERE name NOT IN (SELECT name FROM n JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1)")
 def unused_names(spark, d):
-    part = read(spark, d, "part")
-    return usage.unused(part.select(F.col("p_name").alias("name")), part.where("p_size % 16 > 0").select(F.upper("p_name").alias("name")))
+    names = read(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"))
+    line = read(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"))
+    return usage.unused(names, names.join(line, "p_partkey").select(F.upper("name").alias("name")))
 
 
 @query("A30_frequency", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 20")

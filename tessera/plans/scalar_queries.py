@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.functions.sets import jaccard
+from tessera.functions.sets import cosine, jaccard
 from tessera.plans.catalog import query
 from tessera.plans.inputs import PARTS_SQL, named_parts, read
 from tessera.sources import inventory
@@ -48,16 +48,112 @@ def statements(spark, d):
     return read(spark, d, "part").select("p_partkey", F.concat(F.lit("SELECT a, '"), "p_name", F.lit("' FROM ZZT"), "p_partkey", F.lit(" x JOIN [S]."), "p_brand", F.lit(" y ON c = "), "p_size", F.lit(".5 -- note\n /* c */ WHERE pa"), "p_size", F.lit(" = 1")).alias("sql"))
 
 
-@query("F8_sql_for_hash", f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({STATEMENT}), '--[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g'), '\\bzz[a-z0-9_]+', 'ZTMP', 'g'), '\\bpa[0-9]+\\b', 'pa0', 'g'), '''[^'']*''', '''?''', 'g'), '\\b[0-9]+(\\.[0-9]+)?\\b', '0', 'g'), '\\s+', ' ', 'g')) AS q FROM part""")
+def chained(sql, masks):
+    for pattern, to in masks:
+        sql = f"regexp_replace({sql}, '{pattern}', '{to}', 'g')"
+    return sql
+
+
+# Written down anew for the other engine, not taken from the functions.
+HASHED = chained(f"lower({STATEMENT})", [(r"--[^\n]*", ""), (r"(?s)/\*.*?\*/", ""), (r"\b[a-z0-9]{6,}zmd\d{3}\b", "ZTMP"), (r"\bzzt\w+\b", "ZTMP"), (r"\bpa\d+\b", "pa0"), ("''[^'']*''", "''?''"), (r"\b\d+(\.\d+)?\b", "0"), (r"\s+", " ")])
+FOR_VECTORS = chained("lower(" + chained(STATEMENT, [(r"(?s)/\*.*?\*/", " "), ("QQ(?:QQQQ|[^QQ])*QQ".replace("Q", chr(39)), "?"), (r"--[^\n]*", " ")]) + ")", [(r"\b(zz[a-z][a-z]\d+(_\w+)?|dss_int\w*|tmp_\w+|temp_\w+)\b", "tmp_tbl"), (r"\b[a-f0-9]{16,}\b", "hashtok"), (r"\b\d+(\.\d+)?\b", "?"), (r"\s+", " ")])
+
+
+@query("F8_sql_for_hash", f"SELECT p_partkey, trim({HASHED}) AS q FROM part")
 def sql_for_hash(spark, d):
     return statements(spark, d).select("p_partkey", text.sql_for_hash(F.col("sql")).alias("q"))
 
 
-@query("F9_sql_for_vectors", f"""SELECT p_partkey, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({STATEMENT}, '(?s)/\\*.*?\\*/', ' ', 'g'), '''[^'']*''', '?', 'g'), '--[^\\n]*', ' ', 'g')), '\\bzz[a-z0-9_]+', 'tmp_tbl', 'g'), '\\b[0-9a-f]{{16,}}\\b', 'hashtok', 'g'), '\\b[0-9]+(\\.[0-9]+)?\\b', '?', 'g'), '\\s+', ' ', 'g')), 1, 2000) AS q FROM part""")
+@query("F9_sql_for_vectors", f"SELECT p_partkey, substr(trim({FOR_VECTORS}), 1, 2000) AS q FROM part")
 def sql_for_vectors(spark, d):
     return statements(spark, d).select("p_partkey", text.sql_for_vectors(F.col("sql")).alias("q"))
 
 
+@query("F10_sql_for_diff", "SELECT p_partkey, 'd = <DATE> and n = ''?'' MSTR=<NAME>;' || p_partkey AS q FROM part")
+def sql_for_diff(spark, d):
+    x = F.concat(F.lit("d = 2024-01-02 03:04:05.1 and n = '"), "p_name", F.lit("' MSTR=a "), "p_brand", F.lit(";"), "p_partkey")
+    return read(spark, d, "part").select("p_partkey", text.sql_for_diff(x).alias("q"))
+
+
+@query("F11_pretty_sql", "SELECT p_partkey, 'select' || chr(10) || '  ' || p_name || chr(10) || chr(10) || 'from t' AS q FROM part")
+def pretty_sql(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.pretty_sql(F.concat(F.lit(" select \r\n\t"), "p_name", F.lit("  \n\n\n\nfrom t\n"))).alias("q"))
+
+
+@query("F13_sql_blocks", "SELECT p_partkey, 2 AS n, 'select a, b from t where c = ' || p_partkey AS first_block FROM part")
+def sql_blocks(spark, d):
+    script = F.concat(F.lit("create table x as select a, b from t where c = "), "p_partkey", F.lit(";\ndrop table y; select 1; create temporary table z\nwith q as (select 1) select * from q"))
+    return read(spark, d, "part").select("p_partkey", F.size(text.sql_blocks(script)).alias("n"), F.get(text.sql_blocks(script), F.lit(0)).alias("first_block"))
+
+
+@query("F20_cosine", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 9) AS cosine FROM embeddings")
+def cosine_of(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), F.reverse("embedding")), 9).alias("cosine"))
+
+
+@query("F22_plain_text", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN 'a/' || p_name WHEN 3 THEN '' ELSE p_size::VARCHAR END AS t FROM part")
+def plain_text(spark, d):
+    name = F.concat(F.lit('"'), "p_name", F.lit('"'))
+    json = F.when(F.col("p_size") % 5 == 0, name).when(F.col("p_size") % 5 == 1, F.concat(F.lit('{"id": "1", "name": '), name, F.lit("}"))).when(F.col("p_size") % 5 == 2, F.concat(F.lit('["a", {"name": '), name, F.lit("}]"))).when(F.col("p_size") % 5 == 4, F.col("p_size").cast("string"))
+    return read(spark, d, "part").select("p_partkey", text.plain(json).alias("t"))
+
+
+@query("F25_labelled_text", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'ID: ' || p_partkey ELSE 'NAME: ' || p_name || CASE WHEN p_size % 3 = 1 THEN chr(10) || 'METRICS: ' || p_brand || '; ' || p_type ELSE '' END END AS t FROM part")
+def labelled_text(spark, d):
+    some = F.col("p_size") % 3
+    fields = {"NAME": F.when(some != 0, F.col("p_name")), "OWNER": F.lit(""), "METRICS": F.when(some == 1, text.listed(F.array("p_brand", "p_type")))}
+    return read(spark, d, "part").select("p_partkey", text.labelled(fields, F.col("p_partkey")).alias("t"))
+
+
+@query("F26_classify_text", "SELECT l_orderkey, 'TABLES: ' || array_to_string(list_sort(list(l_linenumber::VARCHAR))[1:3], '; ') AS t FROM lineitem GROUP BY l_orderkey")
+def classify_text(spark, d):
+    per = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber").cast("string"))).alias("x"))
+    return per.select("l_orderkey", text.labelled({"TABLES": text.listed(F.col("x"), 3)}, F.col("l_orderkey")).alias("t"))
+
+
+@query("F27_file_name", "SELECT p_partkey, replace(p_name, ' ', '_') || '_' || substr(p_type, 1, 2) AS t FROM part")
+def file_name(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.file_name(F.concat(F.lit(" ."), "p_name", F.lit("//?  "), F.substring("p_type", 1, 2), F.lit("_. "))).alias("t"))
+
+
+@query("F28_python_round", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 2.67::DOUBLE ELSE 0.812::DOUBLE END AS x FROM customer")
+def python_round(spark, d):
+    even = F.col("c_custkey") % 2 == 0
+    return read(spark, d, "customer").select("c_custkey", F.when(even, text.python_round(F.lit(2.675), 2)).otherwise(text.python_round(F.lit(0.8125), 3)).alias("x"))
+
+
+@query("F31_prompt_answers", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS n, p_name AS answer FROM part")
+def prompt_answers(spark, d):
+    row = lambda k, i, a, v: F.struct(F.lit("value").alias("type"), F.lit(k).cast("string").alias("key"), F.lit(i).alias("id"), a.cast("string").alias("answers"), v.cast("string").alias("default"))
+    prompts = F.array(row("k", "1", F.lit(""), F.col("p_name")), row(None, "2", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.lit(None)))
+    return read(spark, d, "part").select("p_partkey", F.size(text.prompt_answers(prompts)).alias("n"), text.prompt_answers(prompts)[0]["answers"].alias("answer"))
+
+
+@query("F32_review_answer", "SELECT p_partkey, p_name AS label, p_size AS removable_count, '1,2' AS ids FROM part")
+def review_answer(spark, d):
+    json = F.concat(F.lit('```json\n{"label": "'), "p_name", F.lit('", "removable_count": "'), "p_size", F.lit('", "removable_member_ids": ["2", "1", "2"]}\n```'))
+    x = text.review(json)
+    return read(spark, d, "part").select("p_partkey", x["label"].alias("label"), x["removable_count"].alias("removable_count"), F.array_join(x["removable_ids"], ",").alias("ids"))
+
+
+@query("F33_slug", "SELECT p_partkey, regexp_replace(lower(p_name || '-' || p_type), '[^a-z0-9]+', '-', 'g') AS t FROM part")
+def slug(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.slug(F.col("p_name"), F.col("p_type")).alias("t"))
+
+
+@query("F7_variant_suffix", "SELECT p_partkey, p_brand AS suffix FROM part")
+def variant_suffix(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.variant_suffix(F.concat("p_name", F.lit(" - "), "p_brand"), F.col("p_name")).alias("suffix"))
+
+
+@query("F17_set_jaccard", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 1.0::DOUBLE WHEN p_size % 3 = 1 THEN 0.0 ELSE 1.0::DOUBLE / 3 END AS j FROM part")
+def set_jaccard(spark, d):
+    none = F.array().cast("array<string>")
+    a = F.when(F.col("p_size") % 3 == 2, F.array(F.lit("x"), F.lit("y"))).otherwise(none)
+    b = F.when(F.col("p_size") % 3 == 0, none).otherwise(F.array(F.lit("y"), F.lit("z")))
+    return read(spark, d, "part").select("p_partkey", jaccard(a, b).alias("j"))
+
+
 @query("F12_tables_of", "SELECT p_partkey, 'ZZT' || p_partkey || ',S.' || regexp_extract(p_brand, '[\\w.]+') AS tables FROM part")
 def tables_of(spark, d):
     return statements(spark, d).select("p_partkey", F.array_join(text.tables_of(F.col("sql")), ",").alias("tables"))
@@ -120,15 +216,15 @@ def substring_any(spark, d):
     return read(spark, d, "customer").where(F.exists(marks, lambda x: F.contains(F.lower("c_name"), x))).select("c_custkey")
 
 
-@query("P19_pattern_search", "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%a%' AND p_type LIKE p_type LIMIT 0" if False else "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%' OR p_type LIKE '%L'")
+@query("P19_pattern_search", "SELECT p_partkey, lower(p_name) LIKE 'red%' AS starts, lower(p_name) LIKE '%ring' AS ends, lower(p_name) = 'red ring' AS same, lower(p_name) LIKE '%d r%' AS inside FROM part")
 def pattern_search(spark, d):
-    return read(spark, d, "part").where(F.col("p_brand").startswith("Brand#1") | F.col("p_type").endswith("L")).select("p_partkey")
+    n = F.col("p_name")
+    return read(spark, d, "part").select("p_partkey", *[text.named_like(n, i, t).alias(a) for i, (t, a) in enumerate([("RED", "starts"), ("ring", "ends"), ("Red Ring", "same"), ("d R", "inside")], 1)])
 
 
-@query("P22_error_class", "SELECT event_type, CASE WHEN lower(event_type) LIKE '%click%' THEN 'prompt' WHEN lower(event_type) LIKE '%view%' THEN 'timeout' ELSE 'other' END AS class, count(*) AS n FROM events GROUP BY 1, 2")
+@query("P22_error_class", "SELECT event_type, CASE WHEN lower(event_type) LIKE '%click%' THEN 'prompt' WHEN lower(event_type) LIKE '%i%' THEN 'timeout' ELSE 'other' END AS class, count(*) AS n FROM events GROUP BY 1, 2")
 def error_class(spark, d):
-    x = F.lower("event_type")
-    return read(spark, d, "events").groupBy("event_type", F.when(x.rlike("click"), "prompt").when(x.rlike("view"), "timeout").otherwise("other").alias("class")).agg(F.count("*").alias("n"))
+    return read(spark, d, "events").groupBy("event_type", text.error_class(F.col("event_type"), [("click", "prompt"), ("i", "timeout")]).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("S2_record_shredder", "SELECT l_orderkey AS report_id, p_brand AS name, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
@@ -152,9 +248,19 @@ def object_counts(spark, d):
     return as_map.select(F.explode("byCategory").alias("category", "n"))
 
 
-@query("S16_work_list", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@query("S16_work_list", "SELECT o_orderkey AS report_id FROM orders WHERE o_totalprice > 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def work_list(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    tele = read(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_totalprice").alias("execs"))
+    line = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.when(F.col("l_returnflag") == "R", "select").alias("sql"))
+    return inventory.without_statement(tele.where("execs > 0"), line)
+
+
+@query("S17_cube_work_list", "SELECT p_partkey AS report_id, n AS execs FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE p_type = 'ECONOMY' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)")
+def cube_work_list(spark, d):
+    reports = read(spark, d, "part").where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("report_id"))
+    line = read(spark, d, "lineitem").select(F.col("l_partkey").alias("report_id"), "l_returnflag", "l_linenumber")
+    tele = line.groupBy("report_id").agg(F.count("*").alias("execs"))
+    return inventory.without_features(reports, line.where("l_returnflag = 'R' AND l_linenumber = 1"), tele, unused=True)
 
 
 @query("S15_pass_join", "SELECT conv_id, sha256(string_agg(text, chr(10) || '-- pass --' || chr(10) ORDER BY turn)) AS h, count(*) AS passes FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY conv_id")

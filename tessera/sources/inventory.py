@@ -64,3 +64,83 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def without_statement(reports: DataFrame, statements: DataFrame) -> DataFrame:
+    """Ids of reports that have no statement."""
+    known = statements.where(F.coalesce("sql", F.lit("")) != "").select("report_id")
+    return reports.select("report_id").distinct().join(known, "report_id", "left_anti")
+
+
+def without_features(reports: DataFrame, features: DataFrame, telemetry: DataFrame, unused: bool) -> DataFrame:
+    """Reports without any feature and their executions, the most executed first; unused ones only if asked for."""
+    rows = reports.join(features.select("report_id"), "report_id", "left_anti").join(telemetry.select("report_id", "execs"), "report_id", "left" if unused else "inner")
+    return rows.orderBy(F.coalesce("execs", F.lit(0)).desc(), "report_id")
+
+
+UNITS = "array<struct<id: string, name: string, subType: string, type: string, elements: array<struct<id: string, objectId: string, name: string, subType: string>>>>"
+
+
+def definition_units(definitions: DataFrame) -> DataFrame:
+    """``report_id``, ``kind`` (metric or attribute), ``id``, ``name``, ``sub_type``: the units of definitions (report_id, units), flat or in groups, each once."""
+    unit = definitions.select("report_id", F.explode("units").alias("u"))
+    flat = F.coalesce(F.size("u.elements"), F.lit(0)) <= 0
+    alone = unit.where(flat & (F.coalesce("u.id", F.lit("")) != "") & (F.coalesce("u.name", F.lit("")) != ""))
+    alone = alone.select("report_id", "u.id", "u.name", F.coalesce(F.nullif("u.subType", F.lit("")), "u.type").alias("sub_type"), F.col("u.type").alias("type"), F.lit(True).alias("flat"))
+    inside = unit.where(~flat).select("report_id", F.col("u.type").alias("type"), F.explode("u.elements").alias("e"))
+    inside = inside.select("report_id", F.coalesce(F.nullif("e.id", F.lit("")), "e.objectId").alias("id"), "e.name", F.coalesce(F.nullif("e.subType", F.lit("")), "type").alias("sub_type"), "type", F.lit(False).alias("flat"))
+    low = F.lower(F.coalesce("sub_type", F.lit("")))
+    metric = F.when(F.col("flat"), low == "metric").otherwise(F.contains(low, F.lit("metric"))) | (F.coalesce("type", F.lit("")) == "metrics")
+    return alone.unionByName(inside).select("report_id", F.when(metric, "metric").otherwise("attribute").alias("kind"), "id", "name", "sub_type").distinct()
+
+
+def to_recover(scope: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
+    """Ids whose attributes are still to be asked for."""
+    return scope.select("report_id").distinct().join(done.select("report_id"), "report_id", "left_anti").join(failed.select("report_id"), "report_id", "left_anti")
+
+
+def first_wins(old: DataFrame, new: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows of both; of one key the old one, else the first of the new ones by ``order``."""
+    rest = [c for c in old.columns if c not in keys]
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*(order or rest))).alias("r")).select(*keys, "r.*")
+    return old.unionByName(first.join(old.select(*keys), keys, "left_anti").select(*old.columns))
+
+
+def last_wins(old: DataFrame, new: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows of both; of one key the last of the new ones by ``order``, else the old one."""
+    rest = [c for c in old.columns if c not in keys]
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(order or rest))).alias("r")).select(*keys, "r.*")
+    return last.select(*old.columns).unionByName(old.join(last.select(*keys), keys, "left_anti").select(*old.columns))
+
+
+def audit(name: str, read: DataFrame, loaded: DataFrame) -> DataFrame:
+    """One row of the ingest log: rows read and loaded."""
+    a = read.agg(F.count("*").alias("rows_read"))
+    b = loaded.agg(F.count("*").alias("rows_loaded"))
+    return a.crossJoin(b).select(F.lit(name).alias("source"), "rows_read", "rows_loaded")  # one row on either side
+
+
+def grid_table(grid: DataFrame) -> DataFrame:
+    """Grid cells as a flat table: rows (row, header_index, elements, raw, formatted) give a cell for each header, by element index, and for each metric, formatted before raw."""
+    return grid.select("row", F.posexplode("header_index").alias("column", "at"), "elements").select("row", "column", F.get(F.get("elements", F.col("column")), F.col("at")).alias("value")).unionByName(grid.select("row", F.size("header_index").alias("first"), F.posexplode("raw").alias("m", "x"), "formatted").select("row", (F.col("first") + F.col("m")).alias("column"), F.coalesce(F.get("formatted", F.col("m")), F.col("x").cast("string")).alias("value")))
+
+
+#: Names that emitted files have used for one column.
+ALIASES = {"report_id": ["id", "reportId", "report_id"], "name": ["name", "reportName"], "execs": ["totalExecutions", "executions", "execs"], "group_id": ["groupId", "clusterId", "id"]}
+
+
+def load_emitted(spark: SparkSession, path: str, columns: list[str], members: str | None = None) -> DataFrame:
+    """An emitted JSON file as a table, whichever of the known names its columns have; with ``members``, a row for each member of a group."""
+    raw = spark.read.json(path)
+
+    def named(fields, prefix, c):
+        found = [F.col(f"{prefix}{a}") for a in ALIASES.get(c, [c]) if a in fields]
+        return (F.coalesce(*found) if found else F.lit(None).cast("string")).alias(c)
+
+    if members is None:
+        return raw.select(*[named(raw.columns, "", c) for c in columns])
+    rows = raw.select(named(raw.columns, "", "group_id"), F.explode(members).alias("m"))
+    kind = rows.schema["m"].dataType
+    if not hasattr(kind, "names"):  # plain ids
+        return rows.select("group_id", F.col("m").alias("report_id"))
+    return rows.select("group_id", *[named(kind.names, "m.", c) for c in columns])
