@@ -47,7 +47,7 @@ NEAR_PAIRS = 3 << 19
 #: Bits of the filter that tells which contexts the table has; a power of two.
 MARKS = 1 << 25
 #: Words of the broadcast table at most: the most frequent ones.
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 1 << 16
 #: Next symbols: the bytes, and the end of the text.
 END = 256
 #: In place of a child: it is in the table.
@@ -425,8 +425,8 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     ends = totals[ENDS]["n"] if ENDS in totals else 0
     context = docs.sparkSession.sparkContext
     least = 2.0 ** least_step(words.select("n"), "n", F.lit(1), HEAD_WORDS)
-    frequent = words.where(F.col("n") >= least).toPandas()  # HEAD_WORDS rows at most
-    head = context.broadcast(dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist(), strict=True)))
+    frequent = words.where(F.col("n") >= least).toArrow()  # HEAD_WORDS rows at most
+    head = context.broadcast(dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), strict=True)))
     fitted, tail = fit(grams)
     close, rest = split(tail)
     tree, near = context.broadcast(fitted), context.broadcast(close)
