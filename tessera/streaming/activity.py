@@ -13,9 +13,9 @@ def timed(events: DataFrame, late: str) -> DataFrame:
     return events.withWatermark("ts", late)
 
 
-def rollup(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Events and their value by window and type; for batch tables the watermark has no effect."""
-    return timed(events, late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
+def rollup(events: DataFrame, size: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Events and their value by window and type, a window at each ``slide`` if one is given; for batch tables the watermark has no effect."""
+    return timed(events, late).groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

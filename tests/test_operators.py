@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import dedup, match, similarity
+from tessera.operators import dedup, lineage, match, similarity
 from tessera.operators.graph import connected_components
 from tessera.operators.ranking import numbered
+from tessera.sources import projects
 
 
 def value(spark, column, **row):
@@ -90,3 +91,26 @@ def test_collisions_keep_different_executions_and_unused_reports(spark):
     rows = [("r1", "Sales", 10, "t1", "exact_id"), ("r2", "Sales", 20, "t2", "exact_id"), ("r3", "Sales", 20, "t3", "exact_id"), ("r4", "Idle", 0, None, "none"), ("r5", "Idle", 0, None, "none")]
     found = dedup.collisions(spark.createDataFrame(rows, "report_id string, name string, execs long, last string, tier string"))
     assert {(x.report_id, x.canonical_id, x["pass"]) for x in found.collect()} == {("r1", "r1", 0), ("r2", "r2", 0), ("r3", "r2", 2), ("r4", "r4", 0), ("r5", "r5", 0)}
+
+
+def test_source_groups(spark):
+    rows = [(1, "cube", "c1"), (1, "table", "t1"), (1, "table", "t2"), (1, "prompt", "p"), (2, None, None), (1, "filter", "f")]
+    found = lineage.source_groups(spark.createDataFrame(rows, "report_id long, type string, name string"), ["table", "cube"])
+    assert sorted((r.place, r.label) for r in found.where("report_id = 1").collect()) == [(1, "tables (2)"), (2, "c1"), (3, "f"), (4, "p")]
+    assert [(r.place, r.label, r.objects) for r in found.where("report_id = 2").collect()] == [(1, None, 1)]
+    assert lineage.source_groups(found.select("report_id", "type", F.col("label").alias("name")).limit(0), []).count() == 0
+
+
+def test_project_references():
+    known = [projects.Project("north", "North America", "G1"), projects.Project("south", "South America", "G2"), projects.Project("G1", "north")]
+    assert [projects.by_reference(known, x).project_id for x in (" south ", "G2", "south america", "north", "G1")] == ["south", "south", "south", "north", "G1"]
+    assert [projects.by_name(known, name=x).project_id for x in ("north", "NORTH", "South", "north a")] == ["G1", "G1", "south", "north"]
+    assert projects.by_name(known, "SOUTH", "ignored").project_id == "south"
+    assert projects.by_name(known[:1]).project_id == "north"
+    for wrong in ({"name": "america"}, {"name": "west"}, {"project_id": "west"}, {}):
+        with pytest.raises(LookupError):
+            projects.by_name(known, **wrong)
+    with pytest.raises(LookupError):
+        projects.by_reference(known, "west")
+    with pytest.raises(ValueError):
+        projects.by_reference(known, "  ")
