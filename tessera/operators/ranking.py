@@ -29,3 +29,16 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
 def top_per_group(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     """Up to n rows of each group; Spark cuts each task's part of a group to n rows before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def placed(df: DataFrame, group: str, name: str, *order: Column) -> DataFrame:
+    """Adds ``name``: 1, 2, ... within each group, without one task that holds all rows of a group.  The order must be total within the group, a null group is a group."""
+    rows = materialize(numbered(df, "__number", F.col(group), *order), "placed")
+    first = rows.groupBy(F.col(group).alias("__group")).agg(F.min("__number").alias("__first"))
+    return rows.join(first, F.col(group).eqNullSafe(F.col("__group"))).withColumn(name, F.col("__number") - F.col("__first") + 1).drop("__number", "__group", "__first")
+
+
+def primary_first(members: DataFrame) -> DataFrame:
+    """Rows (cluster, id, primary, cosine, execs) with ``place``: the primary, then those with a cosine from the greatest on, then the others from the most executions on; ties by id."""
+    others = F.when(F.col("id") == F.col("primary"), 0).otherwise(1)
+    return placed(members, "cluster", "place", others, F.col("cosine").desc_nulls_last(), F.coalesce("execs", F.lit(0)).desc(), F.col("id"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import family_base, sql_for_hash, variant_suffix
-from tessera.operators import dedup, match
+from tessera.operators import cross_project, dedup, match
 from tessera.operators.ranking import canonical, numbered, top_per_group
 from tessera.plans.catalog import query
 from tessera.plans.inputs import PARTS_SQL, SETS_SQL, features, named_parts, read, reports
@@ -142,15 +142,12 @@ def waterfall(spark, d):
 
 @query("A18_cross_project_names", f"WITH {PARTS_SQL} SELECT lower(name) AS name, count(DISTINCT project) AS projects, count(*) AS reports, string_agg(DISTINCT project, ',' ORDER BY project) AS projects_csv FROM parts GROUP BY lower(name) HAVING count(DISTINCT project) >= 2")
 def cross_project_names(spark, d):
-    grp = named_parts(spark, d).groupBy(F.lower("name").alias("name")).agg(F.count_distinct("project").alias("projects"), F.count("*").alias("reports"), F.array_join(F.array_sort(F.collect_set("project")), ",").alias("projects_csv"))
-    return grp.where("projects >= 2")
+    return cross_project.shared(named_parts(spark, d).withColumn("name", F.lower("name")), "name")
 
 
 @query("J19_cross_project_members", f"WITH {PARTS_SQL}, g AS (SELECT lower(name) AS n FROM parts GROUP BY 1 HAVING count(DISTINCT project) >= 2) SELECT report_id, project, lower(name) AS name, execs FROM parts WHERE lower(name) IN (SELECT n FROM g)")
 def cross_project_members(spark, d):
-    rows = named_parts(spark, d).withColumn("name", F.lower("name"))
-    grp = rows.groupBy("name").agg(F.count_distinct("project").alias("n")).where("n >= 2")
-    return rows.join(grp, "name", "left_semi").select("report_id", "project", "name", "execs")
+    return cross_project.members(named_parts(spark, d).withColumn("name", F.lower("name")), "name").select("report_id", "project", "name", "execs")
 
 
 @query("D15_drift", f"WITH {PARTS_SQL} SELECT project, 'n=' || count(*) || ';' || sum(('0x' || substr(md5(report_id::VARCHAR), 1, 8))::BIGINT)::BIGINT AS fingerprint FROM parts GROUP BY project")

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import dedup, lineage, match, similarity
+from tessera.operators import cross_project, dedup, lineage, match, similarity
 from tessera.operators.graph import connected_components
-from tessera.operators.ranking import numbered
+from tessera.operators.ranking import numbered, placed, primary_first
 from tessera.sources import projects
 
 
@@ -114,3 +114,27 @@ def test_project_references():
         projects.by_reference(known, "west")
     with pytest.raises(ValueError):
         projects.by_reference(known, "  ")
+
+
+def test_shared_by_projects(spark):
+    rows = spark.createDataFrame([("k", "B"), ("k", "A"), ("k", "B"), ("own", "A"), ("own", "A"), (None, "A"), (None, "B"), ("", "A"), ("", "B")], "name string, project string")
+    assert [tuple(r) for r in cross_project.shared(rows, "name").collect()] == [("k", 2, 3, "A,B")]
+    assert cross_project.members(rows, "name").count() == 3
+    assert cross_project.shared(rows.limit(0), "name").count() == 0
+
+
+def test_places_within_groups(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "cold", None]), rng.randrange(9), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, w int, i int").repartition(7)
+    found = {r.i: r.place for r in placed(df, "g", "place", F.desc("w"), F.col("i")).collect()}
+    expected = {}
+    for g in ("hot", "cold", None):
+        expected |= {i: k for k, (_, i) in enumerate(sorted((-w, i) for x, w, i in rows if x == g), 1)}
+    assert found == expected
+
+
+def test_primary_comes_first(spark):
+    rows = [("a", 1, 3, 0.9, 5), ("a", 2, 3, 0.95, 1), ("a", 3, 3, None, 0), ("a", 4, 3, None, 7), ("a", 5, 3, None, None), ("b", 6, None, None, 1), ("b", 7, None, 0.1, 0)]
+    found = primary_first(spark.createDataFrame(rows, "cluster string, id int, primary int, cosine double, execs int")).orderBy("cluster", "place")
+    assert [(r.id, r.place) for r in found.collect()] == [(3, 1), (2, 2), (1, 3), (4, 4), (5, 5), (7, 1), (6, 2)]
