@@ -140,14 +140,14 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     return common.map_batches(docs.select("doc_id", "text"), run, f"doc_id {id_type}, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string")
 
 
-def planted(doc_id: Column, text: Column) -> Column:
-    """The text; of one id in ten its words, from some word on only the first p of them in turn."""
-    words, h = word_list(text), F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
-    n, g = F.greatest(F.size(words), F.lit(1)), F.floor(h / 10)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    turned = F.transform(words, lambda w, i: F.when(i >= a, F.get(words, (a + (i - a) % p).cast("int"))).otherwise(w))
-    return F.when(h % 10 == 0, F.array_join(turned, " ")).otherwise(text)
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``; of one id in ten the text's words, from some word on only the first p of them in turn."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, word_list(F.col("text"))))
+    n, g = F.greatest(F.size("words"), F.lit(1)), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("a", g % n).withColumn("p", F.lit(1) + F.floor((n - F.col("a")) / (F.lit(3) + g % 8)))
+    turned = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w))
+    return rows.select("doc_id", F.coalesce(F.array_join(turned, " "), "text").alias("text"))
 
 
 def greatest(runs: Column) -> Column:
@@ -157,8 +157,7 @@ def greatest(runs: Column) -> Column:
 
 def op13_periodic_runs(spark, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
-    words = docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
-    found = periodic_runs(words).withColumn("best", greatest(F.col("runs")))
+    found = periodic_runs(planted(docs)).withColumn("best", greatest(F.col("runs")))
     lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
     milli = F.floor(F.col("best.length") * 1000 / F.col("best.period"))
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.cast("long").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
