@@ -173,6 +173,14 @@ def apart(q: Column) -> Column:
     return distance(F.lit(1.0) + summed(F.transform("_runs", lambda r: half(r["p"], F.element_at(q, r["k"])) + half(F.element_at(q, r["k"]), r["p"]) - F.element_at(q, r["k"]))))
 
 
+def likely_languages(rows: DataFrame, rare: DataFrame) -> DataFrame:
+    """``_key``, ``_like``: for texts without a label the rare language of which most common words occur in the text, the least by name of equal ones."""
+    words = rows.select("_key", F.explode(F.array_distinct("_words")).alias("word"))
+    common_words = rare.select("_lang", F.explode("_common").alias("word"))
+    found = words.join(common_words, "word").groupBy("_key", "_lang").agg(F.countDistinct("word").alias("n"))
+    return found.groupBy("_key").agg(F.min_by("_lang", F.struct(-F.col("n"), "_lang")).alias("_like"))
+
+
 def verdicts(rows: DataFrame, refs: References) -> DataFrame:
     """Adds ``class_distance``, ``word_distance`` (null where not judged) and ``kept``."""
     if not refs.classes:
@@ -192,15 +200,17 @@ def verdicts(rows: DataFrame, refs: References) -> DataFrame:
         rows = rows.withColumn("word_distance", F.when(F.col("_runs").isNotNull(), F.array_min(F.transform(shares, apart)))).drop("_runs")
     else:
         rows = rows.withColumn("word_distance", F.lit(None).cast("double"))
-    judged = F.lit(True)
+    lang = F.coalesce("_row.lang", F.lit(""))
+    judged = lang.isin(["", *refs.langs])
     if refs.rare is not None:
+        unlabelled = rows.where(lang == "").withColumn("_key", F.md5(F.col("_text").cast("binary")))
+        rows = rows.where(lang != "").withColumn("_like", F.col("_row.lang")).unionByName(unlabelled.join(likely_languages(unlabelled, refs.rare), "_key", "left").drop("_key"))
         # one row for each language that has enough text
-        rows = rows.join(F.broadcast(refs.rare), F.col("_row.lang") == F.col("_lang"), "left")
+        rows = rows.join(F.broadcast(refs.rare), F.col("_like") == F.col("_lang"), "left")
         rows = word_runs(rows, F.col("_common"), lambda w: F.array_contains("_common", w))
-        rows = rows.withColumn("class_distance", F.least("class_distance", from_classes(F.col("_q"))))
+        rows = rows.withColumn("class_distance", F.least("class_distance", F.when(F.col("_q").isNotNull(), from_classes(F.col("_q")))))
         rows = rows.withColumn("word_distance", F.least("word_distance", F.when(F.col("_runs").isNotNull(), apart(F.col("_shares"))))).drop("_runs")
-        lang = F.coalesce("_row.lang", F.lit(""))
-        judged = lang.isin(["", *refs.langs]) | F.col("_lang").isNotNull()
+        judged |= F.col("_lang").isNotNull()
     far = F.col("class_distance") > CLASS_DISTANCE[0] + CLASS_DISTANCE[1] / F.sqrt(F.greatest("n_words", F.lit(1)))
     odd = F.coalesce(F.col("word_distance") > WORD_DISTANCE[0] + WORD_DISTANCE[1] / F.sqrt(F.greatest("n_words", F.lit(1))), F.lit(False))
     return rows.withColumn("kept", ~base_failed() & ~(judged & (far | odd)))
@@ -210,16 +220,21 @@ def judge(docs: DataFrame) -> DataFrame:
     """Measures and verdict for each row, the row itself in struct ``_row``.
 
     Null text counts as empty: no words, base_failed.  References come from all
-    rows of the same table.  Repeated rows are judged alike; further columns,
+    rows of the same table.  A row whose language has no reference has distances
+    but is not rejected by them; one without a language is judged by the nearest
+    of the frequent languages and of the rare one whose common words it has most
+    of.  A distance equal to the one
+    allowed passes.  Repeated rows are judged alike, texts of any length are
+    measured whole, and an empty table gives an empty result; further columns,
     whatever their names, stay in ``_row``.
     """
     return verdicts(measured(docs), references(docs))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that are kept, with the columns of ``docs``.
+    """The rows that ``judge`` keeps, repeated ones alike, with the columns of ``docs``.
 
-    A generator picks them: a filter would be pushed below the projections, and
+    Null and empty texts go, having no words.  A generator picks them: a filter would be pushed below the projections, and
     their array expressions computed anew in each place that names them.
     """
     return judge(docs).select(F.inline(F.when(F.col("kept"), F.array("_row"))))
@@ -243,14 +258,22 @@ c AS (SELECT doc_id, lang, words, lines, [length(t) - length(t1), length(t1) - l
 parts AS (SELECT doc_id, lang, size, unnest(n) AS n, unnest(range(6)) AS k FROM c),
 sums AS (SELECT lang, k, sum(n) AS n FROM parts GROUP BY lang, k),
 own AS (SELECT lang FROM sums WHERE lang <> '' GROUP BY lang HAVING sum(n) >= {LANGUAGE_SHARE} * (SELECT sum(n) FROM sums)),
-class_refs AS (
-  SELECT lang AS ref, k, n::DOUBLE / greatest(1, sum(n) OVER (PARTITION BY lang)) AS q FROM sums WHERE lang IN (SELECT lang FROM own)
-  UNION ALL SELECT '*', k, sum(n)::DOUBLE / (SELECT sum(n) FROM sums) FROM sums GROUP BY k),
+rare AS MATERIALIZED (SELECT lang FROM sums WHERE lang <> '' AND lang NOT IN (SELECT lang FROM own) GROUP BY lang HAVING sum(n) >= {LEAST_LANGUAGE_CHARS}),
+class_refs AS (  -- those of rare languages are for their own documents only
+  SELECT lang AS ref, k, n::DOUBLE / greatest(1, sum(n) OVER (PARTITION BY lang)) AS q, lang NOT IN (SELECT lang FROM own) AS only
+  FROM sums WHERE lang IN (SELECT lang FROM own) OR lang IN (SELECT lang FROM rare)
+  UNION ALL SELECT '*', k, sum(n)::DOUBLE / (SELECT sum(n) FROM sums), false FROM sums GROUP BY k),
+rare_counts AS (SELECT lang AS rare, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM c WHERE lang IN (SELECT lang FROM rare)) GROUP BY lang, word),
+rare_known AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY rare) AS size FROM rare_counts) WHERE n >= greatest(2, {WORD_SHARE} * size)),
+likely AS (  -- of a text without a language, the rare one that most of its words are common in
+  SELECT doc_id, rare FROM (SELECT doc_id, rare, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(list_distinct(words)) AS word FROM c WHERE lang = '') JOIN rare_known USING (word) GROUP BY doc_id, rare)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, rare) = 1),
+likened AS (SELECT c.doc_id, CASE WHEN c.lang = '' THEN l.rare WHEN c.lang IN (SELECT lang FROM rare) THEN c.lang END AS rare FROM c LEFT JOIN likely l ON l.doc_id = c.doc_id),
 class_distance AS (
   SELECT doc_id, min(distance) AS distance FROM (
     SELECT doc_id, ref, sqrt(greatest(0, 0.5::DOUBLE * sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END))) AS distance
-    FROM (SELECT doc_id, k, n::DOUBLE / greatest(size, 1) AS p FROM parts) JOIN class_refs USING (k) GROUP BY doc_id, ref) GROUP BY doc_id),
-words AS (SELECT doc_id, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '' END AS lang, unnest(words) AS word FROM c),
+    FROM (SELECT doc_id, rare, k, n::DOUBLE / greatest(size, 1) AS p FROM parts JOIN likened USING (doc_id)) p JOIN class_refs f ON f.k = p.k AND (NOT f.only OR f.ref = p.rare) GROUP BY doc_id, ref) GROUP BY doc_id),
+words AS (SELECT doc_id, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '' END AS lang, likened.rare, unnest(words) AS word FROM c JOIN likened USING (doc_id)),
 counts AS (SELECT lang, word, count(*) AS n FROM words GROUP BY lang, word),
 sizes AS (SELECT lang, sum(n) AS size FROM counts GROUP BY lang),
 vocabulary AS (SELECT DISTINCT word FROM counts JOIN sizes USING (lang) WHERE lang <> '' AND n >= greatest(2, {WORD_SHARE} * size)),
@@ -262,24 +285,33 @@ word_refs AS (
   SELECT ref, word, n::DOUBLE / size AS q FROM ref_counts JOIN ref_sizes USING (ref)
   UNION ALL SELECT ref, NULL, (any_value(size) - sum(n))::DOUBLE / any_value(size) FROM ref_counts JOIN ref_sizes USING (ref) GROUP BY ref),
 hits AS (SELECT doc_id, word, count(*) AS n FROM words WHERE word IN (SELECT word FROM vocabulary) GROUP BY doc_id, word),
-judged AS (SELECT doc_id, len(words) AS size FROM c WHERE len(words) >= {LEAST_WORDS_JUDGED}),
+judged AS (SELECT doc_id, rare, len(words) AS size FROM c JOIN likened USING (doc_id) WHERE len(words) >= {LEAST_WORDS_JUDGED}),
 runs AS (
   SELECT doc_id, word, n::DOUBLE / size AS p FROM hits JOIN judged USING (doc_id)
   UNION ALL SELECT j.doc_id, NULL, (any_value(j.size) - coalesce(sum(h.n), 0))::DOUBLE / any_value(j.size) FROM judged j LEFT JOIN hits h ON h.doc_id = j.doc_id GROUP BY j.doc_id),
+rare_refs AS (
+  SELECT rare AS ref, word, n::DOUBLE / size AS q FROM rare_known
+  UNION ALL SELECT rare, NULL, greatest(0::DOUBLE, 1::DOUBLE - sum(n::DOUBLE / size)) FROM rare_known GROUP BY rare),
+rare_hits AS (SELECT doc_id, w.rare, w.word, count(*) AS n FROM words w JOIN rare_known k ON k.rare = w.rare AND k.word = w.word GROUP BY ALL),
+rare_runs AS (
+  SELECT doc_id, h.rare AS ref, word, n::DOUBLE / size AS p FROM rare_hits h JOIN judged USING (doc_id)
+  UNION ALL SELECT j.doc_id, any_value(j.rare), NULL, (any_value(j.size) - coalesce(sum(h.n), 0))::DOUBLE / any_value(j.size)
+  FROM judged j LEFT JOIN rare_hits h ON h.doc_id = j.doc_id WHERE j.rare IN (SELECT ref FROM rare_refs) GROUP BY j.doc_id),
 word_distance AS (
   SELECT doc_id, min(distance) AS distance FROM (
     SELECT doc_id, ref, sqrt(greatest(0, 0.5::DOUBLE * (1 + sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END - q)))) AS distance
-    FROM (SELECT r.doc_id, r.word, r.p, f.ref, coalesce(x.q, 0) AS q FROM runs r CROSS JOIN (SELECT DISTINCT ref FROM word_refs) f LEFT JOIN word_refs x ON x.ref = f.ref AND x.word IS NOT DISTINCT FROM r.word)
+    FROM (SELECT r.doc_id, r.word, r.p, f.ref, coalesce(x.q, 0) AS q FROM runs r CROSS JOIN (SELECT DISTINCT ref FROM word_refs) f LEFT JOIN word_refs x ON x.ref = f.ref AND x.word IS NOT DISTINCT FROM r.word
+      UNION ALL SELECT r.doc_id, r.word, r.p, r.ref, x.q FROM rare_runs r JOIN rare_refs x ON x.ref = r.ref AND x.word IS NOT DISTINCT FROM r.word)
     GROUP BY doc_id, ref) GROUP BY doc_id),
 windows AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM c WHERE len(words) >= {WINDOW})),
 repeated AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS place FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS k FROM windows) WHERE k > 1) GROUP BY doc_id),
 base AS (
-  SELECT c.doc_id, len(words)::BIGINT AS n_words, (size - c.n[4])::BIGINT AS word_chars, c.n[5]::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  SELECT c.doc_id, c.lang = '' OR c.lang IN (SELECT ref FROM class_refs WHERE ref <> '*') AS judged, len(words)::BIGINT AS n_words, (size - c.n[4])::BIGINT AS word_chars, c.n[5]::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
   FROM c LEFT JOIN repeated r ON r.doc_id = c.doc_id)
-SELECT b.*, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words) AS base_failed,
+SELECT b.* EXCLUDE (judged), (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words) AS base_failed,
   NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words)
-    AND NOT k.distance > {CLASS_DISTANCE[0]}::DOUBLE + {CLASS_DISTANCE[1]}::DOUBLE / sqrt(greatest(n_words, 1))
-    AND NOT coalesce(w.distance > {WORD_DISTANCE[0]}::DOUBLE + {WORD_DISTANCE[1]}::DOUBLE / sqrt(greatest(n_words, 1)), false) AS kept,
+    AND NOT (judged AND (k.distance > {CLASS_DISTANCE[0]}::DOUBLE + {CLASS_DISTANCE[1]}::DOUBLE / sqrt(greatest(n_words, 1))
+      OR coalesce(w.distance > {WORD_DISTANCE[0]}::DOUBLE + {WORD_DISTANCE[1]}::DOUBLE / sqrt(greatest(n_words, 1)), false))) AS kept,
   round(k.distance, 6) AS class_distance, round(w.distance, 6) AS word_distance
 FROM base b JOIN class_distance k ON k.doc_id = b.doc_id LEFT JOIN word_distance w ON w.doc_id = b.doc_id
 """
