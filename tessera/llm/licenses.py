@@ -1,18 +1,22 @@
 """License scans by canonical digests, with DataFrame functions only.
 
-A text is normalised (case, copyright lines, punctuation, equivalent spellings,
-white space) and its SHA-256 looked up among the digests of known license texts
-and notices: whole texts by a hash join, and each line by the same digests.
+A text is normalised (case, white space and punctuation, equivalent spellings,
+copyright notices) and its SHA-256 joined to the digests of known license texts
+and notices: whole texts first, and each line by the same digests.  White space
+and the marks of comments are folded before anything else is read, so wrapping
+does not matter.
 """
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
+from tessera.storage import materialize
 
 # Licenses by their public short identifiers, and the names that notices give them.
 NAMES = {
@@ -53,18 +57,47 @@ TERMS_END = "END OF TERMS AND CONDITIONS"
 VERSIONS = r"\b(?:version|ver|v) ?([0-9])"
 
 
-def normalised(text: Column) -> Column:
-    """The text with its line breaks, all else canonical; null is empty."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, r"(^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*", "$1")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+#: Words of a known text by which its beginning is recognised behind titles and notices.
+START_WORDS = 6
+#: Words of a copyright notice at the end of a text, at most.
+NOTICE_WORDS = 15
+# A copyright notice, as against "copyright notice", "copyright holder" and the like, goes on with one of these.
+NOTICE = "(?:copyright|c) (?:c|by|[0-9]{4})"
+
+
+def normalised(text: Column, keep: str = "") -> Column:
+    """The text in small letters, its words parted by one space (by the character ``keep`` where it stands), in one spelling; null is empty."""
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^\p{{L}}\p{{N}}{keep}]+", " ")
     for spelling, same in SPELLINGS.items():
         out = F.replace(out, F.lit(spelling), F.lit(same))
     return F.regexp_replace(out, VERSIONS, "v $1")
 
 
-def digest(canonical: Column) -> Column:
-    return F.sha2(F.btrim(F.regexp_replace(canonical, r"\s+", " ")), 256)
+def canonical_words(text: str) -> list[str]:
+    """The words of a known text as ``normalised`` has them."""
+    out = re.sub(r"[\W_]+", " ", text.lower())
+    for spelling, same in SPELLINGS.items():
+        out = out.replace(spelling, same)
+    return re.sub(VERSIONS, r"v \1", out).split()
+
+
+def before_terms(texts: list[tuple[str, str]]) -> str:
+    """A pattern of what may stand before the first words of a known text, a title and copyright notices; these words are its group."""
+    starts = sorted({" ".join(w[:START_WORDS]) for w in (canonical_words(t) for _, t in texts) if len(w) > 2 * START_WORDS}, key=lambda x: (-len(x), x))
+    titles = sorted({" ".join(canonical_words(t)) for x in TITLES.values() for t in x}, key=lambda x: (-len(x), x))
+    return f"^(?:(?:{'|'.join(titles)}) )?(?:{NOTICE} .*? )?(?:all rights reserved )?({'|'.join(starts)})" if starts else ""
+
+
+#: A copyright notice at the end of a text.
+AFTER_TERMS = f" {NOTICE}(?: [^ ]+){{0,{NOTICE_WORDS}}}$"
+
+
+def digest(text: Column, before: str) -> Column:
+    """SHA-256 of the canonical text, without the title and notices before its terms and a notice after them."""
+    out = F.btrim(normalised(text))
+    if before:
+        out = F.regexp_replace(out, before, "$1")
+    return F.sha2(F.regexp_replace(out, AFTER_TERMS, ""), 256)
 
 
 def notices() -> list[tuple[str, str]]:
@@ -87,7 +120,7 @@ def whole_texts() -> list[tuple[str, str]]:
 def known_digests(spark, texts: list[tuple[str, str]]) -> DataFrame:
     """``digest``, ``license``: one row for each digest, the first license by name if two share one."""
     table = spark.createDataFrame(texts, "license string, text string")
-    return table.groupBy(digest(normalised(F.col("text"))).alias("digest")).agg(F.min("license").alias("license"))
+    return table.groupBy(digest(F.col("text"), before_terms(texts)).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -95,22 +128,23 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
 
     Null and empty texts have the digest of the empty text and no license.  The
     known digests are as many as the caller's texts (the built-in notices if they
-    are None), and are held by the driver.  Repeated rows are judged alike, an
-    empty table gives an empty result, texts of any length are scanned whole, and
-    other columns are ignored.
+    are None), and are held by the driver.  Of licenses that share a digest, the
+    least by name counts.  Repeated rows are judged alike, an empty table gives an
+    empty result, texts of any length are scanned whole, and other columns are
+    ignored.
     """
-    spark = docs.sparkSession
-    known = known_digests(spark, notices() if texts is None else texts)
-    table = known.orderBy("digest").collect()
-    rows = docs.select("doc_id", normalised(F.col("text")).alias("_text"))
-    rows = rows.withColumn("digest", digest(F.col("_text")))
-    lines = F.transform(F.split("_text", "\n"), lambda x: F.sha2(F.btrim(x), 256))
-    rows = rows.withColumn("_hits", F.filter(lines, lambda d: d.isin([r["digest"] for r in table])))
-    names = F.create_map(*[F.lit(x) for r in table for x in (r["digest"], r["license"])])
-    rows = rows.withColumn("line_licenses", F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda d: F.element_at(names, d)))), ","))
-    if len(table) <= BROADCAST_DIGESTS:
+    texts = notices() if texts is None else texts
+    known = materialize(known_digests(docs.sparkSession, texts), "digests")
+    if len(texts) <= BROADCAST_DIGESTS:
         known = F.broadcast(known)
-    return rows.join(known, "digest", "left").select("doc_id", "digest", "license", F.size("_hits").cast("long").alias("n_license_lines"), "line_licenses")
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_key")
+    # equal texts have equal hits, so one of each is enough
+    lines = docs.select(key, F.posexplode(F.split(normalised(F.col("text"), keep="\n"), "\n")).alias("_line", "_text"))
+    hits = lines.select("_key", "_line", F.sha2(F.btrim("_text"), 256).alias("digest")).join(known, "digest").groupBy("_key", "_line").agg(F.min("license").alias("license"))
+    hits = hits.groupBy("_key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
+    hits = materialize(hits, "license-lines")  # so that Spark knows its size, and may split texts that many rows share
+    rows = docs.select("doc_id", key, digest(F.col("text"), before_terms(texts)).alias("digest")).join(known, "digest", "left").join(hits, "_key", "left")
+    return rows.select("doc_id", "digest", "license", F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"), F.coalesce("licenses", F.lit("")).alias("line_licenses"))
 
 
 def op9_license_digests(spark, sf_dir: str) -> DataFrame:
@@ -119,26 +153,26 @@ def op9_license_digests(spark, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     """The same in DuckDB's SQL."""
+    texts = notices() + whole_texts()
 
-    def canonical(text):
-        out = rf"regexp_replace(lower(coalesce({text}, '')), '(^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*', '\1', 'g')"
-        out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    def canonical(text, keep=""):
+        out = rf"regexp_replace(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}{keep}]+', ' ', 'g')"
         for spelling, same in SPELLINGS.items():
             out = f"replace({out}, '{spelling}', '{same}')"
         return rf"regexp_replace({out}, '{VERSIONS}', 'v \1', 'g')"
 
-    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in notices() + whole_texts())
-    whole = r"sha256(trim(regexp_replace(t, '\s+', ' ', 'g')))"
+    def whole(text):
+        return rf"sha256(regexp_replace(regexp_replace(trim({canonical(text)}), '{before_terms(texts)}', '\1'), '{AFTER_TERMS}', ''))"
+
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in texts)
     return rf"""
 WITH known AS (
-  SELECT digest, min(license) AS license
-  FROM (SELECT license, {whole} AS digest FROM (SELECT license, {canonical("text")} AS t FROM (VALUES {rows}) v(license, text)))
-  GROUP BY digest),
-texts AS (SELECT doc_id, t, {whole} AS digest FROM (SELECT doc_id, {canonical("text")} AS t FROM documents)),
+  SELECT digest, min(license) AS license FROM (SELECT license, {whole("text")} AS digest FROM (VALUES {rows}) v(license, text)) GROUP BY digest),
+texts AS (SELECT row_number() OVER () AS r, doc_id, {canonical("text", chr(92) + "n")} AS t, {whole("text")} AS digest FROM documents),
 lines AS (
-  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
-  FROM (SELECT doc_id, sha256(trim(unnest(string_split(t, chr(10))))) AS digest FROM texts) JOIN known USING (digest)
-  GROUP BY doc_id)
+  SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+  FROM (SELECT r, sha256(trim(unnest(string_split(t, chr(10))))) AS digest FROM texts) JOIN known USING (digest)
+  GROUP BY r)
 SELECT texts.doc_id, texts.digest, known.license, coalesce(lines.n, 0)::BIGINT AS n_license_lines, coalesce(lines.licenses, '') AS line_licenses
-FROM texts LEFT JOIN known ON known.digest = texts.digest LEFT JOIN lines ON lines.doc_id = texts.doc_id
+FROM texts LEFT JOIN known ON known.digest = texts.digest LEFT JOIN lines ON lines.r = texts.r
 """
