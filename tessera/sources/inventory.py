@@ -7,14 +7,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.json_items import read_json_array, read_json_lists
+
 NAMED = "array<struct<id: string, name: string>>"
 RECORD = f"id string, name string, owner string, folderPath string, sourceType string, prompted boolean, sql string, metrics {NAMED}, attributes {NAMED}, sourceTables array<string>"
 ACTIVITY = ["name", "object_id", "folder", "user", "action", "executions", "sessions", "errors", "last_execution"]
 
 
 def read_inventory(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """Records with an id; one JSON array in a file is read whole by a task, JSON lines are split."""
-    return spark.read.schema(RECORD).option("multiLine", not lines).json(path).where(F.coalesce("id", F.lit("")) != "")
+    """Records with an id, from JSON lines or from one JSON array in a file; either is split among tasks."""
+    records = spark.read.schema(RECORD).json(path) if lines else read_json_array(spark, path, RECORD)
+    return records.where(F.coalesce("id", F.lit("")) != "")
 
 
 def shred(records: DataFrame, column: str) -> DataFrame:
@@ -38,8 +41,8 @@ def read_positional(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ast_cache(spark: SparkSession, path: str) -> DataFrame:
     """(key, hash, kind): long keys are reports, short ones clusters."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("key", "hashes"))
-    return raw.select("key", F.explode("hashes").alias("hash"), F.when(F.length("key") >= 30, "report").otherwise("ast_cluster").alias("kind"))
+    raw = read_json_lists(spark, path)
+    return raw.select("key", F.explode("values").alias("hash"), F.when(F.length("key") >= 30, "report").otherwise("ast_cluster").alias("kind"))
 
 
 def read_paths(spark: SparkSession, path: str) -> DataFrame:
