@@ -175,3 +175,49 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         forest = materialize(best if forest is None else forest.unionByName(best), "forest")
         merged = connected_components(forest, "a", "b")
         labels = materialize(labels.select("node").join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "labels")
+
+
+def strongest(edges: DataFrame, n: int, bins: int = 1 << 12) -> DataFrame:
+    """The ``n`` edges (a, b, w) of greatest weight, ties by a and b, without a sort of all edges.
+
+    A histogram of weights tells the bin that the n-th edge is in.  Edges above it
+    are taken by a filter; within it, if it is still large, the bin is divided
+    again, until its weights cannot be told apart.
+    """
+    bounds = edges.agg(F.min("w").alias("low"), F.max("w").alias("high"), F.count("*").alias("n")).first()
+    if n <= 0 or bounds["n"] <= n:
+        return edges.select("a", "b", "w") if n > 0 else edges.select("a", "b", "w").limit(0)
+    low, high, wanted, taken = bounds["low"], bounds["high"], n, None
+    inside = edges.select("a", "b", "w")
+    while True:
+        width = (high - low) / bins
+        if width <= 0 or low + width == low:
+            break
+        place = F.least(F.floor((F.col("w") - low) / width), F.lit(bins - 1)).cast("int")
+        counts = sorted(((r["bin"], r["n"]) for r in inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n")).collect()), reverse=True)  # a row for each bin
+        above = 0
+        for k, size in counts:
+            if above + size > wanted:
+                break
+            above += size
+        else:
+            break
+        more = inside.where(place > k)
+        taken = more if taken is None else taken.unionByName(more)
+        wanted -= above
+        inside = inside.where(place == k)
+        low, high = low + k * width, low + (k + 1) * width
+        if not wanted or size <= max(bins, 2 * wanted):
+            break
+    rest = inside.orderBy(F.desc("w"), "a", "b").limit(wanted)  # each task keeps what may be among them
+    return rest if taken is None else taken.unionByName(rest)
+
+
+def forest_and_extras(edges: DataFrame, budget: int, forest: DataFrame | None = None) -> DataFrame:
+    """``a``, ``b``, ``w``, ``extra``: the maximum spanning forest, and up to ``budget`` edges in all the strongest of the others; of a larger forest its strongest edges."""
+    forest = materialize(spanning_forest(edges) if forest is None else forest, "forest")
+    size = forest.count()
+    if size >= budget:
+        return strongest(forest, budget).withColumn("extra", F.lit(False))
+    others = materialize(edges.select("a", "b", "w").join(forest.select("a", "b"), ["a", "b"], "left_anti"), "others")
+    return forest.select("a", "b", "w").withColumn("extra", F.lit(False)).unionByName(strongest(others, budget - size).withColumn("extra", F.lit(True)))

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.json_tree import names_in
+from tessera.functions.text import norm_table
 from tessera.sources.json_items import read_json_array, read_json_lists
 
 NAMED = "array<struct<id: string, name: string>>"
-RECORD = f"id string, name string, owner string, folderPath string, sourceType string, prompted boolean, sql string, metrics {NAMED}, attributes {NAMED}, sourceTables array<string>"
+RECORD = f"id string, name string, owner string, folderPath string, sourceType string, prompted boolean, sql string, metrics {NAMED}, attributes {NAMED}, sourceTables array<string>, filter struct<tree: string, text: string>"
 ACTIVITY = ["name", "object_id", "folder", "user", "action", "executions", "sessions", "errors", "last_execution"]
 
 
@@ -25,6 +27,24 @@ def shred(records: DataFrame, column: str) -> DataFrame:
     return records.select(F.col("id").alias("report_id"), F.explode(column).alias("x")).select("report_id", "x.name")
 
 
+def fields_of(records: DataFrame) -> DataFrame:
+    """``report_id``, ``kind`` (metric, table, filter or attribute), ``id``, ``name``: all child rows of records with the columns of RECORD.
+
+    Metrics as they are, table names normalised, attributes with the last id of a
+    name, and the names anywhere in the filter's tree in small letters; each row
+    once.  Empty names, and trees that are no objects, give no row.
+    """
+    named = F.coalesce("name", F.lit("")) != ""
+    none = F.lit(None).cast("string")
+    metrics = records.select(F.col("id").alias("report_id"), F.inline("metrics")).select("report_id", F.lit("metric").alias("kind"), "id", "name").where(named)
+    tables = records.select(F.col("id").alias("report_id"), F.explode("sourceTables").alias("t")).select("report_id", F.lit("table").alias("kind"), none.alias("id"), norm_table(F.col("t")).alias("name")).where(named)
+    attributes = records.select(F.col("id").alias("report_id"), F.posexplode("attributes").alias("place", "x")).groupBy("report_id", F.col("x.name").alias("name")).agg(F.max_by("x.id", "place").alias("id"))
+    attributes = attributes.select("report_id", F.lit("attribute").alias("kind"), "id", "name").where(named)
+    trees = records.select(F.col("id").alias("report_id"), F.col("filter.tree").alias("tree")).where(F.startswith(F.ltrim("tree"), F.lit("{")))
+    filters = names_in(trees, "report_id", "tree").select("report_id", F.lit("filter").alias("kind"), none.alias("id"), F.lower("name").alias("name"))
+    return metrics.unionByName(tables).unionByName(filters).unionByName(attributes).distinct()
+
+
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
     """User activity as CSV with a header; blank counts are 0."""
     raw = spark.read.csv(path, header=True, encoding="UTF-8").toDF(*ACTIVITY)

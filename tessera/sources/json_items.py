@@ -67,11 +67,14 @@ def items(spark: SparkSession, path: str, close: str = "}") -> DataFrame:
     ended = ended.withColumn("next", F.min(F.when(F.col("n") > 0, F.col("at"))).over(following))
     rows = rows.join(ended.withColumnRenamed("at", "split"), ["file", "split"])
     mine = F.col("item") < F.col("n")
-    rows = rows.where(mine | F.col("next").isNotNull()).select("file", F.when(mine, F.col("split")).otherwise(F.col("next")).alias("owner"), F.when(mine, F.col("item")).otherwise(0).alias("item"), F.struct("split", "seq", "piece").alias("p"))
+    rows = rows.where(mine | F.col("next").isNotNull()).select("file", F.when(mine, F.col("split")).otherwise(F.col("next")).alias("owner"), F.when(mine, F.col("item")).otherwise(0).alias("item"), F.struct("split", "seq", "piece", (F.col("after") - change).alias("depth")).alias("p"))
     found = rows.groupBy("file", F.col("owner").alias("split"), "item").agg(F.array_sort(F.collect_list("p")).alias("p"))  # the pieces of one item
     text = F.concat(F.array_join(F.transform("p", lambda p: p["piece"]), close), F.lit(close))
-    outer = r"\[\]" if close == "}" else "{}"  # brackets around the items, and a comma, may stand before one
-    return found.select("file", "split", "item", F.regexp_replace(text, rf"^[\s,{outer}]+", "").alias("value"))
+    # before an item stand the bracket that its array begins with, or a comma, or the end of one array and the start of another
+    again = r"(?:[\]}]\s*[\[{]\s*)*"
+    first = F.regexp_replace(text, rf"^\s*[\[{{]\s*{again}", "")
+    later = F.regexp_replace(text, rf"^[\s,]*{again}", "")
+    return found.select("file", "split", "item", F.when(F.col("p")[0]["depth"] == 0, first).otherwise(later).alias("value"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
