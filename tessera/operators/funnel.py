@@ -33,9 +33,13 @@ def active_universe(inventory: DataFrame, telemetry: DataFrame, batches: dict[st
 
 
 def scope(result: Result, name: str) -> DataFrame:
-    """``report_id`` of a named scope of a run."""
-    place = {"active": "universe", "post-collision": "collision", "post-ast": "ast", "post-family": "family"}
-    return (result.final if name == "final-kept" else result.kept[place[name]]).select("report_id")
+    """``report_id`` of a named scope of a run; of a stage that the run left out, what the stages before it kept."""
+    if name == "final-kept":
+        return result.final.select("report_id")
+    place = {"active": "universe", "post-collision": "collision", "post-ast": "ast", "post-family": "family"}[name]
+    order = ["universe", *STAGES]
+    ran = [n for n in order[: order.index(place) + 1] if n in result.kept]
+    return result.kept[ran[-1]].select("report_id")
 
 
 def of_source(reports: DataFrame, ids: DataFrame, source: str) -> DataFrame:

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from tessera.plans import exchange_queries, funnel_queries, graph_queries, lineage_queries, pipeline_queries, report_queries, scalar_queries  # noqa: F401
+    from tessera.plans import exchange_queries, funnel_queries, graph_queries, lineage_queries, pipeline_queries, report_queries, scalar_queries, summary_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

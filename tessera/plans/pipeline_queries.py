@@ -13,14 +13,15 @@ from tessera.storage import materialize
 
 
 def inputs(spark, d):
-    """Customers as reports: their batch, name and use; priorities, states and years of their orders as features; a statement each."""
+    """Customers as reports: their batch, name and use; priorities, states and years of their orders as features; a statement each, and shapes of every second."""
     c, o = read(spark, d, "customer"), read(spark, d, "orders")
     batch = F.element_at(F.array(*map(F.lit, ["original", "new", "added", "old"])), (F.col("c_custkey") % 4 + 1).cast("int"))
     inventory = c.select(F.col("c_custkey").alias("report_id"), batch.alias("batch"), F.concat("c_mktsegment", F.lit(" margin report - "), F.col("c_custkey") % 3).alias("name"), F.concat(F.lit("/Public/"), "c_nationkey").alias("path"))
-    telemetry = c.select(F.col("c_custkey").alias("report_id"), F.pmod(F.floor("c_acctbal"), F.lit(40)).cast("long").alias("execs"), F.col("c_nationkey").cast("string").alias("last"), F.lit("exact_id").alias("tier"))
+    telemetry = c.select(F.col("c_custkey").alias("report_id"), F.pmod(F.floor("c_acctbal"), F.lit(40)).cast("long").alias("execs"), F.col("c_nationkey").cast("string").alias("last"), F.when(F.col("c_custkey") % 3 == 0, "exact").when(F.col("c_nationkey") % 5 == 0, "fuzzy").otherwise("exact_id").alias("tier"))
     features = o.select(F.col("o_custkey").alias("report_id"), F.col("o_orderpriority").alias("m"), F.col("o_orderstatus").alias("t"), F.year("o_orderdate").cast("string").alias("f"))
     statements = c.select(F.col("c_custkey").alias("report_id"), F.concat(F.lit("SELECT a"), F.col("c_nationkey") % 7, F.lit(" FROM t WHERE b = '"), "c_custkey", F.lit("' AND c"), F.col("c_custkey") % 29, F.lit(" = 1 -- x")).alias("sql"))
-    return inventory, features, telemetry, statements
+    hashes = o.where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("report_id")).agg(F.collect_set(F.concat_ws("/", "o_orderpriority", "o_orderstatus")).alias("hashes"))
+    return inventory, features, telemetry, statements, hashes
 
 
 def run(spark, d, mode="reference"):
@@ -28,11 +29,11 @@ def run(spark, d, mode="reference"):
 
 
 RUN_SQL = """inv AS (SELECT c_custkey AS report_id, c_custkey % 4 AS batch, c_mktsegment || ' margin report - ' || (c_custkey % 3) AS name FROM customer),
-tele AS (SELECT c_custkey AS report_id, (((floor(c_acctbal)::BIGINT % 40) + 40) % 40) AS execs, c_nationkey::VARCHAR AS last FROM customer),
+tele AS (SELECT c_custkey AS report_id, (((floor(c_acctbal)::BIGINT % 40) + 40) % 40) AS execs, c_nationkey::VARCHAR AS last, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS inexact, c_custkey % 3 > 0 AND c_nationkey % 5 = 0 AS fuzzy FROM customer),
 universe AS (SELECT * FROM inv JOIN tele USING (report_id) WHERE batch < 3 AND execs > 0),
-c1 AS (SELECT execs, last, first(report_id ORDER BY len(name), report_id) AS c FROM universe GROUP BY execs, last HAVING count(*) >= 2 AND count(DISTINCT lower(name)) = 1),
+c1 AS (SELECT execs, last, first(report_id ORDER BY inexact, len(name), report_id) AS c FROM universe GROUP BY execs, last HAVING count(*) >= 2 AND (count(DISTINCT lower(name)) = 1 OR (count(*) >= 3 AND bool_or(fuzzy)))),
 m1 AS (SELECT u.*, c1.c FROM universe u LEFT JOIN c1 USING (execs, last)),
-c2 AS (SELECT lower(name) AS n, execs, min(report_id) AS c2 FROM m1 WHERE c IS NULL OR c = report_id GROUP BY 1, 2 HAVING count(*) >= 2),
+c2 AS (SELECT lower(name) AS n, execs, first(report_id ORDER BY inexact, report_id) AS c2 FROM m1 WHERE c IS NULL OR c = report_id GROUP BY 1, 2 HAVING count(*) >= 2),
 collision AS (SELECT report_id, CASE WHEN c IS NOT NULL AND c <> report_id THEN c WHEN c2 IS NOT NULL THEN c2 ELSE report_id END AS canonical_id FROM m1 LEFT JOIN c2 ON c2.n = lower(m1.name) AND c2.execs = m1.execs),
 k1 AS (SELECT * FROM universe WHERE report_id NOT IN (SELECT report_id FROM collision WHERE report_id <> canonical_id)),
 fsets AS (SELECT o_custkey AS report_id, list_sort(list_distinct(list(lower(o_orderpriority)))) AS m, list_sort(list_distinct(list(lower(o_orderstatus)))) AS t, list_sort(list_distinct(list(year(o_orderdate)::VARCHAR))) AS f FROM orders GROUP BY o_custkey),
@@ -43,12 +44,22 @@ hashes AS (SELECT c_custkey AS report_id, (c_nationkey % 7) || '/' || (c_custkey
 hg AS (SELECT h, first(report_id ORDER BY execs DESC, report_id) AS canonical_id FROM k1 JOIN hashes USING (report_id) GROUP BY h HAVING count(*) >= 2),
 sql_hash AS (SELECT k1.report_id, canonical_id FROM k1 JOIN hashes USING (report_id) JOIN hg USING (h)),
 k3 AS (SELECT * FROM k2 WHERE report_id NOT IN (SELECT report_id FROM sql_hash WHERE report_id <> canonical_id)),
-bases AS (SELECT *, lower(regexp_extract(name, '(?s)^(.*) - ', 1)) AS base FROM k3),
+hset AS (SELECT o_custkey AS report_id, list_sort(list_distinct(list(o_orderpriority || '/' || o_orderstatus))) AS x FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey),
+aset AS (SELECT report_id, execs, x FROM k3 JOIN hset USING (report_id)),
+ahit AS (SELECT a.report_id AS a, b.report_id AS b FROM aset a JOIN aset b ON a.report_id < b.report_id AND len(list_intersect(a.x, b.x))::DOUBLE / len(list_distinct(list_concat(a.x, b.x))) >= 0.8::DOUBLE),
+ae AS (SELECT a AS u, b AS v FROM ahit UNION SELECT b, a FROM ahit),
+areach AS (SELECT u AS node, u AS seen FROM ae UNION SELECT areach.node, ae.v FROM areach JOIN ae ON ae.u = areach.seen),
+acomp AS (SELECT node, min(seen) AS component FROM areach GROUP BY node),
+abest AS (SELECT component, first(report_id ORDER BY execs DESC, report_id) AS canonical_id FROM acomp JOIN k3 ON report_id = node GROUP BY component),
+ast AS (SELECT node AS report_id, canonical_id FROM acomp JOIN abest USING (component)),
+k3a AS (SELECT * FROM k3 WHERE report_id NOT IN (SELECT report_id FROM ast WHERE report_id <> canonical_id)),
+bases AS (SELECT *, lower(regexp_extract(name, '(?s)^(.*) - ', 1)) AS base FROM k3a),
 famg AS (SELECT base, first(report_id ORDER BY execs DESC, report_id) AS canonical_id FROM bases GROUP BY base HAVING count(*) >= 2),
 family AS (SELECT report_id, canonical_id FROM bases JOIN famg USING (base)),
-k4 AS (SELECT * FROM k3 WHERE report_id NOT IN (SELECT report_id FROM family WHERE report_id <> canonical_id)),
-known AS (SELECT * FROM k4 JOIN fsets USING (report_id)),
-jac AS (SELECT a.report_id AS a, b.report_id AS b, 0.4::DOUBLE * (len(list_intersect(a.m, b.m))::DOUBLE / len(list_distinct(list_concat(a.m, b.m)))) + 0.4::DOUBLE * (len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t)))) + 0.2::DOUBLE * (len(list_intersect(a.f, b.f))::DOUBLE / len(list_distinct(list_concat(a.f, b.f)))) AS score FROM known a JOIN known b ON a.report_id < b.report_id),
+k4 AS (SELECT * FROM k3a WHERE report_id NOT IN (SELECT report_id FROM family WHERE report_id <> canonical_id)),
+known AS (SELECT k4.*, m, t, f, coalesce(x, []) AS x FROM k4 JOIN fsets USING (report_id) LEFT JOIN hset USING (report_id)),
+sims AS (SELECT a.report_id AS a, b.report_id AS b, len(a.x) > 0 AND len(b.x) > 0 AS shaped, len(list_intersect(a.m, b.m))::DOUBLE / len(list_distinct(list_concat(a.m, b.m))) AS m, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) AS t, len(list_intersect(a.f, b.f))::DOUBLE / len(list_distinct(list_concat(a.f, b.f))) AS f, len(list_intersect(a.x, b.x))::DOUBLE / greatest(1, len(list_distinct(list_concat(a.x, b.x)))) AS x FROM known a JOIN known b ON a.report_id < b.report_id),
+jac AS (SELECT a, b, CASE WHEN shaped THEN 0.6::DOUBLE * x + 0.25::DOUBLE * m + 0.15::DOUBLE * t ELSE 0.4::DOUBLE * m + 0.4::DOUBLE * t + 0.2::DOUBLE * f END AS score FROM sims),
 e AS (SELECT a AS u, b AS v FROM jac WHERE score >= 0.8::DOUBLE UNION SELECT b, a FROM jac WHERE score >= 0.8::DOUBLE),
 reach AS (SELECT u AS node, u AS seen FROM e UNION SELECT reach.node, e.v FROM reach JOIN e ON e.u = reach.seen),
 comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
@@ -56,25 +67,25 @@ best AS (SELECT component, first(report_id ORDER BY execs DESC, report_id) AS ca
 similarity AS (SELECT node AS report_id, canonical_id FROM comp JOIN best USING (component)),
 final AS (SELECT report_id FROM k4 WHERE report_id NOT IN (SELECT report_id FROM similarity) UNION SELECT canonical_id FROM similarity),
 counts AS (SELECT 1 AS ordinal, 'inventory' AS stage, (SELECT count(*) FROM inv) AS remaining UNION ALL SELECT 2, 'universe', (SELECT count(*) FROM universe) UNION ALL SELECT 3, 'collision', (SELECT count(*) FROM k1) UNION ALL SELECT 4, 'fingerprint', (SELECT count(*) FROM k2)
-  UNION ALL SELECT 5, 'sql_hash', (SELECT count(*) FROM k3) UNION ALL SELECT 6, 'family', (SELECT count(*) FROM k4) UNION ALL SELECT 7, 'similarity', (SELECT count(*) FROM k4 WHERE report_id NOT IN (SELECT report_id FROM similarity WHERE report_id <> canonical_id)) UNION ALL SELECT 8, 'final', (SELECT count(*) FROM final)),
-stages AS (SELECT 1 AS o, 'collision' AS stage, * FROM collision UNION ALL SELECT 2, 'fingerprint', * FROM fingerprint UNION ALL SELECT 3, 'sql_hash', * FROM sql_hash UNION ALL SELECT 4, 'family', * FROM family UNION ALL SELECT 5, 'similarity', * FROM similarity),
+  UNION ALL SELECT 5, 'sql_hash', (SELECT count(*) FROM k3) UNION ALL SELECT 6, 'ast', (SELECT count(*) FROM k3a) UNION ALL SELECT 7, 'family', (SELECT count(*) FROM k4) UNION ALL SELECT 8, 'similarity', (SELECT count(*) FROM k4 WHERE report_id NOT IN (SELECT report_id FROM similarity WHERE report_id <> canonical_id)) UNION ALL SELECT 9, 'final', (SELECT count(*) FROM final)),
+stages AS (SELECT 1 AS o, 'collision' AS stage, * FROM collision UNION ALL SELECT 2, 'fingerprint', * FROM fingerprint UNION ALL SELECT 3, 'sql_hash', * FROM sql_hash UNION ALL SELECT 4, 'ast', * FROM ast UNION ALL SELECT 5, 'family', * FROM family UNION ALL SELECT 6, 'similarity', * FROM similarity),
 s0 AS (SELECT inv.report_id, u.report_id AS s, CASE WHEN u.report_id IS NULL THEN 'telemetry' END AS stage FROM inv LEFT JOIN universe u USING (report_id))"""
-for _i, _n in enumerate(["collision", "fingerprint", "sql_hash", "family", "similarity"]):
+for _i, _n in enumerate(funnel.STAGES):
     RUN_SQL += f",\ns{_i + 1} AS (SELECT s{_i}.report_id, coalesce(x.canonical_id, s) AS s, coalesce(stage, CASE WHEN x.canonical_id IS NOT NULL THEN '{_n}' END) AS stage FROM s{_i} LEFT JOIN {_n} x ON x.report_id = s AND x.canonical_id <> s)"
 
 
 @query("P1_active_universe", f"WITH RECURSIVE {RUN_SQL} SELECT report_id, name, execs FROM universe")
 def universe(spark, d):
-    inventory, _, telemetry, _ = inputs(spark, d)
+    inventory, _, telemetry, *_ = inputs(spark, d)
     return funnel.active_universe(inventory, telemetry, funnel.BATCHES, "name").select("report_id", "name", "execs")
 
 
-@query("P2_scope", f"WITH RECURSIVE {RUN_SQL} SELECT 'post-collision' AS scope, report_id FROM k1 UNION ALL SELECT 'post-family', report_id FROM k4 UNION ALL SELECT 'active', report_id FROM universe UNION ALL SELECT 'final-kept', report_id FROM final")
+@query("P2_scope", f"WITH RECURSIVE {RUN_SQL} SELECT 'post-collision' AS scope, report_id FROM k1 UNION ALL SELECT 'post-ast', report_id FROM k3a UNION ALL SELECT 'post-family', report_id FROM k4 UNION ALL SELECT 'active', report_id FROM universe UNION ALL SELECT 'final-kept', report_id FROM final")
 def scopes(spark, d):
     from functools import reduce
 
     result = run(spark, d)
-    return reduce(lambda a, b: a.unionByName(b), [funnel.scope(result, n).select(F.lit(n).alias("scope"), "report_id") for n in ("post-collision", "post-family", "active", "final-kept")])
+    return reduce(lambda a, b: a.unionByName(b), [funnel.scope(result, n).select(F.lit(n).alias("scope"), "report_id") for n in ("post-collision", "post-ast", "post-family", "active", "final-kept")])
 
 
 @query("P3_source_filter", "SELECT p_partkey AS report_id FROM part WHERE p_type <> 'ECONOMY'")
@@ -94,23 +105,23 @@ def funnel_steps(spark, d):
     return usage.stage_steps(run(spark, d).counts())
 
 
-@query("D16_survivor_chain", f"WITH RECURSIVE {RUN_SQL} SELECT report_id, coalesce(s, -1) AS survivor_id, stage FROM s5")
+@query("D16_survivor_chain", f"WITH RECURSIVE {RUN_SQL} SELECT report_id, coalesce(s, -1) AS survivor_id, stage FROM s6")
 def survivor_chain(spark, d):
     return run(spark, d).survivors().withColumn("survivor_id", F.coalesce("survivor_id", F.lit(-1)))
 
 
-@query("D17_outcomes", f"WITH RECURSIVE {RUN_SQL}, before AS (SELECT 1 AS o, report_id FROM universe UNION ALL SELECT 2, report_id FROM k1 UNION ALL SELECT 3, report_id FROM k2 UNION ALL SELECT 4, report_id FROM k3 UNION ALL SELECT 5, report_id FROM k4) SELECT b.report_id, ['collision', 'fingerprint', 'sql_hash', 'family', 'similarity'][o] AS stage, CASE WHEN x.canonical_id IS NULL THEN 'kept' WHEN x.canonical_id = b.report_id THEN 'primary' ELSE 'collapsed' END AS outcome FROM before b LEFT JOIN stages x USING (o, report_id) UNION ALL SELECT report_id, 'telemetry', 'retired' FROM s0 WHERE s IS NULL")
+@query("D17_outcomes", f"WITH RECURSIVE {RUN_SQL}, before AS (SELECT 1 AS o, report_id FROM universe UNION ALL SELECT 2, report_id FROM k1 UNION ALL SELECT 3, report_id FROM k2 UNION ALL SELECT 4, report_id FROM k3 UNION ALL SELECT 5, report_id FROM k3a UNION ALL SELECT 6, report_id FROM k4) SELECT b.report_id, ['collision', 'fingerprint', 'sql_hash', 'ast', 'family', 'similarity'][o] AS stage, CASE WHEN x.canonical_id IS NULL THEN 'kept' WHEN x.canonical_id = b.report_id THEN 'primary' ELSE 'collapsed' END AS outcome FROM before b LEFT JOIN stages x USING (o, report_id) UNION ALL SELECT report_id, 'telemetry', 'retired' FROM s0 WHERE s IS NULL")
 def outcomes(spark, d):
     return run(spark, d).outcomes()
 
 
-@query("A39_stage_summary", f"WITH RECURSIVE {RUN_SQL}, before AS (SELECT 1 AS o, report_id FROM universe UNION ALL SELECT 2, report_id FROM k1 UNION ALL SELECT 3, report_id FROM k2 UNION ALL SELECT 4, report_id FROM k3 UNION ALL SELECT 5, report_id FROM k4) SELECT ['collision', 'fingerprint', 'sql_hash', 'family', 'similarity'][o] AS stage, count(*) AS input, count(*) FILTER (WHERE x.canonical_id IS NULL OR x.canonical_id = b.report_id) AS kept, count(*) FILTER (WHERE x.canonical_id <> b.report_id) AS collapsed FROM before b LEFT JOIN stages x USING (o, report_id) GROUP BY o")
+@query("A39_stage_summary", f"WITH RECURSIVE {RUN_SQL}, before AS (SELECT 1 AS o, report_id FROM universe UNION ALL SELECT 2, report_id FROM k1 UNION ALL SELECT 3, report_id FROM k2 UNION ALL SELECT 4, report_id FROM k3 UNION ALL SELECT 5, report_id FROM k3a UNION ALL SELECT 6, report_id FROM k4) SELECT ['collision', 'fingerprint', 'sql_hash', 'ast', 'family', 'similarity'][o] AS stage, count(*) AS input, count(*) FILTER (WHERE x.canonical_id IS NULL OR x.canonical_id = b.report_id) AS kept, count(*) FILTER (WHERE x.canonical_id <> b.report_id) AS collapsed FROM before b LEFT JOIN stages x USING (o, report_id) GROUP BY o")
 def stage_summary(spark, d):
     rows = run(spark, d).outcomes().where("stage <> 'telemetry'")
     return rows.groupBy("stage").agg(F.count("*").alias("input"), F.count_if(F.col("outcome") != "collapsed").alias("kept"), F.count_if(F.col("outcome") == "collapsed").alias("collapsed"))
 
 
-@query("D18_why", f"WITH RECURSIVE {RUN_SQL} SELECT report_id, CASE WHEN c_nationkey = 3 THEN 'retained by a user' WHEN c_nationkey = 4 THEN 'retired by a user' WHEN stage = 'telemetry' THEN 'not used' WHEN stage IS NOT NULL THEN 'collapsed by ' || stage ELSE 'kept' END AS why FROM s5 JOIN customer ON c_custkey = report_id")
+@query("D18_why", f"WITH RECURSIVE {RUN_SQL} SELECT report_id, CASE WHEN c_nationkey = 3 THEN 'retained by a user' WHEN c_nationkey = 4 THEN 'retired by a user' WHEN stage = 'telemetry' THEN 'not used' WHEN stage IS NOT NULL THEN 'collapsed by ' || stage ELSE 'kept' END AS why FROM s6 JOIN customer ON c_custkey = report_id")
 def why(spark, d):
     c = read(spark, d, "customer").withColumnRenamed("c_custkey", "report_id")
     return funnel.why(run(spark, d), c.where("c_nationkey = 3"), c.where("c_nationkey = 4"))
@@ -121,6 +132,11 @@ def after_hash(spark, d):
     return run(spark, d).kept["sql_hash"].select("report_id")
 
 
+@query("U4_after_ast", f"WITH RECURSIVE {RUN_SQL} SELECT report_id FROM k3a")
+def after_ast(spark, d):
+    return run(spark, d).kept["ast"].select("report_id")
+
+
 @query("U5_after_family", f"WITH RECURSIVE {RUN_SQL} SELECT report_id FROM k4")
 def after_family(spark, d):
     return run(spark, d).kept["family"].select("report_id")
@@ -137,9 +153,9 @@ def reductions(spark, d):
     return usage.stage_steps(run(spark, d).counts()).where("removed > 0").select("stage", "removed")
 
 
-@query("D10_reports", f"WITH RECURSIVE {RUN_SQL} SELECT inv.report_id, inv.name, CASE WHEN s5.stage = 'telemetry' THEN 'retired' WHEN s5.stage IS NOT NULL THEN 'collapsed' ELSE 'active' END AS status, coalesce(len(m), 0) AS n_m, coalesce(len(t), 0) AS n_t, coalesce(len(f), 0) AS n_f, coalesce(s5.s, -1) AS survivor_id FROM inv JOIN s5 USING (report_id) LEFT JOIN fsets USING (report_id)")
+@query("D10_reports", f"WITH RECURSIVE {RUN_SQL} SELECT inv.report_id, inv.name, CASE WHEN s6.stage = 'telemetry' THEN 'retired' WHEN s6.stage IS NOT NULL THEN 'collapsed' ELSE 'active' END AS status, coalesce(len(m), 0) AS n_m, coalesce(len(t), 0) AS n_t, coalesce(len(f), 0) AS n_f, coalesce(s6.s, -1) AS survivor_id FROM inv JOIN s6 USING (report_id) LEFT JOIN fsets USING (report_id)")
 def reports(spark, d):
-    inventory, features, _, _ = inputs(spark, d)
+    inventory, features, *_ = inputs(spark, d)
     return emit.reports(run(spark, d), features).select("report_id", "name", "status", "n_m", "n_t", "n_f", F.coalesce("survivor_id", F.lit(-1)).alias("survivor_id"))
 
 
@@ -170,7 +186,7 @@ def groups(stage):
     return build
 
 
-for _id, _stage, _kept in (("E5_collisions", "collision", "k1"), ("E6_fingerprints", "fingerprint", "k2"), ("E7_sql_hash_groups", "sql_hash", "k3"), ("E10_families", "family", "k4"), ("E11_clusters", "similarity", "final")):
+for _id, _stage, _kept in (("E5_collisions", "collision", "k1"), ("E6_fingerprints", "fingerprint", "k2"), ("E7_sql_hash_groups", "sql_hash", "k3"), ("E8_ast_clusters", "ast", "k3a"), ("E10_families", "family", "k4"), ("E11_clusters", "similarity", "final")):
     query(_id, group_sql(_stage, _kept))(groups(_stage))
 
 
