@@ -19,7 +19,7 @@ NAMES = {
     "notice": ["cookie-notice", "consent", "alert", "notice", "gdpr", "popup", "modal"],
     "advert": ["ad", "ads", "advert", "sponsor", "promo", "ad-slot", "banner-ad"],
     "form": ["search-form", "newsletter", "signup", "subscribe", "login"],
-    "comments": ["comments", "comment-list", "discussion", "replies", "responses"],
+    "comments": ["comments", "comment-list", "reader-comments", "discussion", "replies", "responses"],
     "share": ["share", "social", "tools", "byline-links"],
     "content": ["content", "article", "post", "entry", "main", "story", "article-body", "post-content"],
 }
@@ -98,12 +98,14 @@ class Maker:
         for kind in ("advert", "share", "sidebar", "form", "notice"):
             if self.r.random() < 0.12:
                 body.insert(self.r.randint(0, len(body)), self.boilerplate(kind))
+        if self.r.random() < 0.25:  # what readers say stands below the text, often in the same element
+            body.append(self.boilerplate("comments"))
         tag = self.r.choice(["article", "article", "article", "main", "div", "section"])
         own = self.named("content", 1.0 if tag in ("div", "section") else 0.2)
         return ("content", (tag, own, body))
 
     def page(self) -> tuple:
-        """The body element; parts are wrapped as ("content" or "boilerplate", element)."""
+        """The body element; it or its parts are wrapped as ("content" or "boilerplate", element)."""
         before = [self.boilerplate(k) for k in ("header", "menu", "notice", "advert", "form") if self.r.random() < 0.5]
         after = [self.boilerplate(k) for k in ("comments", "sidebar", "advert", "form", "footer", "notice") if self.r.random() < 0.5]
         self.r.shuffle(before)
@@ -111,6 +113,9 @@ class Maker:
         if self.r.random() < 0.3:
             beside = [self.boilerplate("sidebar"), *middle]
             middle = [("div", {"class": self.r.choice(["row", "container", "wrap", "page"])}, beside if self.r.random() < 0.5 else beside[::-1])]
+        if self.r.random() < 0.12:  # no element of its own around the text: it is the body's
+            text = self.article()[1][2]
+            return ("content", ("body", {}, [*before, *text, *after]))
         return ("body", {}, [*before, *middle, *after])
 
 
