@@ -75,8 +75,10 @@ def drift(rows: DataFrame, key: str, id_: str = "report_id") -> DataFrame:
 
 
 def merged_inventory(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of both by report_id: a new one is added only if its id is absent."""
-    return old.unionByName(new.dropDuplicates(["report_id"]).join(old.select("report_id"), "report_id", "left_anti"))
+    """Rows of both by report_id: a new one, the least of several, is added only if its id is absent."""
+    from tessera.sources.inventory import first_wins
+
+    return first_wins(old, new, ["report_id"])
 
 
 def representatives(rows: DataFrame, key: str, id_: str = "report_id") -> DataFrame:

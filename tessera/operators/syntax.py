@@ -50,10 +50,17 @@ class Parser:
             return True
         return False
 
+    def flat(self) -> str:
+        """One token of a text too deep for trees, so that what differs there has another shape."""
+        if self.at >= len(self.all):
+            return "none"
+        kind, text = self.all[self.at]
+        self.at += 1
+        return "deep lit" if kind == "lit" else f"deep {text}"
+
     def query(self):
         if self.depth >= DEEPEST:
-            self.at += 1
-            return "deep"
+            return self.flat()
         self.depth += 1
         try:
             return self.whole_query()
@@ -204,8 +211,7 @@ class Parser:
             return "none"
         kind, text = self.all[self.at]
         if self.depth >= DEEPEST:
-            self.at += 1
-            return "deep"
+            return self.flat()
         self.depth += 1
         try:
             return self.leaf_of(kind, text)

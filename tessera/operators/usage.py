@@ -141,17 +141,17 @@ def unused(all_names: DataFrame, used_names: DataFrame) -> DataFrame:
     return all_names.select(F.lower("name").alias("name")).distinct().join(used_names.select(F.lower("name").alias("name")).distinct(), "name", "left_anti")
 
 
-def frequency(rows: DataFrame, column: str, most: int) -> DataFrame:
-    """The most frequent values, the least of those with one count first."""
-    return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most)
+def frequency(rows: DataFrame, column: str, most: int | None = None) -> DataFrame:
+    """The most frequent values, or all of them, the least of those with one count first."""
+    counts = rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+    return counts if most is None else counts.limit(most)
 
 
 def shares(rows: DataFrame, column: str) -> DataFrame:
-    """Counts and their part in percent; the counts are few, so one window over them is one small task."""
-    from pyspark.sql.window import Window
-
+    """Counts and their part in percent of all rows."""
     counts = rows.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = rows.agg(F.count("*").alias("total"))
+    return counts.crossJoin(total).select(column, "n", (F.lit(100.0) * F.col("n") / F.col("total")).alias("percent"))  # one row on the right
 
 
 def cost(texts: DataFrame, text: Column, price_per_1k: float) -> DataFrame:

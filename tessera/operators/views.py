@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import canonical
+from tessera.operators.ranking import canonical, placed, top_per_group
 
 #: Rows that a list shows at most; limits are part of these features.
 LIST_ROWS, COMPARISON_ROWS, SINGLETONS, SAMPLE = 20_000, 2_000, 500, 25
@@ -91,20 +91,19 @@ def latest_domains(rows: DataFrame) -> DataFrame:
 
 
 def sampled_members(members: DataFrame, group: str, most: int = SAMPLE) -> DataFrame:
-    """``group``, ``lines``: the names of a group's most executed members, and how many more there are."""
-    per = members.groupBy(group).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("execs")).alias("e"), "name", "report_id"))).alias("m"))
-    names = F.transform(F.slice("m", 1, most), lambda x: x["name"])
+    """``group``, ``lines``: the names of a group's most executed members, and how many more there are; each task sends ``most`` of a group at most."""
+    n = members.groupBy(group).agg(F.count("*").alias("n"))
+    top = top_per_group(members.select(group, "name", "execs", "report_id"), [group], most, F.desc("execs"), F.asc("name"), F.asc("report_id"))
+    names = top.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("m"))
     more = F.when(F.col("n") > most, F.array(F.concat(F.lit("+"), F.col("n") - most, F.lit(" more")))).otherwise(F.array().cast("array<string>"))
-    return per.select(group, F.concat(names, more).alias("lines"))
+    return n.join(names, group).select(group, F.concat(F.transform("m", lambda x: x["name"]), more).alias("lines"))
 
 
 def ordered_members(members: DataFrame, group: str, primary: str, score: str | None = None) -> DataFrame:
-    """Adds ``place``: the primary first, then by score (if any) or executions; groups are windows, so one of any size spills and never is collected."""
-    from pyspark.sql.window import Window
-
+    """Adds ``place``: the primary first, then by score (if any) or executions, ties by id; a group of any size is placed by many tasks."""
     first = F.when(F.col("report_id") == F.col(primary), 0).otherwise(1)
     order = [F.desc_nulls_last(score)] if score else []
-    return members.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(first, *order, F.desc("execs"), "report_id")))
+    return placed(members, group, "place", first, *order, F.coalesce("execs", F.lit(0)).desc(), F.col("report_id"))
 
 
 def top_unique_names(reports: DataFrame, most: int = 15) -> DataFrame:

@@ -46,8 +46,19 @@ def small_run(spark, **options):
     return inv, feats, funnel.run_pipeline(inv, feats, tele, sql, **options)
 
 
-@pytest.mark.parametrize(("mode", "gone"), [("reference", {2, 4}), ("sequential", {2, 4})])
-def test_stages_follow_each_other(spark, tmp_path, mode, gone):
+@pytest.mark.parametrize(("mode", "left"), [("reference", {0}), ("sequential", {0, 2})])
+def test_statement_groups_by_mode(spark, mode, left):
+    """Equal features take 1 for 0; of the equal statements of 1, 2 and 3 the group over all elects 1, which is gone, and the group of survivors elects 2."""
+    inv = spark.createDataFrame([(i, "original", n) for i, n in enumerate(["p one", "x two", "z three", "w four"])], "report_id long, batch string, name string")
+    tele = spark.createDataFrame([(0, 20, "a", "exact_id"), (1, 10, "b", "exact_id"), (2, 4, "c", "exact_id"), (3, 3, "d", "exact_id")], "report_id long, execs long, last string, tier string")
+    feats = spark.createDataFrame([(0, "m", "t", "f"), (1, "m", "t", "f"), (2, "m2", "t2", "f2"), (3, "m3", "t3", "f3")], "report_id long, m string, t string, f string")
+    sql = spark.createDataFrame([(i, "select 1 from a") for i in (1, 2, 3)], "report_id long, sql string")
+    run = funnel.run_pipeline(inv, feats, tele, sql, mode=mode)
+    assert {r.report_id for r in run.kept["sql_hash"].collect()} == left
+
+
+@pytest.mark.parametrize("mode", ["reference", "sequential"])
+def test_stages_follow_each_other(spark, tmp_path, mode):
     inv, feats, run = small_run(spark, mode=mode)
     kept = {k: {r.report_id for r in v.collect()} for k, v in run.kept.items()}
     assert kept["universe"] == {0, 1, 2, 3, 4, 5}
