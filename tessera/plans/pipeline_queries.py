@@ -16,7 +16,7 @@ def inputs(spark, d):
     """Customers as reports: their batch, name and use; priorities, states and years of their orders as features; a statement each, and shapes of every second."""
     c, o = read(spark, d, "customer"), read(spark, d, "orders")
     batch = F.element_at(F.array(*map(F.lit, ["original", "new", "added", "old"])), (F.col("c_custkey") % 4 + 1).cast("int"))
-    inventory = c.select(F.col("c_custkey").alias("report_id"), batch.alias("batch"), F.concat("c_mktsegment", F.lit(" margin report - "), F.col("c_custkey") % 3).alias("name"), F.concat(F.lit("/Public/"), "c_nationkey").alias("path"))
+    inventory = c.select(F.col("c_custkey").alias("report_id"), batch.alias("batch"), F.concat("c_mktsegment", F.lit(" margin report "), F.col("c_custkey") % 8, F.lit(" - "), F.col("c_custkey") % 3).alias("name"), F.concat(F.lit("/Public/"), "c_nationkey").alias("path"))
     telemetry = c.select(F.col("c_custkey").alias("report_id"), F.pmod(F.floor("c_acctbal"), F.lit(40)).cast("long").alias("execs"), F.col("c_nationkey").cast("string").alias("last"), F.when(F.col("c_custkey") % 3 == 0, "exact").when(F.col("c_nationkey") % 5 == 0, "fuzzy").otherwise("exact_id").alias("tier"))
     features = o.select(F.col("o_custkey").alias("report_id"), F.col("o_orderpriority").alias("m"), F.col("o_orderstatus").alias("t"), F.year("o_orderdate").cast("string").alias("f"))
     statements = c.select(F.col("c_custkey").alias("report_id"), F.concat(F.lit("SELECT a"), F.col("c_nationkey") % 7, F.lit(" FROM t WHERE b = '"), "c_custkey", F.lit("' AND c"), F.col("c_custkey") % 29, F.lit(" = 1 -- x")).alias("sql"))
@@ -28,7 +28,7 @@ def run(spark, d, mode="reference"):
     return funnel.run_pipeline(*inputs(spark, d), mode=mode)
 
 
-RUN_SQL = """inv AS (SELECT c_custkey AS report_id, c_custkey % 4 AS batch, c_mktsegment || ' margin report - ' || (c_custkey % 3) AS name FROM customer),
+RUN_SQL = """inv AS (SELECT c_custkey AS report_id, c_custkey % 4 AS batch, c_mktsegment || ' margin report ' || (c_custkey % 8) || ' - ' || (c_custkey % 3) AS name FROM customer),
 tele AS (SELECT c_custkey AS report_id, (((floor(c_acctbal)::BIGINT % 40) + 40) % 40) AS execs, c_nationkey::VARCHAR AS last, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS inexact, c_custkey % 3 > 0 AND c_nationkey % 5 = 0 AS fuzzy FROM customer),
 universe AS (SELECT * FROM inv JOIN tele USING (report_id) WHERE batch < 3 AND execs > 0),
 c1 AS (SELECT execs, last, first(report_id ORDER BY inexact, len(name), report_id) AS c FROM universe GROUP BY execs, last HAVING count(*) >= 2 AND (count(DISTINCT lower(name)) = 1 OR (count(*) >= 3 AND bool_or(fuzzy)))),
