@@ -166,7 +166,7 @@ def op13_periodic_runs(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS original,
-    list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT) AS id_bytes FROM documents),
+    list_transform(list_filter(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT) AS id_bytes FROM documents),
 h AS (
   SELECT *, len(original) AS n, xor(list_reduce(list_concat([4294967295::BIGINT], id_bytes), lambda crc, byte:
     list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: xor(c >> 1, (c & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) AS h FROM d),
