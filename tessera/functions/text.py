@@ -45,16 +45,17 @@ def variant_suffix(name: Column, base: Column) -> Column:
     return F.when(F.startswith(name, base), rest).otherwise(name)
 
 
-# What the two normalisers of statements mask, as patterns and replacements in order.
+# What the normalisers of statements mask or tidy, for hashes, vectors, differences and display, as patterns
+# and replacements in order; and what a statement of a script is: from its first word up to what begins something else, or the end.
 HASH_MASKS = [
     (r"--[^\n]*", ""),
     (r"(?s)/\*.*?\*/", ""),
     (r"set\s+query_group\s*=\s*'[^']*'\s*;?\s*", ""),
-    (r"\b[a-z0-9]{6,}zmd[0-9]{3}\b", "ZTMP"),
+    (r"\b[a-z0-9]{6,}zmd\d{3}\b", "ZTMP"),
     (r"\bzzt\w+\b", "ZTMP"),
-    (r"\bpa[0-9]+\b", "pa0"),
+    (r"\bpa\d+\b", "pa0"),
     (r"'[^']*'", "'?'"),
-    (r"\b[0-9]+(?:\.[0-9]+)?\b", "0"),
+    (r"\b\d+(?:\.\d+)?\b", "0"),
 ]
 VECTOR_MASKS = [
     (r"(?s)/\*.*?\*/", " "),
@@ -62,9 +63,9 @@ VECTOR_MASKS = [
     (r"--[^\n]*", " "),
 ]
 LOWER_VECTOR_MASKS = [
-    (r"\b(?:zz[a-z]{2}[0-9]+(?:_\w+)?|dss_int\w*|tmp_\w+|temp_\w+|#?[a-z]*_temp_[a-z0-9_]+)\b", "tmp_tbl"),
+    (r"\b(?:zz[a-z]{2}\d+(?:_\w+)?|dss_int\w*|tmp_\w+|temp_\w+|#?[a-z]*_temp_[a-z0-9_]+)\b", "tmp_tbl"),
     (r"\b[a-f0-9]{16,}\b", "hashtok"),
-    (r"\b[0-9]+(?:\.[0-9]+)?\b", "?"),
+    (r"\b\d+(?:\.\d+)?\b", "?"),
 ]
 DIFF_MASKS = [
     (r"'[^']*'", "'?'"),
@@ -72,7 +73,6 @@ DIFF_MASKS = [
     (r"\bMSTR=[^;']+;", "MSTR=<NAME>;"),
 ]
 PRETTY = [(r"\r\n", "\n"), (r"\t", "  "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")]
-#: A statement of a script: from its first word up to what begins something else, or the end.
 BLOCK = r"(?is)\b(?:select|with|insert\s+into)\b.*?(?=\bcreate\s+(?:temporary\s+)?table\b|\bdrop\s+table\b|\bset\s+\w+\s+to\b|\breset\s+\w+\b|\binsert\s+into\b|\z)"
 
 
