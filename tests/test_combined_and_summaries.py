@@ -8,7 +8,7 @@ from tessera.operators import combined, funnel, summaries
 
 
 def source_tables(spark):
-    rows = [("go", 1), ("go", 2), ("gi", 1), ("gi", 3), ("in", 9)]
+    rows = [("b1", 1), ("b1", 2), ("a1", 1), ("a1", 3), ("c1", 9)]
     table = lambda schema, values: spark.createDataFrame([(p, i, *values(p, i)) for p, i in rows], f"project string, report_id long, {schema}")
     return {
         "inventory": table("name string", lambda p, i: (f"report {p} {i}",)),
@@ -23,26 +23,26 @@ def final(spark, rows):
 
 def test_only_what_drifted_is_copied(spark, tmp_path):
     tables, both = source_tables(spark), combined.Combined(spark, str(tmp_path / "c"))
-    first = final(spark, [("go", 1), ("go", 2), ("gi", 1)])
+    first = final(spark, [("b1", 1), ("b1", 2), ("a1", 1)])
     with pytest.raises(ValueError):
         both.run()
-    assert {(r.source, r.before is None) for r in both.drifted(first).collect()} == {("go", True), ("gi", True)}
-    assert both.rebuild(first, tables, "t1") == ["gi", "go"] and both.drifted(first).count() == 0 and both.rebuild(first, tables, "t2") == []
-    second = final(spark, [("go", 2), ("go", 1), ("gi", 1), ("gi", 3), ("in", 9)])
-    assert both.rebuild(second, tables, "t3") == ["gi", "in"]
-    assert {(r.source, r.reports, r.built_at) for r in both.log().collect()} == {("go", 2, "t1"), ("gi", 2, "t3"), ("in", 1, "t3")}
-    third = final(spark, [("go", 1), ("gi", 1), ("gi", 3)])  # one source keeps nothing any more
-    assert both.rebuild(third, tables, "t4") == ["go", "in"]
-    assert {(r.report_id, r.source, r.source_id) for r in both.table("inventory").collect()} == {("go:1", "go", "1"), ("gi:1", "gi", "1"), ("gi:3", "gi", "3")}
-    assert {r.report_id for r in both.table("features").collect()} == {"go:1", "gi:1", "gi:3"} and both.table("statements") is None
+    assert {(r.source, r.before is None) for r in both.drifted(first).collect()} == {("b1", True), ("a1", True)}
+    assert both.rebuild(first, tables, "t1") == ["a1", "b1"] and both.drifted(first).count() == 0 and both.rebuild(first, tables, "t2") == []
+    second = final(spark, [("b1", 2), ("b1", 1), ("a1", 1), ("a1", 3), ("c1", 9)])
+    assert both.rebuild(second, tables, "t3") == ["a1", "c1"]
+    assert {(r.source, r.reports, r.built_at) for r in both.log().collect()} == {("b1", 2, "t1"), ("a1", 2, "t3"), ("c1", 1, "t3")}
+    third = final(spark, [("b1", 1), ("a1", 1), ("a1", 3)])  # one source keeps nothing any more
+    assert both.rebuild(third, tables, "t4") == ["b1", "c1"]
+    assert {(r.report_id, r.source, r.source_id) for r in both.table("inventory").collect()} == {("b1:1", "b1", "1"), ("a1:1", "a1", "1"), ("a1:3", "a1", "3")}
+    assert {r.report_id for r in both.table("features").collect()} == {"b1:1", "a1:1", "a1:3"} and both.table("statements") is None
 
 
 def test_a_combined_run_knows_its_sources(spark, tmp_path):
     tables, both = source_tables(spark), combined.Combined(spark, str(tmp_path / "c"))
-    both.rebuild(final(spark, [("go", 1), ("gi", 1), ("gi", 3)]), tables, "t1")
+    both.rebuild(final(spark, [("b1", 1), ("a1", 1), ("a1", 3)]), tables, "t1")
     result = both.run()
     found = {(r.source, r.source_id): r.survivor_id for r in both.with_source(result.survivors()).collect()}
-    assert found == {("go", "1"): "gi:3", ("gi", "1"): "gi:3", ("gi", "3"): "gi:3"}  # equal features, the most executed stays
+    assert found == {("b1", "1"): "a1:3", ("a1", "1"): "a1:3", ("a1", "3"): "a1:3"}  # equal features, the most executed stays
 
 
 def test_scopes_of_a_run_without_a_stage(spark):
