@@ -22,7 +22,9 @@ def reviews_of(documents: DataFrame) -> DataFrame:
     """
     rows = documents.select("project", F.try_parse_json("value").alias("v"))
     inside, alone = part(F.col("v"), "$.reviews", "array<variant>"), part(F.col("v"), "$", "array<variant>")
-    rows = rows.select("project", inside.isNotNull().alias("wrapped"), F.posexplode(F.coalesce(inside, alone)).alias("place", "r"))
+    # the shape is told once for each document, before the rows are made: told beside them, the document is read again for each
+    rows = rows.select("project", inside.alias("inside"), alone.alias("alone")).select("project", F.col("inside").isNotNull().alias("wrapped"), F.coalesce("inside", "alone").alias("all"))
+    rows = rows.select("project", "wrapped", F.posexplode("all").alias("place", "r"))
     nested = F.col("wrapped") | part(F.col("r"), "$.analysis", "variant").isNotNull()
     number = part(F.col("r"), "$.clusterId")
     cluster = F.when(nested, F.concat(F.lit("C"), number)).otherwise(number)

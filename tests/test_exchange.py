@@ -160,3 +160,12 @@ def test_items_know_their_depth(spark, tmp_path):
     (tmp_path / "o.json").write_text('{}{"x":{"a":1},"y":{"a":{"b":2}}}{"z":{}}')
     assert [r.value for r in json_items.items(spark, str(tmp_path / "a.json")).orderBy("split", "item").collect()] == ['{"a":1}', '{"a":2}', '{"a":3}']
     assert [r.value for r in json_items.items(spark, str(tmp_path / "o.json")).orderBy("split", "item").collect()] == ['"x":{"a":1}', '"y":{"a":{"b":2}}', '"z":{}']
+
+
+def test_a_document_is_read_once_not_for_each_of_its_reviews(spark):
+    value = json.dumps({"reviews": [{"clusterId": i, "analysis": {"label": f"l{i}"}} for i in range(50)]})
+    docs = spark.createDataFrame([("p", value), ("q", json.dumps([{"clusterId": "x"}])), ("r", "no json")], "project string, value string")
+    found = reviews.reviews_of(docs)
+    above, generate, _ = found._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
+    assert generate and "$.reviews" not in above
+    assert sorted((r.project, r.place, r.cluster_id, r.shape) for r in found.collect()) == sorted([("p", i, f"C{i}", "nested") for i in range(50)] + [("q", 0, "x", "canonical")])
