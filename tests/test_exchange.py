@@ -169,3 +169,13 @@ def test_a_document_is_read_once_not_for_each_of_its_reviews(spark):
     above, generate, _ = found._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
     assert generate and "$.reviews" not in above
     assert sorted((r.project, r.place, r.cluster_id, r.shape) for r in found.collect()) == sorted([("p", i, f"C{i}", "nested") for i in range(50)] + [("q", 0, "x", "canonical")])
+
+
+def test_trees_have_no_limit_of_rows(spark):
+    pairs = [("r", f"a{i}") for i in range(20)] + [(f"a{i}", f"b{i}") for i in range(20)]
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        ways = hierarchy.trees(spark.createDataFrame(pairs, "parent string, child string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert len(ways) == 41 and sum(w.depth == 2 for w in ways) == 20
