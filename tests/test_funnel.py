@@ -1,5 +1,6 @@
 """The funnel, syntax shapes, vectors and sources on hand-made rows."""
 
+import itertools
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import funnel, match, similarity, syntax, usage, vectors, views
+from tessera.operators.graph import connected_components, star_components
 from tessera.plans import emit
 from tessera.plans.grid import predicate
 from tessera.sources import inventory
@@ -97,6 +99,28 @@ def test_set_join_equals_all_pairs(spark):
     assert found == expected
 
 
+def test_stars_and_link_counts_equal_all_pairs(spark):
+    r = random.Random(9)
+    for least, most in ((0.8, 22), (0.5, 9)):
+        base = [{r.randrange(40) for _ in range(r.randint(0, most))} for _ in range(40)]
+        sets = [*base, *[b ^ {r.randrange(40) for _ in range(r.choice([1, 1, 2, 4]))} for b in base for _ in range(3)]]
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+        rows = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in enumerate(sets)], "id long, s array<string>")
+        assert {(x.a, x.b) for x in similarity.set_join(rows, "id", "s", least).collect()} == set(pairs)
+        expected = connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()
+        assert sorted(star_components(similarity.set_stars(rows, "id", "s", least), "a", "b").collect()) == sorted(expected)
+        links = {i: sum(i in p for p in pairs) for i in range(len(sets))}
+        assert {x.id: x.links for x in similarity.set_link_counts(rows, "id", "s", least).collect()} == {i: n for i, n in links.items() if n}
+
+
+def test_sets_without_a_rare_element_make_few_rows(spark):
+    """Six of 18 names in all ways: by their rarest elements most pairs would meet, by common subsets only the alike."""
+    rows = spark.createDataFrame([(i, [str(x) for x in c]) for i, c in enumerate(itertools.combinations(range(18), 6))], "id long, s array<string>")
+    assert similarity.subsets(similarity.hashed_sets(rows, "id", "s"), 0.8).count() == 7 * rows.count()
+    assert similarity.set_stars(rows, "id", "s", 0.7).count() <= 7 * rows.count()
+    assert {x.links for x in similarity.set_link_counts(rows, "id", "s", 0.7).collect()} == {6 * 12}
+
+
 def test_fuzzy_match_has_floor_and_boost(spark):
     left = spark.createDataFrame([(1, "daily sales", None), (2, "alpha beta gamma delta", "/p/"), (3, "single", None), (4, "no such thing here", None)], "id long, name string, path string")
     right = spark.createDataFrame([(10, "big daily sales report of all stores", None), (20, "Alpha beta other words", "P"), (30, "single", None)], "id long, name string, path string")
