@@ -10,7 +10,7 @@ from tessera.functions.text import family_base
 from tessera.operators import comparison, embedding_sets, hierarchy, reviews, similarity
 from tessera.plans import condense, cross_emit
 from tessera.plans.catalog import query
-from tessera.plans.graph_queries import PAIRS_SQL, links
+from tessera.plans.graph_queries import PAIRS_SQL, forests, links
 from tessera.plans.inputs import PARTS_SQL, named_parts, read
 from tessera.sources import inventory, json_items
 from tessera.storage import materialize, shared_dir
@@ -156,7 +156,7 @@ SELECT a, b, extra, round(cosine, 6) AS cosine FROM placed WHERE NOT extra OR pl
 def forest_extras(spark, d):
     """The forest, and extra edges up to a fiftieth of all edges."""
     edges = materialize(links(spark, d).withColumnRenamed("cosine", "w"), "links")
-    forest = materialize(similarity.spanning_forest(edges), "forest")
+    forest = materialize(similarity.spanning_forest(forests(spark, d).withColumnRenamed("cosine", "w")), "forest")
     out = similarity.forest_and_extras(edges, forest.count() + edges.count() // 50, forest)
     return out.select("a", "b", "extra", F.round("w", 6).alias("cosine"))
 

@@ -121,6 +121,30 @@ def test_sets_without_a_rare_element_make_few_rows(spark):
     assert {x.links for x in similarity.set_link_counts(rows, "id", "s", 0.7).collect()} == {6 * 12}
 
 
+def test_forests_of_blocks_hold_the_forest_and_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(similarity, "LARGE_BLOCK", 40)
+    monkeypatch.setattr(similarity, "BLOCKS", 1)
+    monkeypatch.setattr(similarity, "TILE", 7)
+    x = np.random.default_rng(3).integers(-2, 3, (120, 4)).astype(float)  # many equal cosines
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    pairs = similarity.cosine_join(rows, "id", "v", 0.5).withColumn("cosine", F.round("cosine", 9)).collect()
+    root, expected = list(range(120)), set()
+    for r in sorted(pairs, key=lambda r: (-r.cosine, r.a, r.b)):
+        p, q = root[r.a], root[r.b]
+        if p != q:
+            expected.add((r.a, r.b))
+            root = [p if t == q else t for t in root]
+    assert {(a, b) for a, b in np.array([(r.a, r.b) for r in pairs])[similarity.forest_of(*(np.array(c) for c in zip(*pairs, strict=True)))].tolist()} == expected
+    some = similarity.cosine_forests(rows, "id", "v", 0.5)
+    assert some.count() < len(pairs) / 2
+    assert sorted(connected_components(some, "a", "b").collect()) == sorted(connected_components(spark.createDataFrame(pairs), "a", "b").collect())
+    forest = similarity.spanning_forest(spark.createDataFrame(pairs).withColumnRenamed("cosine", "w")).collect()
+    assert {(r.a, r.b) for r in forest} == expected
+    totals = similarity.cosine_totals(rows, "id", "v", 0.5).collect()
+    assert {r.a: r.links for r in totals} == {a: sum(r.a == a for r in pairs) for a in {r.a for r in pairs}}
+
+
 def test_fuzzy_match_has_floor_and_boost(spark):
     left = spark.createDataFrame([(1, "daily sales", None), (2, "alpha beta gamma delta", "/p/"), (3, "single", None), (4, "no such thing here", None)], "id long, name string, path string")
     right = spark.createDataFrame([(10, "big daily sales report of all stores", None), (20, "Alpha beta other words", "P"), (30, "single", None)], "id long, name string, path string")
