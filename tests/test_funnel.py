@@ -145,6 +145,18 @@ def test_forests_of_blocks_hold_the_forest_and_few_rows(spark, monkeypatch):
     assert {r.a: r.links for r in totals} == {a: sum(r.a == a for r in pairs) for a in {r.a for r in pairs}}
 
 
+def test_silhouette_on_a_line_equals_all_pairs(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice([0, 0, 1, 2, -1]), float(r.choice([r.randrange(9), r.gauss(0, 50)]))) for i in range(300)] + [(900, 7, 3.0)]
+    points = spark.createDataFrame(rows, "id long, cluster int, x double").withColumn("z", F.lit(0.0))
+    expected = vectors.silhouette(points, ["x", "z"]).first()[0]
+    assert vectors.silhouette(points, ["x"]).first()[0] == pytest.approx(expected, abs=1e-9)
+    known = points.where("cluster <> -1").select(F.col("cluster").alias("c"), "x")
+    assert vectors.silhouette_line(known, 90000).first()[0] == pytest.approx(expected, abs=1e-9)  # five ranges
+    plan = vectors.silhouette(points, ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "total_before" in plan  # no distances of pairs are taken
+
+
 def test_fuzzy_match_has_floor_and_boost(spark):
     left = spark.createDataFrame([(1, "daily sales", None), (2, "alpha beta gamma delta", "/p/"), (3, "single", None), (4, "no such thing here", None)], "id long, name string, path string")
     right = spark.createDataFrame([(10, "big daily sales report of all stores", None), (20, "Alpha beta other words", "P"), (30, "single", None)], "id long, name string, path string")
