@@ -145,6 +145,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def united(one: DataFrame, other: DataFrame) -> DataFrame:
+    """``doc_id``, ``component_id`` for each row of ``one``: what the components of both tables connect."""
+    ids = ["doc_id", "component_id"]
+    found = connected_components(one.select(ids).unionByName(other.select(ids)), *ids)
+    return one.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their component in ``found`` (by default, of links by fingerprints), each id once; all columns stay.
 

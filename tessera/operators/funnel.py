@@ -146,8 +146,8 @@ class Result:
         return reduce(DataFrame.unionByName, parts)
 
 
-def run_pipeline(inventory: DataFrame, features: DataFrame, telemetry: DataFrame, statements: DataFrame | None = None, hashes: DataFrame | None = None, batches: dict[str, int] | None = None, mode: str = "reference") -> Result:
-    """All stages in order.
+def run_pipeline(inventory: DataFrame, features: DataFrame, telemetry: DataFrame, statements: DataFrame | None = None, hashes: DataFrame | None = None, batches: dict[str, int] | None = None, mode: str = "reference", last: str | None = None) -> Result:
+    """All stages in order, or those up to ``last`` (``universe`` or ``family``) only, without a final scope.
 
     Inventory (report_id, batch, name), features (report_id, m, t, f), telemetry
     (report_id, execs, last, tier), statements (report_id, sql), hashes
@@ -159,6 +159,8 @@ def run_pipeline(inventory: DataFrame, features: DataFrame, telemetry: DataFrame
     out = Result(inventory)
     rows = materialize(active_universe(inventory, telemetry, batches or BATCHES, "name"), "universe")
     out.kept["universe"] = rows
+    if last == "universe":
+        return out
     sets = materialize(dedup.feature_sets(features), "sets")
 
     def stage(name: str, members: DataFrame) -> None:
@@ -177,6 +179,8 @@ def run_pipeline(inventory: DataFrame, features: DataFrame, telemetry: DataFrame
         found, out.links["ast"] = by_syntax(list(out.kept.values())[-1], hashes)
         stage("ast", found)
     stage("family", by_family(list(out.kept.values())[-1]))
+    if last == "family":
+        return out
     found, out.links["similarity"] = by_similarity(out.kept["family"], sets, hashes=hashes)
     stage("similarity", found)
     out.final = final_kept(out.kept["family"], out.members["similarity"], out.members["similarity"].select(F.col("canonical_id").alias("report_id")))

@@ -24,8 +24,8 @@ def inputs(spark, d):
     return inventory, features, telemetry, statements, hashes
 
 
-def run(spark, d, mode="reference"):
-    return funnel.run_pipeline(*inputs(spark, d), mode=mode)
+def run(spark, d, mode="reference", last=None):
+    return funnel.run_pipeline(*inputs(spark, d), mode=mode, last=last)
 
 
 RUN_SQL = """inv AS (SELECT c_custkey AS report_id, c_custkey % 4 AS batch, c_mktsegment || ' margin report ' || (c_custkey % 8) || ' - ' || (c_custkey % 3) AS name FROM customer),
@@ -166,7 +166,7 @@ def summary(spark, d):
 
 @query("E3_inventory_all", f"WITH RECURSIVE {RUN_SQL} SELECT report_id, name, coalesce(execs, 0) AS execs, execs IS NOT NULL AS active FROM inv LEFT JOIN (SELECT report_id, execs FROM universe) u USING (report_id)")
 def inventory_all(spark, d):
-    return emit.inventory_all(run(spark, d)).select("report_id", "name", F.coalesce("execs", F.lit(0)).alias("execs"), "active")
+    return emit.inventory_all(run(spark, d, last="universe")).select("report_id", "name", F.coalesce("execs", F.lit(0)).alias("execs"), "active")
 
 
 @query("E4_retired", f"WITH RECURSIVE {RUN_SQL} SELECT report_id, name, CASE WHEN batch = 3 THEN 'batch' ELSE 'telemetry' END AS bucket FROM inv WHERE report_id NOT IN (SELECT report_id FROM universe)")
@@ -180,7 +180,7 @@ def group_sql(stage: str, kept: str) -> str:
 
 def groups(stage):
     def build(spark, d):
-        result = run(spark, d)
+        result = run(spark, d, last="family" if stage == "family" else None)
         return emit.groups(result, stage).select("canonical_id", F.array_join(F.array_sort(F.transform("members", lambda m: m["report_id"])), ",").alias("members"), "size", "reducible", "execs")
 
     return build
