@@ -20,7 +20,9 @@ def drop_low_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, similar_sets.near_duplicates(docs))
+    """One document of each group that op2's fingerprints and pivots or the similarity of shingle sets link; a group is what links of both kinds connect."""
+    by_bits, by_sets = simhash.near_duplicates(docs), similar_sets.near_duplicates(docs)
+    return simhash.keep_one(docs, simhash.united(by_bits, by_sets))
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
