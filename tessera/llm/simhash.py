@@ -5,8 +5,9 @@ Fingerprints at ``radius`` or fewer differing bits are linked.  Cut into
 every link lies in some bucket of equal blocks.  Inside a bucket a pair is first
 compared by its rows of the pivot table: Hamming distances to fixed reference
 fingerprints, whose largest difference cannot exceed the pair's own distance.
-Only survivors are verified bit by bit.  Both tests stand in the join's
-condition, so pairs that fail are never rows.
+Only survivors are verified bit by bit.  A task does both for whole buckets and
+returns one edge for each fingerprint that they connect to an earlier one, so no
+pair is ever a row and rows grow with the members of a bucket, not their pairs.
 
 A bucket of more than ``HOT_BUCKET`` fingerprints is not paired: two
 fingerprints within 4 bits are both within 2 bits of some common point, so each
@@ -21,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,6 +36,8 @@ RADIUS = 4
 HOT_BUCKET = 512
 #: Fingerprints that a bucket of random fingerprints holds on average, at most; more and the blocks get finer.
 BUCKET_MEAN = 64
+#: Pairs that a task compares at once, about; a bucket is compared whole.
+PAIRS = 1 << 20
 #: Removed ids that are broadcast at most: 16 MB as longs.
 BROADCAST_IDS = 1_000_000
 #: Distances of seven pivots lie in one long, a byte each.
@@ -79,43 +82,76 @@ def masks(blocks: int, agree: int) -> list[int]:
     return [sum(part[i] for i in chosen) for chosen in combinations(range(blocks), agree)]
 
 
-def pivot_columns(fp: str = "fp") -> list[Column]:
-    """The pivot table's row of a fingerprint: its distances to the pivots, LANES of them in each of two longs."""
-    away = [F.bit_count(F.col(fp).bitwiseXOR(F.lit(signed(p)))).cast("long") for p in PIVOTS]
-    return [sum((F.shiftleft(x, 8 * i) for i, x in enumerate(away[at : at + LANES])), F.lit(0).cast("long")).alias(name) for at, name in ((0, "t0"), (LANES, "t1"))]
+def pivot_table(fps: np.ndarray) -> list[np.ndarray]:
+    """The pivot table's rows of fingerprints: their distances to the pivots, LANES of them in each of two longs."""
+    away = [np.bitwise_count(fps ^ np.uint64(p)).astype(np.int64) for p in PIVOTS]
+    return [sum(x << 8 * i for i, x in enumerate(away[at : at + LANES])) for at in (0, LANES)]
 
 
-def verified(a: str, b: str, radius: int) -> Column:
-    """Whether no distance to a pivot differs by more than ``radius``, and no more bits differ than that."""
+def verified(fps: np.ndarray, table: list[np.ndarray], a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs have no distance to a pivot that differs by more than ``radius``, and no more bits that differ than that."""
     high, most = sum(0x80 << 8 * i for i in range(LANES)), sum(radius << 8 * i for i in range(LANES))
+    same = np.arange(len(a))
+    for t in table:
+        for x, y in ((a, b), (b, a)):  # in each byte, y - x <= radius: the high bit is not borrowed from
+            same = same[((t[x[same]] | high) - t[y[same]] + most) & high == high]
+    return same[np.bitwise_count(fps[a[same]] ^ fps[b[same]]) <= radius]
 
-    def near(x, y):  # in each byte, y - x <= radius: the high bit is not borrowed from
-        return (F.col(x).bitwiseOR(F.lit(high)) - F.col(y) + F.lit(most)).bitwiseAND(F.lit(high)) == F.lit(high)
 
-    same = F.lit(True)
-    for t in ("t0", "t1"):
-        same &= near(f"{a}.{t}", f"{b}.{t}") & near(f"{b}.{t}", f"{a}.{t}")
-    return same & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius)
+def bucket_stars(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of edges that connect in each bucket what its links connect: from the first of what is connected to each other one.
+
+    ``fps`` are the fingerprints of one bucket after the other.
+    """
+    place = np.arange(len(fps))
+    later = np.repeat(np.cumsum(sizes), sizes) - place - 1
+    a = np.repeat(place, later)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later) + a + 1
+    near = verified(fps, pivot_table(fps), a, b, radius)
+    a, b, label = a[near], b[near], place
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    ends = np.flatnonzero(label != place)
+    return fps[label[ends]], fps[ends]
+
+
+def bucket_links(keys: DataFrame, radius: int) -> DataFrame:
+    """``src``, ``dst``: the stars of each bucket of (cut, bits, fp); fewer rows than the buckets have members."""
+
+    def run(batches):
+        for batch in batches:
+            fps = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            step, start, ends = np.cumsum(sizes * sizes) // PAIRS, np.cumsum(sizes) - sizes, np.cumsum(sizes)
+            for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(step)) + 1):
+                if len(part):
+                    found = bucket_stars(fps[start[part[0]] : ends[part[-1]]], sizes[part], radius)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], ["src", "dst"])
+
+    buckets = keys.groupBy("cut", "bits").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
+    return common.map_batches(buckets.select("fps"), run, "src long, dst long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Edges ``src``, ``dst`` between distinct fingerprints of column ``fp``.
 
     They connect exactly what links at ``radius`` or fewer bits connect; inside
-    hot buckets they are stars, not all pairs.
+    buckets they are stars, not all pairs.
     """
     n = fps.count()
     blocks = radius + 2
     while n / 2 ** (64 * (blocks - radius) / blocks) > BUCKET_MEAN and blocks < 2 * radius + 2:
         blocks += 1
     chosen = masks(blocks, blocks - radius)
-    keys = fps.select("fp", *pivot_columns()).select("fp", "t0", "t1", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in chosen])).alias("cut", "bits"))
+    keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in chosen])).alias("cut", "bits"))
     hot = keys.groupBy("cut", "bits").count().where(F.col("count") > hot_bucket).select("cut", "bits")
-    cold = keys.join(hot, ["cut", "bits"], "left_anti")
-
-    a, b = cold.alias("a"), cold.alias("b")
-    same = (F.col("a.cut") == F.col("b.cut")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp")) & verified("a", "b", radius)
-    pairs = a.join(b, same).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    pairs = bucket_links(keys.join(hot, ["cut", "bits"], "left_anti"), radius)
 
     steps = [(i, signed(sum(1 << k for k in bits))) for i, m in enumerate(chosen) for r in range(radius // 2 + radius % 2 + 1) for bits in combinations([k for k in range(64) if not m >> k & 1], r)] if hot.limit(1).count() else []
     if steps:

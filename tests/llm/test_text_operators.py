@@ -68,6 +68,26 @@ def test_near_duplicates_equal_brute_force(spark, hot):
     assert len(set(label)) < len(label)
 
 
+def test_links_grow_with_members_of_a_group_not_its_pairs(spark):
+    bits = [0, *[1 << i for i in range(24)], *[1 << i | 1 << j for i in range(24) for j in range(i)]]  # any two differ in 4 bits at most
+    apart = [-1, -1 ^ 1 << 60, 0x5555555555555555]
+    found = simhash.links(spark.createDataFrame([(x,) for x in [*bits, *apart]], "fp long")).collect()
+    assert len(found) <= 15 * len(bits)
+    near = {x: x for x in [*bits, *apart]}
+
+    def top(x):
+        while near[x] != x:
+            x = near[x]
+        return x
+
+    for r in found:
+        near[top(r.src)] = top(r.dst)
+    groups = {}
+    for x in near:
+        groups.setdefault(top(x), set()).add(x)
+    assert sorted(groups.values(), key=len) == [{apart[2]}, set(apart[:2]), set(bits)]
+
+
 def test_near_duplicates_edges(edge, empty):
     rows = simhash.near_duplicates(edge).collect()
     assert len(rows) == 2 * len(EDGE) and {r.component_id for r in rows if r.doc_id % len(EDGE) < 3} == {0}
