@@ -11,11 +11,15 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.functions.sets import jaccard
 from tessera.functions.text import sql_blocks
+from tessera.storage import materialize
 
 TOKEN = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|(?P<lit>'(?:''|[^'])*'|\b\d+(?:\.\d+)?\b)|(?P<name>[A-Za-z_#$][\w#$]*|\"[^\"]*\"|\[[^\]]*\]|`[^`]*`)|(?P<sign><=|>=|<>|!=|\|\||.)", re.DOTALL)
 # Words that begin a clause, in the order that a query has them; words of joins; operators by how loosely they bind.
@@ -25,6 +29,10 @@ JOIN_WORDS = {"join", "inner", "left", "right", "full", "cross", "outer", "natur
 LEVELS = [["or"], ["and"], ["not"], ["=", "<>", "!=", "<", ">", "<=", ">=", "like", "ilike", "in", "is", "between"], ["+", "-", "||"], ["*", "/", "%"]]
 #: Open subqueries and calls that are parsed as trees; deeper text stays flat.
 DEEPEST = 40
+#: Sets of a component whose pairs are joined, at most; sets of one block of a larger one, about.
+PAIRED, BLOCK_SETS = 64, 10000
+#: Rows of a product of blocks, and elements, that are held at once.
+TILE, COLUMNS = 256, 1024
 
 
 def tokens(sql: str) -> list[tuple[str, str]]:
@@ -327,20 +335,84 @@ def pair_statistics(members: DataFrame, links: DataFrame | None = None) -> DataF
     """``component``, ``size``, ``mean``, ``least``, ``all_exact`` over all pairs of a component's members (report_id, component, hashes).
 
     Members with one set are one set with a weight, so copies make no pairs.
+    Pairs of a component of up to PAIRED sets are joined; those of a larger one
+    are products of blocks of about BLOCK_SETS sets, so that a task holds two
+    blocks and returns two numbers.  Time is quadratic in a component's sets.
     """
-    from tessera.functions.sets import jaccard
-
-    sets = members.withColumn("hashes", F.array_sort(F.array_distinct("hashes"))).groupBy("component", "hashes").agg(F.count("*").alias("n"), F.min("report_id").alias("id"))
-    per = sets.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("sets"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same"))
-    a, b = sets.alias("a"), sets.alias("b")
-    score = jaccard(F.col("a.hashes"), F.col("b.hashes"))
-    pairs = a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.component").alias("component"), (F.col("a.n") * F.col("b.n")).alias("w"), score.alias("s"))
-    other = pairs.groupBy("component").agg(F.sum(F.col("w") * F.col("s")).alias("total"), F.min("s").alias("least"))
+    hashed = F.array_sort(F.transform(F.array_distinct("hashes"), lambda e: F.xxhash64(e)))
+    sets = materialize(members.groupBy("component", hashed.alias("s")).agg(F.count("*").alias("n")), "sets")
+    per = materialize(sets.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("sets"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same")), "components")
+    few = sets.join(per.where(F.col("sets").between(2, PAIRED)).select("component"), "component")
+    a, b = few.alias("a"), few.alias("b")
+    score = jaccard(F.col("a.s"), F.col("b.s"))
+    pairs = a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.s") < F.col("b.s"))).select(F.col("a.component").alias("component"), (F.col("a.n") * F.col("b.n") * score).alias("total"), score.alias("least"))
+
+    blocks = F.ceil(F.col("sets") / BLOCK_SETS)
+    many = sets.join(per.where(F.col("sets") > PAIRED).select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("s"), "blocks"))
+    met = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    met = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "s")
+    schema = T.StructType([met.schema["component"], T.StructField("total", T.DoubleType()), T.StructField("least", T.DoubleType())])
+    parts = pairs.unionByName(met.groupBy("component", "i", "j").applyInArrow(block_statistics, schema))
+
+    other = parts.groupBy("component").agg(F.sum("total").alias("total"), F.min("least").alias("least"))
     out = per.where("size >= 2").join(other, "component", "left")
     mean = (F.coalesce("total", F.lit(0.0)) + F.col("same")) / (F.col("size") * (F.col("size") - 1) / 2)
     return out.select("component", "size", mean.alias("mean"), F.coalesce("least", F.lit(1.0)).alias("least"), (F.col("sets") == 1).alias("all_exact"))
 
 
+def block_statistics(key: tuple, table: pa.Table) -> pa.Table:
+    """Weighted sum and least of the similarities of the pairs of two blocks, or of one, each pair once."""
+    i, j = (x.as_py() for x in key[1:])
+    lists = table.column("s").combine_chunks()
+    sizes, elements = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    block, weight = table.column("block").to_numpy(), table.column("n").to_numpy().astype(np.float64)
+    names, places, held = np.unique(elements, return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    shared = held[places] > 1  # what one set alone has is in no pair
+    names = np.unique(places[shared])
+    rows, places = rows[shared], np.searchsorted(names, places[shared])
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    total, least = 0.0, 1.0
+    slices = []  # the sets as rows of 0 and 1, a bounded number of elements at a time
+    for at in range(0, len(names), COLUMNS):
+        inside = (places >= at) & (places < at + COLUMNS)
+        slices.append((rows[inside], places[inside] - at, min(COLUMNS, len(names) - at)))
+
+    def ones(part, chosen):
+        r, c, width = part
+        local = np.full(len(sizes), -1)
+        local[chosen] = np.arange(len(chosen))
+        x = np.zeros((len(chosen), width), np.float32)
+        known = local[r] >= 0
+        x[local[r[known]], c[known]] = 1
+        return x
+
+    whole = [ones(part, right) for part in slices] if len(slices) == 1 else None
+    for at in range(0, len(left), TILE):
+        chosen = left[at : at + TILE]
+        first = at if i == j else 0  # earlier ones have met these
+        against = right[first:]
+        both = np.zeros((len(chosen), len(against)), np.float32)
+        for k, part in enumerate(slices):
+            both += ones(part, chosen) @ (whole[k][first:] if whole else ones(part, against)).T
+        union = sizes[chosen].astype(np.float32)[:, None] + sizes[against].astype(np.float32)[None, :]
+        union -= both
+        score = both.astype(np.float64)
+        with np.errstate(invalid="ignore"):
+            score /= union
+        score[union == 0] = 1.0  # two empty sets are alike
+        if i == j:
+            square = score[:, : len(chosen)]
+            lower = np.tril_indices(len(chosen))
+            square[lower] = 1.0
+            least = min(least, float(score.min()))
+            square[lower] = 0.0
+        else:
+            least = min(least, float(score.min(initial=1.0)))
+        total += float(weight[chosen] @ score @ weight[against])
+    return pa.table({"component": pa.array([key[0].as_py()], key[0].type), "total": [total], "least": [least]})
+
+
 def exact_groups(hashes: DataFrame) -> DataFrame:
     """Statements parsed, groups of equal sets, their members and how many of these are removable."""
     per = hashes.where(F.size("hashes") > 0).groupBy(F.array_sort(F.array_distinct("hashes")).alias("s")).agg(F.count("*").alias("n"))
