@@ -65,8 +65,8 @@ def grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def by_statement(rows: DataFrame, statements: DataFrame) -> DataFrame:
     """Groups of equal normalised statements."""
-    known = statements.where(F.coalesce("sql", F.lit("")) != "").select("report_id", F.sha2(sql_for_hash(F.col("sql")), 256).alias("h"))
-    return dedup.groups_by(rows.join(known, "report_id"), [F.col("h")])
+    known = rows.join(statements.where(F.coalesce("sql", F.lit("")) != "").select("report_id", "sql"), "report_id")
+    return dedup.groups_by(known, [F.sha2(sql_for_hash(F.col("sql")), 256)])
 
 
 def by_syntax(rows: DataFrame, hashes: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +161,6 @@ def run_pipeline(inventory: DataFrame, features: DataFrame, telemetry: DataFrame
     out.kept["universe"] = rows
     if last == "universe":
         return out
-    sets = materialize(dedup.feature_sets(features), "sets")
 
     def stage(name: str, members: DataFrame) -> None:
         members = materialize(members.select("report_id", "canonical_id"), name)
@@ -172,6 +171,11 @@ def run_pipeline(inventory: DataFrame, features: DataFrame, telemetry: DataFrame
     found = dedup.collisions(rows.select("report_id", "name", "execs", "last", "tier"))
     stage("collision", found)
     after_collisions = out.kept["collision"]
+    # what later stages read is aggregated for the reports that reach them only
+    reached = after_collisions.select("report_id")
+    sets = materialize(dedup.feature_sets(features.join(reached, "report_id", "left_semi")), "sets")
+    if hashes is not None:
+        hashes = materialize(hashes.join(reached, "report_id", "left_semi"), "hashes")
     stage("fingerprint", dedup.fingerprint(after_collisions.join(sets, "report_id")))
     if statements is not None:
         stage("sql_hash", by_statement(after_collisions if mode == "reference" else out.kept["fingerprint"], statements))
