@@ -10,7 +10,7 @@ from tessera.operators import combined, funnel, summaries
 from tessera.plans.catalog import query
 from tessera.plans.inputs import read
 from tessera.plans.pipeline_queries import RUN_SQL, inputs, run
-from tessera.storage import shared_dir
+from tessera.storage import materialize, shared_dir
 
 TAG = "('p' || ({0} % 3) || ':' || {0})"
 COMBINED_SQL = RUN_SQL
@@ -31,6 +31,7 @@ def build(spark, d):
     inventory, features, telemetry, statements, hashes = inputs(spark, d)
     project = F.concat(F.lit("p"), F.col("report_id") % 3)
     kept = funnel.active_universe(inventory, telemetry, funnel.BATCHES, "name").where("report_id % 5 <> 0").select(project.alias("project"), "report_id")
+    kept = materialize(kept, "kept")  # every table of both builds is joined to it
     tables = {n: t.withColumn("project", project) for n, t in (("inventory", inventory), ("features", features), ("telemetry", telemetry), ("statements", statements), ("hashes", hashes))}
     both = combined.Combined(spark, f"{shared_dir(spark)}/tessera/combined-{uuid.uuid4().hex}")
     both.rebuild(kept.where("project <> 'p2' OR report_id % 7 <> 0"), tables, "2024-01-01")
